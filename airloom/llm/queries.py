@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import minhash_dedup, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,39 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op8_minhash_dedup": op8_minhash_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_minhash_dedup": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then []
+    when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as shingle
+  from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), links as (
+  select p.a, p.b
+  from (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by all) p
+  join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b
+  where 100 * p.i >= 75 * (na.n + nb.n - p.i)
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a
+), c as (
+  select a as doc_id, min(b) as component_id from reach group by a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n using (doc_id) join c using (doc_id)
+""",
+}
