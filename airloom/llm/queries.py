@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_dedup, decontaminate, minhash_dedup, quality_rules, token_files
+from . import chunk_dedup, decontaminate, minhash_dedup, piece_codec, quality_rules, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_piece_codec": op6_piece_codec,
     "op8_minhash_dedup": op8_minhash_dedup,
 }
 
