@@ -5,9 +5,9 @@ table key joins one half-key of either collection, so ``SIDE**2`` tables need on
 Two sets of similarity s share a table with probability ``(1 - (1 - s**ROWS)**SIDE)**2`` (0.9995 at 0.75).
 
 Plan: texts with the same shingle set form a class, and one representative goes on. Half-keys that only one
-representative has are left out before the tables are formed. In each bucket every member is linked to the
-smallest member only; what that leaves apart is compared across the remaining parts of the bucket, so no
-large group is expanded into all its pairs and no link between different parts is lost. Every link is
+representative has are left out before the tables are formed. In each bucket every member is linked to one
+hub only; what that leaves apart is searched by the rarest shingles that different parts share
+(``rare_pairs``), so no large group is expanded into all its pairs and no link between different parts is lost. Every link is
 confirmed on the full sets, as sizes of intersection and union. Components come from ``components``.
 
 Defined results: null and empty texts and texts without words have n_shingles 0 and link with nothing; a text
@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common as C
 from .components import components
@@ -31,6 +31,8 @@ WIDTH = 5
 PERCENT = 75
 ROWS = 2
 SIDE = 10
+#: 64-bit words of the odd sketch.
+ODD = 8
 #: Ids are sent to every task only up to this many (8 bytes each); beyond it they are joined by a shuffle.
 MAX_SENT_IDS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -56,14 +58,22 @@ def half_keys(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """ODD * 64 bits: each shingle flips one; two sketches differ in no more bits than the sets in shingles."""
+    place = (shingles >> np.uint64(17)) % np.uint64(ODD * 64)
+    bits = np.bincount(place.astype(np.int64), minlength=ODD * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(batch) -> dict:
-    n, key, half = [], [], []
+    n, key, half, odd = [], [], [], []
     for raw in C.raw_texts(batch, "text"):
         s = shingle_set(raw)
         n.append(len(s))
         key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
         half.append(half_keys(s).tolist() if len(s) else None)
-    return {"doc_id": batch.column("doc_id"), "n_shingles": n, "set_key": key, "half": half}
+        odd.append(odd_sketch(s).tolist() if len(s) else None)
+    return {"doc_id": batch.column("doc_id"), "n_shingles": n, "set_key": key, "half": half, "odd": odd}
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -102,31 +112,89 @@ def table_rows(reps: DataFrame) -> DataFrame:
 def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between representatives that connect all of them that are similar."""
     rows = C.written(table_rows(reps), "tables")
-    hubs = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    stars = rows.join(hubs, "key").where("rep <> hub.rep").where(_sizes("n", "hub.n"))
-    stars = C.written(stars.selectExpr("rep as a", "hub.rep as b").distinct(), "stars")
-    alone = rows.join(hubs, "key").select("rep").distinct()
-    texts = C.written(_texts_of(docs, alone.withColumnRenamed("rep", "doc_id")), "texts")
-
-    first = C.written(confirm(stars.groupBy("a").agg(F.min("b").alias("b")), texts), "confirmed")
-    own = first.selectExpr("a as x", "b as root")
-    apart = stars.join(own.selectExpr("x as a", "root as ra"), "a", "left").join(own.selectExpr("x as b", "root as rb"), "b", "left")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = rows.join(buckets, "key")
+    # The member that shares most tables with others lies in the middle of its group: it is the hub.
+    score = C.written(shared.groupBy("rep", "n").agg(F.sum("c").alias("score")), "scores")
+    scored = shared.select("key", "rep", "n").join(score.select("rep", "score"), "rep")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "rep", "n")).alias("hub"))
+    stars = scored.join(hubs, "key").where("rep <> hub.rep").where(_sizes("n", "hub.n"))
+    stars = stars.selectExpr("rep as a", "n as na", "hub.rep as b", "hub.n as nb", "hub.score as score").distinct()
+    for end in ("a", "b"):
+        stars = stars.join(reps.selectExpr(f"rep as {end}", f"odd as odd_{end}"), end)
+    stars = stars.where(_differ(_odd_bits("odd_a", "odd_b"), F.col("na") + F.col("nb")))
+    stars = C.written(stars.select("a", "b", "score"), "stars")
+    texts = C.written(_texts_of(docs, score.selectExpr("rep as doc_id")), "texts")
+
+    best = stars.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x")).selectExpr("a", "x.b as b")
+    first = C.written(confirm(best, texts), "confirmed")
+    apart = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        apart = apart.join(first.selectExpr(f"a as {end}", f"b as r{end}"), end, "left")
     apart = apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     second = C.written(confirm(apart, texts), "confirmed")
 
     links = first.unionByName(second)
     roots = components(links)
-    # What the stars left apart: members of one bucket in different components are compared directly.
+    # What the stars left apart: members of one bucket in different components are compared exactly.
     labelled = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("key", "rep", "n", "coalesce(root, rep) as root")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    inside = C.written(labelled.join(mixed, "key", "left_semi"), "mixed")
-    one, two = inside.alias("one"), inside.alias("two")
-    pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") > F.col("two.rep")) & (F.col("one.root") != F.col("two.root")) & _sizes("one.n", "two.n"))
-    pairs = pairs.selectExpr("one.rep as a", "two.rep as b").distinct().join(stars, ["a", "b"], "left_anti")
+    apart = labelled.join(mixed, "key", "left_semi").select("rep", "n", "root").distinct()
+    tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = rare_pairs(apart, texts, reps).join(tested, ["a", "b"], "left_anti")
     third = C.written(confirm(pairs, texts), "confirmed")
     return links.unionByName(third)
 
 
+def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots that can reach the similarity; none of those that do is missing.
+
+    Let k of a set's n shingles be found under several roots, and u = n - k under its own only. Sets a and b that
+    reach the similarity share at least PERCENT of either's n, all of it among the k; so a set with fewer has no
+    partner, and of the others two partners meet in one of their rarest ones: all but as many as they must
+    share, and one more. They differ in u_a + u_b + |k_a - k_b| shingles at least, and may in (n_a + n_b) *
+    (100 - PERCENT) / (100 + PERCENT) at most; nor can their odd sketches differ in more bits. These bounds leave
+    out most sets of a group that are far from all, without a look at their texts."""
+
+    def explode(batches):
+        for batch in batches:
+            sets = [shingle_set(raw).view(np.int64) for raw in C.raw_texts(batch, "text")]
+            if sets:
+                at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                cols = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[at]) for c in ("rep", "n", "root")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(sets))], names=["rep", "n", "root", "s"])
+
+    found = texts.withColumnRenamed("doc_id", "rep").join(apart, "rep").select("rep", "n", "root", "text")
+    shingles = C.written(found.mapInArrow(explode, "rep bigint, n bigint, root bigint, s bigint"), "shingles")
+    several = shingles.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "c")
+    own = Window.partitionBy("rep")
+    need = F.ceil(F.col("n") * PERCENT / 100)
+    ranked = shingles.join(several, "s").withColumn("k", F.count("*").over(own)).where(F.col("k") >= need)
+    ranked = ranked.withColumn("at", F.row_number().over(own.orderBy("c", "s"))).where(F.col("at") <= F.col("k") - need + 1)
+    rare = C.written(ranked.select("rep", "n", "root", "s", "k"), "rare")
+    # The most similar partner that sets of these sizes could be has no shingles of its own and m = least n of those met.
+    least = rare.groupBy("s").agg(F.min("n").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", F.col("m"))
+    alike = F.greatest("m", "k")
+    rare = rare.join(least, "s").where(_differ(F.col("n") - F.col("k") + alike - F.col("k"), F.col("n") + alike)).drop("m")
+    rare = rare.join(reps.select("rep", "odd"), "rep")
+    one, two = rare.alias("one"), rare.alias("two")
+    meet = (F.col("one.s") == F.col("two.s")) & (F.col("one.rep") > F.col("two.rep")) & (F.col("one.root") != F.col("two.root"))
+    apart = F.expr("one.n - one.k + two.n - two.k + abs(one.k - two.k)")
+    meet = meet & _sizes("one.n", "two.n") & _differ(apart, F.col("one.n") + F.col("two.n"))
+    meet = meet & _differ(_odd_bits("one.odd", "two.odd"), F.col("one.n") + F.col("two.n"))
+    return one.join(two, meet).selectExpr("one.rep as a", "two.rep as b").distinct()
+
+
+def _odd_bits(odd: str, other: str):
+    """In how many bits two odd sketches differ."""
+    return F.expr(" + ".join(f"bit_count({odd}[{k}] ^ {other}[{k}])" for k in range(ODD)))
+
+
+def _differ(shingles, sizes):
+    """Whether sets of these sizes may differ in so many shingles."""
+    return shingles * (100 + PERCENT) <= sizes * (100 - PERCENT)
+
+
 def _sizes(n: str, m: str):
     """Sets can reach the similarity only if their sizes do."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
@@ -141,9 +209,9 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    signed = C.written(C.in_batches(docs, _signatures, "doc_id bigint, n_shingles bigint, set_key binary, half array<bigint>"), "signatures")
+    signed = C.written(C.in_batches(docs, _signatures, "doc_id bigint, n_shingles bigint, set_key binary, half array<bigint>, odd array<bigint>"), "signatures")
     # A class's half-keys are the same in all its rows; a doc_id stands for one class only.
-    reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("n_shingles").alias("n"))
+    reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n"))
     reps = C.written(reps.where("rep is not null"), "classes")
     roots = components(class_links(docs, reps))
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_root"))
