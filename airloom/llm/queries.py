@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_dedup, decontaminate, html_extract, minhash_dedup, piece_codec, quality_gam, quality_rules, token_files, toxicity
+from . import chunk_dedup, decontaminate, html_extract, language_id, minhash_dedup, piece_codec, quality_gam, quality_rules, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_piece_codec": op6_piece_codec,
     "op7_html_extraction": op7_html_extraction,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_language_id": op9_language_id,
     "op10_quality_gam": op10_quality_gam,
 }
 
