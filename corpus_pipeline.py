@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airloom.llm import common, quality_rules
+from airloom.llm import chunk_dedup, common, decontaminate, minhash_dedup, piece_codec, quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +12,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash_dedup.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with passages that an earlier document holds cut out; n_chars counted again."""
+    return chunk_dedup.cut_repeats(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spanned_bytes of each document."""
+    import public_tokenizers
+
+    return piece_codec.encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Applied in this order.
-STAGES = [("quality_rules", quality)]
+STAGES = [
+    ("quality_rules", quality),
+    ("minhash_dedup", near_copies),
+    ("substring_dedup", repeated_passages),
+    ("decontamination", benchmark_passages),
+    ("piece_encoding", pieces),
+]
 
 #: No SQL expresses the fitted stages.
 ORACLE_SQL = None
