@@ -171,7 +171,7 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame
     need = F.ceil(F.col("n") * PERCENT / 100)
     ranked = shingles.join(several, "s").withColumn("k", F.count("*").over(own)).where(F.col("k") >= need)
     ranked = ranked.withColumn("at", F.row_number().over(own.orderBy("c", "s"))).where(F.col("at") <= F.col("k") - need + 1)
-    rare = C.written(ranked.select("rep", "n", "root", "s", "k"), "rare")
+    rare = C.written(ranked.select("rep", "n", "root", "s", "k", "at"), "rare")
     # The most similar partner that sets of these sizes could be has no shingles of its own and m = least n of those met.
     least = rare.groupBy("s").agg(F.min("n").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", F.col("m"))
     alike = F.greatest("m", "k")
@@ -182,6 +182,9 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame
     apart = F.expr("one.n - one.k + two.n - two.k + abs(one.k - two.k)")
     meet = meet & _sizes("one.n", "two.n") & _differ(apart, F.col("one.n") + F.col("two.n"))
     meet = meet & _differ(_odd_bits("one.odd", "two.odd"), F.col("one.n") + F.col("two.n"))
+    # At the first shingle where two partners meet, they can still share what either has from there on.
+    still = F.expr("1 + least(one.k - one.at, two.k - two.at)")
+    meet = meet & (still * (100 + PERCENT) >= (F.col("one.n") + F.col("two.n")) * PERCENT)
     return one.join(two, meet).selectExpr("one.rep as a", "two.rep as b").distinct()
 
 
