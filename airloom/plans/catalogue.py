@@ -1,10 +1,685 @@
-"""The engine's registered queries and their independent SQL."""
+"""The engine's registered queries, each beside the independent SQL that checks it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from airloom.functions import geo, statistics as st
+from airloom.functions.colour import colour_ramp
+from airloom.functions.expressions import attach, check_tube_data
+from airloom.operators import accuracy, aggregate, annual, cluster, deseason, merge, meta, polygon, precision, summaries, surface, tagging as tag
+from airloom.plans import figures, maps
+from airloom.session import c
+from airloom.sources.tubes import order_monitors, order_tubes
+from airloom.streaming import rolling
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+# What the adapter gives, as SQL; m is the middle day, sid the sample.
+_TUBES = """tubes as (
+  select concat('S', cast(l_suppkey as varchar)) as site, s_name as site_name, n_name as la, l_suppkey, l_linenumber,
+    case when l_suppkey % 50 = 0 then null else 53.0e0 + (l_suppkey * 37 % 97) / 1000e0 end as lat,
+    case when l_suppkey % 50 = 0 then null else -2.0e0 + (l_suppkey * 53 % 89) / 1000e0 end as lon,
+    year(l_shipdate) as yr, month(l_shipdate) as mon, cast(date_trunc('month', l_shipdate) as date) as s, last_day(cast(l_shipdate as date)) as e,
+    case when l_linenumber = 7 then null else l_extendedprice / l_quantity end as v
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+), dated as (
+  select *, cast('1970-01-01' as date) + cast(round_even((datediff('day', date '1970-01-01', s) + datediff('day', date '1970-01-01', e)) / 2.0, 0) as integer) as m from tubes
+)"""
+_SAMPLES = _TUBES + """, samples as (
+  select *, dense_rank() over (order by lat nulls last, lon nulls last, s nulls last, e nulls last) as sid from dated
+)"""
+
+
+def _query(name: str, sql: str | None = None, tubes: str = ""):
+    """Registers a query; ``tubes`` puts the adapter's SQL before its own."""
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"with {tubes} {sql}" if tubes and not sql.startswith(",") else f"with {tubes}{sql}" if tubes else sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _n(name: str = "n"):
+    return F.count("*").alias(name)
+
+
+def _r(x, digits: int = 4):
+    return F.round(x, digits)
+
+
+def _f(x):
+    """A number cut to a grid that lies off the decimal halves, where sums in another order could round otherwise."""
+    return F.floor(x * 1e5 + 0.31831) / 1e5
+
+
+def _f_sql(x: str) -> str:
+    return f"floor(({x}) * 1e5 + 0.31831e0) / 1e5"
+
+
+def _day(x):
+    """A date as text, which both engines write alike."""
+    return F.date_format(x, "yyyy-MM-dd")
+
+
+# Tagging ---------------------------------------------------------------------
+@_query("tag_start_end_nominal", "select cast(s as varchar) as start_date, cast(e as varchar) as end_date, count(*) as n from tubes group by all", _TUBES)
+def _(spark, d):
+    rows = order_tubes(spark, d).drop(".start_date", ".end_date")
+    return tag.tag_tube_start_end(rows, method=1).groupBy(_day(c(".start_date")).alias("start_date"), _day(c(".end_date")).alias("end_date")).agg(_n())
+
+
+@_query("tag_calendar_join", """select cast(case when yr = 1998 then null else s + 2 end as varchar) as start_date, cast(case when yr = 1998 then null else e + 1 end as varchar) as end_date, yr as year, count(*) as n from tubes group by all""", _TUBES)
+def _(spark, d):
+    rows = order_tubes(spark, d).drop(".start_date", ".end_date")
+    months = spark.range(12).select((F.col("id") + 1).cast("int").alias("m"))
+    first = F.make_date("year", "m", F.lit(1))
+    calendar = spark.range(1995, 2002).where("id <> 1998").select(F.col("id").cast("int").alias("year")).crossJoin(months)
+    calendar = calendar.select("year", F.date_format(first, "MMMM").alias("month"), F.date_add(first, 2).alias("start"), F.date_add(F.last_day(first), 1).alias("end"))
+    out = tag.tag_tube_start_end(rows, method=2, calendar=calendar)
+    return out.groupBy(_day(c(".start_date")).alias("start_date"), _day(c(".end_date")).alias("end_date"), F.col("year_of_measurement").cast("bigint").alias("year")).agg(_n())
+
+
+@_query("tag_explicit_dates", "select cast(case when o_orderkey % 97 = 0 then null else cast(o_orderdate as date) end as varchar) as start_date, count(*) as n from orders group by all")
+def _(spark, d):
+    text = F.when(F.col("o_orderkey") % 97 == 0, "no date").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    rows = _read(spark, d, "orders").select(text.alias("start_date"), text.alias("end_date"))
+    return tag.tag_tube_start_end(rows, method=3, date_format="%d/%m/%Y").groupBy(_day(c(".start_date")).alias("start_date")).agg(_n())
+
+
+@_query("tag_sample_partition", "select cast(sid as double) as sample_id, count(*) as n from samples group by all", _SAMPLES)
+def _(spark, d):
+    return tag.tag_tube_sample_id(order_tubes(spark, d)).groupBy(c(".sample_id").alias("sample_id")).agg(_n())
+
+
+@_query("tag_sample_hash", "select count(distinct sid) as samples, count(*) as n from samples", _SAMPLES)
+def _(spark, d):
+    return tag.tag_tube_sample_id(order_tubes(spark, d), method=2).agg(F.count_distinct(c(".sample_id")).alias("samples"), _n())
+
+
+@_query("tag_value_choice", "select la, round(avg(v * 2), 4) as value, count(v) as n from tubes group by all", _TUBES)
+def _(spark, d):
+    out = tag.tag_tube_value(order_tubes(spark, d), value=["no_such_column", "bias_adjusted_measurement * 2"])
+    return out.groupBy(c("local_authority").alias("la")).agg(_r(F.avg(c(".value"))).alias("value"), F.count(c(".value")).alias("n"))
+
+
+@_query("tag_date_midpoint", "select cast(m as varchar) as date, count(*) as n from dated group by all", _TUBES)
+def _(spark, d):
+    return tag.tag_tube_date(order_tubes(spark, d)).groupBy(_day(c(".date")).alias("date")).agg(_n())
+
+
+@_query("tag_month_counts", "select strftime(m, '%b') as month, count(*) as n from dated group by all", _TUBES)
+def _(spark, d):
+    return tag.tag_tube_month(order_tubes(spark, d)).groupBy(c(".month").alias("month")).agg(_n())
+
+
+@_query("tag_year_counts", "select strftime(m, '%Y') as year, count(*) as n from dated group by all", _TUBES)
+def _(spark, d):
+    return tag.tag_tube_year(order_tubes(spark, d)).groupBy(c(".year").alias("year")).agg(_n())
+
+
+@_query("tag_location_text", "select concat('{', coalesce(cast(lat as varchar), 'NA'), ',', coalesce(regexp_replace(cast(lon as varchar), '\\.0$', ''), 'NA'), '}') as location, count(*) as n from (select * from tubes) where lat is null or lat <> floor(lat) group by all", _TUBES)
+def _(spark, d):
+    rows = order_tubes(spark, d).where("latitude is null or latitude <> floor(latitude)")
+    return tag.tag_tube_location(rows).groupBy(c(".location").alias("location")).agg(_n())
+
+
+@_query("tag_required_only", "select strftime(m, '%Y') as year, la, count(*) as n from dated group by all", _TUBES)
+def _(spark, d):
+    out = tag.tag_tube_required(order_tubes(spark, d), [".year", 3, "no_tag"])
+    return out.groupBy(c(".year").alias("year"), c("local_authority").alias("la")).agg(_n())
+
+
+# Expressions -------------------------------------------------------------------
+def _expression(name: str, table: str, texts: dict[str, str], sql: str):
+    """Registers a query that evaluates expressions row by row and counts the results."""
+    def run(spark, d):
+        rows = attach(_read(spark, d, table), list(texts.values()))
+        return rows.groupBy(*[c(t).alias(n) for n, t in texts.items()]).agg(_n())
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_expression("expr_arith", "lineitem", {"a": "l_quantity * 2 + 1", "b": "-l_quantity^2", "c": "(l_quantity - 25) / l_linenumber - 0"}, "select l_quantity * 2 + 1 as a, -pow(l_quantity, 2) as b, (l_quantity - 25) / l_linenumber as c, count(*) as n from lineitem group by all")
+_expression("expr_modulo", "lineitem", {"a": "(l_quantity - 25.5) %% 3", "b": "(l_quantity - 25.5) %/% 3"}, "select (l_quantity - 25.5e0) - floor((l_quantity - 25.5e0) / 3) * 3 as a, floor((l_quantity - 25.5e0) / 3) as b, count(*) as n from lineitem group by all")
+_expression("expr_paste", "lineitem", {"a": "paste(l_returnflag, l_linestatus, sep = '-')", "b": "paste0('q', l_quantity)", "c": "paste(l_linenumber, 'x')"}, "select concat(l_returnflag, '-', l_linestatus) as a, concat('q', cast(cast(l_quantity as bigint) as varchar)) as b, concat(l_linenumber, ' x') as c, count(*) as n from lineitem group by all")
+_expression("expr_ifelse", "orders", {"a": "ifelse(o_totalprice > 100000 & o_orderstatus == 'F', 'big', ifelse(is.na(o_orderstatus), 'none', o_orderstatus))"}, "select case when o_totalprice > 100000 and o_orderstatus = 'F' then 'big' when o_orderstatus is null then 'none' else o_orderstatus end as a, count(*) as n from orders group by all")
+_expression("expr_string", "orders", {"a": "toupper(substr(tolower(o_orderpriority), 1, 4))", "b": "nchar(o_orderpriority)", "c": "trimws(paste0('  ', o_orderstatus, '\\t'))"}, "select upper(substr(lower(o_orderpriority), 1, 4)) as a, cast(length(o_orderpriority) as double) as b, o_orderstatus as c, count(*) as n from orders group by all")
+_expression("expr_compare_text", "part", {"a": "p_brand >= 'Brand#3'", "b": "p_size == '7'", "c": "!p_size > 10 | p_size <= 3"}, "select p_brand >= 'Brand#3' as a, cast(p_size as varchar) = '7' as b, not (p_size > 10) or p_size <= 3 as c, count(*) as n from part group by all")
+_expression("expr_in", "events", {"a": "event_type %in% c('click', 'view')", "b": "user_id %in% c(1, 2, 3)"}, "select event_type in ('click', 'view') as a, user_id in (1, 2, 3) as b, count(*) as n from events group by all")
+_expression("expr_round_signif", "part", {"a": "round(p_size / 2)", "b": "signif(p_size * 1234.5, 3)", "c": "abs(10 - p_size) + sqrt(p_size * p_size)"}, "select round_even(p_size / 2e0, 0)::double as a, case when p_size = 0 then 0 else round_even(p_size * 1234.5e0 / pow(10, floor(log10(p_size * 1234.5e0)) - 2), 0)::double * pow(10, floor(log10(p_size * 1234.5e0)) - 2) end as b, cast(abs(10 - p_size) + p_size as double) as c, count(*) as n from part group by all")
+_expression("expr_convert", "orders", {"a": "as.numeric(factor(o_orderstatus, levels = c('P', 'O', 'F')))", "b": "as.integer(paste0('1', substr(o_orderpriority, 1, 1)))", "c": "as.logical(ifelse(o_orderstatus == 'F', 'TRUE', 'no'))"}, "select cast(case o_orderstatus when 'P' then 1 when 'O' then 2 when 'F' then 3 end as double) as a, try_cast(concat('1', substr(o_orderpriority, 1, 1)) as integer) as b, case when o_orderstatus = 'F' then true end as c, count(*) as n from orders group by all")
+
+
+@_query("expr_format_date", "select strftime(m, '%Y') as y, strftime(m, '%b') as b, strftime(m, '%j') as j, strftime(m, '%d/%m/%y') as t, count(*) as n from dated group by all", _TUBES)
+def _(spark, d):
+    terms = {"y": "format(.date, '%Y')", "b": "format(.date, '%b')", "j": "format(.date, '%j')", "t": "format(.date, '%d/%m/%y')"}
+    rows = attach(tag.tag_tube_date(order_tubes(spark, d)), list(terms.values()))
+    return rows.groupBy(*[c(t).alias(n) for n, t in terms.items()]).agg(_n())
+
+
+@_query("expr_na_rm_scalar", "select case when v > (select avg(v) from tubes) then 'above' when v is null then 'none' else 'below' end as a, case when v is null then null else round((v - (select min(v) from tubes)) / ((select max(v) from tubes) - (select min(v) from tubes)), 2) end as b, count(*) as n from tubes group by all", _TUBES)
+def _(spark, d):
+    v = "bias_adjusted_measurement"
+    rows = attach(order_tubes(spark, d), [
+        f"ifelse(is.na({v}), 'none', ifelse({v} > mean({v}, na.rm = TRUE), 'above', 'below'))",
+        f"({v} - min({v}, na.rm = TRUE)) / (max({v}, na.rm = TRUE) - min({v}, na.rm = TRUE))",
+    ])
+    return rows.groupBy(c(rows.columns[-2]).alias("a"), _r(c(rows.columns[-1]), 2).alias("b")).agg(_n())
+
+
+@_query("expr_check_data", "select la as term, count(*) as n from tubes where v > 1000 group by all", _TUBES)
+def _(spark, d):
+    rows = check_tube_data(order_tubes(spark, d), ["factor(local_authority)", "bias_adjusted_measurement > 1000"])
+    return rows.where(c("bias_adjusted_measurement > 1000")).groupBy(c("factor(local_authority)").alias("term")).agg(_n())
+
+
+# Statistics ----------------------------------------------------------------------
+@_query("stat_mean", "select round(avg(v), 4) as value from tubes", _TUBES)
+def _(spark, d):
+    return aggregate.calc_tube_stat(order_tubes(spark, d)).select(_r(c(".value")).alias("value"))
+
+
+@_query("stat_by_year", "select strftime(m, '%Y') as year, round(avg(v), 4) as value from dated group by all", _TUBES)
+def _(spark, d):
+    return aggregate.calc_tube_stat(order_tubes(spark, d), ".value", ".year").select(c(".year").alias("year"), _r(c(".value")).alias("value"))
+
+
+@_query("stat_multi", "select la, cast(count(v) as bigint) as n, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as sd, round(median(v), 4) as median, round(min(v), 4) as lo, round(max(v), 4) as hi, round(var_samp(v), 2) as var from tubes group by all", _TUBES)
+def _(spark, d):
+    parts = {"n": st.n_finite, "mean": F.avg, "sd": F.stddev_samp, "median": F.median, "lo": F.min, "hi": F.max}
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), ".value", "factor(local_authority)", {**parts, "var": F.var_samp})
+    return out.select(c("factor(local_authority)").alias("la"), c(".value.n").alias("n"), *[_r(c(f".value.{k}")).alias(k) for k in list(parts)[1:]], _r(c(".value.var"), 2).alias("var"))
+
+
+@_query("stat_two_keys", "select site, strftime(m, '%b') as month, round(avg(v), 4) as value from dated group by all", _TUBES)
+def _(spark, d):
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), ".value", ["site", ".month"])
+    return out.select("site", c(".month").alias("month"), _r(c(".value")).alias("value"))
+
+
+@_query("stat_comma_keys", "select site, la as local_authority, count(v) as n from tubes group by all", _TUBES)
+def _(spark, d):
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), "bias_adjusted_measurement", "site,local_authority", {"n": F.count})
+    return out.select("site", "local_authority", c("bias_adjusted_measurement.n").alias("n"))
+
+
+@_query("stat_multi_tube", "select la, round(avg(v), 4) as value, round(avg(v * 2 + 1), 4) as double_value, round(avg(lat), 6) as lat from tubes group by all", _TUBES)
+def _(spark, d):
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), [".value", ".value * 2 + 1", ".latitude"], "local_authority")
+    return out.select(c("local_authority").alias("la"), _r(c(".value")).alias("value"), _r(c(".value * 2 + 1")).alias("double_value"), _r(c(".latitude"), 6).alias("lat"))
+
+
+@_query("stat_quantile7", "select site, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.5), 6) as mid, round(quantile_cont(v, 0.975), 6) as hi from tubes group by all", _TUBES)
+def _(spark, d):
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), ".value", "site", {"q": lambda x: st.quantile7(x, [0.025, 0.5, 0.975])})
+    return out.select("site", *[_r(F.get(c(".value.q"), F.lit(k)), 6).alias(n) for k, n in enumerate(("lo", "mid", "hi"))])
+
+
+@_query("stat_text_mixed", "select la, cast(count(distinct site) as varchar) as n, string_agg(distinct concat('''', site, ''''), '|' order by concat('''', site, '''')) as options from tubes group by all", _TUBES)
+def _(spark, d):
+    stat = st.Stat({"n": st.n_distinct, "options": st.options}, frozenset({"options"}))
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), "site", "local_authority", stat)
+    return out.select(c("local_authority").alias("la"), c("site.n").alias("n"), c("site.options").alias("options"))
+
+
+@_query("cut_distance", "select case when p_retailprice <= 1 then '(0,1]' when p_retailprice <= 1000 then '(1,1e+03]' when p_retailprice <= 1500 then '(1e+03,1.5e+03]' when p_retailprice <= 1e6 then '(1.5e+03,1e+06]' end as band, count(*) as n from part group by all")
+def _(spark, d):
+    return _read(spark, d, "part").groupBy(st.cut(F.col("p_retailprice"), [0, 1, 1000, 1500, 1e6]).alias("band")).agg(_n())
+
+
+@_query("factor_summary", "select l.level, coalesce(n, 0) as n from (values ('Jan'), ('Feb'), ('Mar'), ('Apr'), ('May'), ('Jun'), ('Jul'), ('Aug'), ('Sep'), ('Oct'), ('Nov'), ('Dec')) l(level) left join (select strftime(m, '%b') as level, count(*) as n from dated where mon <> 5 group by all) using (level)", _TUBES)
+def _(spark, d):
+    rows = tag.tag_tube_month(order_tubes(spark, d).where("month_numeric <> 5"))
+    return aggregate.factor_counts(rows, ".month")
+
+
+@_query("factor_row", "select sum(case when o_orderstatus = 'F' then 1 else 0 end)::bigint as \"F\", sum(case when o_orderstatus = 'O' then 1 else 0 end)::bigint as \"O\", sum(case when o_orderstatus = 'P' then 1 else 0 end)::bigint as \"P\" from orders")
+def _(spark, d):
+    return aggregate.factor_row(attach(_read(spark, d, "orders"), ["factor(o_orderstatus)"]).select(c("factor(o_orderstatus)").alias("s", metadata={"levels": ["F", "O", "P"]})), "s")
+
+
+@_query("merge_null_keys", "select k, round(avg(n), 4) as n, count(*) as rows from (select x.k, y.n from (select case when o_custkey % 10 = 0 then null else o_custkey % 7 end as k from orders) x join (select case when c_custkey % 10 = 0 then null else c_custkey % 7 end as k, count(*) as n from customer group by all) y on x.k is not distinct from y.k) group by all")
+def _(spark, d):
+    key = lambda n: F.when(F.col(n) % 10 != 0, F.col(n) % 7).alias("k")
+    right = _read(spark, d, "customer").groupBy(key("c_custkey")).agg(_n())
+    return merge.r_merge(_read(spark, d, "orders").select(key("o_custkey")), right).groupBy("k").agg(_r(F.avg("n")).alias("n"), _n("rows"))
+
+
+# Summaries -------------------------------------------------------------------------
+_MISSING_TAG = "lat is null or lon is null or s is null or e is null"
+
+
+@_query("summary_dataset", f"select cast(min(s) as varchar) as \"from\", cast(max(e) as varchar) as \"to\", count(*) as n_total, count(distinct sid) as n_samples, count(distinct (s, e)) as n_intervals, count(distinct concat(lat, ' ', lon)) filter (lat is not null and lon is not null) + max(case when lat is null or lon is null then 1 else 0 end) as n_locations, count(distinct sid) filter ({_MISSING_TAG}) as n_bad_tags from samples", _SAMPLES)
+def _(spark, d):
+    out = summaries.tube_summary(order_tubes(spark, d))
+    dates = {n: _day(c(n)) for n in ("from", "to")}
+    return out.select(*[dates.get(n, c(n)).alias(n.replace(".", "_")) for n in out.columns])
+
+
+@_query("summary_sample", "select cast(sid as double) as sample_id, count(*) as n, sum(cast(lat is null as bigint))::bigint as missing_lat, sum(cast(lat is null as bigint) * 2)::bigint as checksum from samples group by all", _SAMPLES)
+def _(spark, d):
+    out = summaries.tube_summary_sample(order_tubes(spark, d), "report")
+    return out.select(c(".sample_id").alias("sample_id"), "n", c("missing.latitudes").alias("missing_lat"), "checksum")
+
+
+_FAR = """, places as (select lat, lon, cast(min(sid) as double) as sample_id from samples where lat is not null and lon is not null group by all), mid as (select median(lat) as la, median(lon) as lo from places), far as (
+  select sample_id, lat, lon, 2 * 6371000 * asin(sqrt(pow(sin(radians(lat - la) / 2), 2) + pow(sin(radians(lon - lo) / 2), 2) * cos(radians(la)) * cos(radians(lat)))) as d from places, mid)"""
+
+
+@_query("summary_latlon", _FAR + " select sample_id, lat as latitude, lon as longitude, round(d, 3) as distance from far", _SAMPLES)
+def _(spark, d):
+    out = summaries.tube_summary_lat_lon(order_tubes(spark, d), "report")
+    return out.select(c(".sample_id").alias("sample_id"), c(".latitude").alias("latitude"), c(".longitude").alias("longitude"), _r(c("distance.m"), 3).alias("distance"))
+
+
+@_query("summary_latlon_bands", _FAR + ", bands as (select case when d <= 0 then 'NA''s' when d <= 1 then '(0,1]' when d <= 10 then '(1,10]' when d <= 100 then '(10,100]' when d <= 1e3 then '(100,1e+03]' when d <= 1e4 then '(1e+03,1e+04]' when d <= 1e5 then '(1e+04,1e+05]' when d <= 1e6 then '(1e+05,1e+06]' else '(1e+06,1e+07]' end as level, count(*) as n from far group by all) select level, coalesce(n, 0) as n from (values ('(0,1]'), ('(1,10]'), ('(10,100]'), ('(100,1e+03]'), ('(1e+03,1e+04]'), ('(1e+04,1e+05]'), ('(1e+05,1e+06]'), ('(1e+06,1e+07]')) l(level) left join bands using (level) union all select level, n from bands where level = 'NA''s'", _SAMPLES)
+def _(spark, d):
+    return summaries.tube_summary_lat_lon(order_tubes(spark, d))
+
+
+# Meta-data ---------------------------------------------------------------------------
+@_query("meta_check", "select la as local_authority, cast(count(distinct site) as varchar) as count, string_agg(distinct concat('''', site, ''''), '|' order by concat('''', site, '''')) as options from tubes group by all", _TUBES)
+def _(spark, d):
+    out = meta.check_tube_meta(order_tubes(spark, d), "site", "local_authority", "report")
+    return out.select("local_authority", c("site.count").alias("count"), c("site.options").alias("options"))
+
+
+@_query("meta_extract", "select site, min(site_name) as site_name, min(la) as local_authority from tubes group by all", _TUBES)
+def _(spark, d):
+    return meta.extract_tube_meta(order_tubes(spark, d), ["site_name", "local_authority", "year_of_measurement"], "site")
+
+
+@_query("meta_add", "select la, x, count(*) as n from (select l_suppkey, la from tubes) join (select s_suppkey, s_nationkey * 2 as x from supplier) on l_suppkey = s_suppkey group by all", _TUBES)
+def _(spark, d):
+    ref = _read(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("site"), (F.col("s_nationkey") * 2).cast("bigint").alias("x"))
+    return meta.add_tube_meta(order_tubes(spark, d), ref, "site").groupBy(c("local_authority").alias("la"), "x").agg(_n())
+
+
+@_query("meta_extract_add", "select t.site, name, count(*) as n from tubes t join (select site, min(site_name) as name from tubes group by all) using (site) group by all", _TUBES)
+def _(spark, d):
+    rows = order_tubes(spark, d)
+    out = meta.extract_and_add_tube_meta(rows.drop("site_name"), ["site_name"], "site", rows)
+    return out.groupBy("site", c("site_name").alias("name")).agg(_n())
+
+
+def _patchy(spark, d):
+    rows = order_tubes(spark, d)
+    value = F.when(F.col("month_numeric") > 10, None).when((F.substring("site", 2, 9).cast("int") % 7 == 0) & (F.col("month_numeric") == 2), "odd").otherwise(F.col("local_authority"))
+    return rows.withColumn("p", value)
+
+
+_PATCHY = ", patchy as (select *, case when mon > 10 then null when l_suppkey % 7 = 0 and mon = 2 then 'odd' else la end as p from dated)"
+
+
+@_query("meta_pad", _PATCHY + " select site, min(p) over (partition by site) as p, n from (select site, p, count(*) as n from patchy group by all)", _TUBES)
+def _(spark, d):
+    kept = _patchy(spark, d).withColumn("q", F.col("p"))
+    return meta.pad_tube_meta(kept, "p", "site").groupBy("site", "q", "p").agg(_n()).select("site", "p", "n")
+
+
+@_query("meta_repair", _PATCHY + ", g as (select site, count(distinct p) + max(case when p is null then 1 else 0 end) as k, list(distinct p) as ps from patchy group by all), fixed as (select t.site, case when k > 1 and len(list_filter(ps, lambda x: x in ('GERMANY', 'odd', 'FRANCE', 'NATION_1', 'NATION_2', 'NATION_3'))) = 1 then list_filter(ps, lambda x: x in ('GERMANY', 'odd', 'FRANCE', 'NATION_1', 'NATION_2', 'NATION_3'))[1] when k > 1 and len(list_filter(ps, lambda x: x in ('GERMANY', 'odd', 'FRANCE', 'NATION_1', 'NATION_2', 'NATION_3'))) > 1 then p || '.SUSPECT' else p end as p from patchy t join g using (site)) select site, p, count(*) as n from fixed group by all", _TUBES)
+def _(spark, d):
+    out = meta.repair_tube_meta(_patchy(spark, d), "p", "site", ["GERMANY", "odd", "FRANCE", "NATION_1", "NATION_2", "NATION_3"])
+    return out.groupBy("site", "p").agg(_n())
+
+
+_LEVEL_GROUPS = _PATCHY + """, named as (select concat('{', coalesce(cast(lat as varchar), 'NA'), ',', coalesce(cast(lon as varchar), 'NA'), '}') as loc, dense_rank() over (order by lat nulls last, lon nulls last, s, e) as sid, * from patchy),
+groups as (
+  select 'total' as ref, count(*) as n, count(p) as present, count(distinct p) as k from named union all by name select 'sample' as ref, count(*) as n, count(p) as present, count(distinct p) as k from named group by sid
+  union all by name select 'date' as ref, count(*) as n, count(p) as present, count(distinct p) as k from named group by m union all by name select 'location' as ref, count(*) as n, count(p) as present, count(distinct p) as k from named group by loc)"""
+
+
+@_query("meta_status_levels", _LEVEL_GROUPS + ", statuses as (select ref, case when present = 0 then 'grey' when k = 1 and n = present then 'green' when k = 1 then 'amber' else 'red' end as status, n from groups) select 'p' as variable, ref, status, count(*) as groups, round(sum(n) * 100.0 / (select count(*) from tubes), 4) as value from statuses group by all", _TUBES)
+def _(spark, d):
+    out = meta.test_tube_meta(_patchy(spark, d), ["p"], plot_type=2)
+    return out.groupBy("variable", "ref", "status").agg(_n("groups"), _r(F.sum("value")).alias("value"))
+
+
+@_query("meta_single_valued", _LEVEL_GROUPS + " select 'p' as variable, ref, round(sum(case when k = 1 and n = present then present else 0 end) * 100.0 / (select count(*) from tubes), 4) as value from groups group by all", _TUBES)
+def _(spark, d):
+    out = meta.test_tube_meta(_patchy(spark, d), ["p"])
+    return out.select("variable", "ref", _r(F.col("value")).alias("value"))
+
+
+# Annual ---------------------------------------------------------------------------------
+_COVER = """, days as (select distinct strftime(m, '%Y') as year, site, unnest(generate_series(s, e, interval 1 day)) as day from dated), cover as (select year, site, count(distinct day) as n from days group by all)"""
+
+
+@_query("annual_cover", _COVER + " select year, site, cast(n as double) as n, round(n / 365.0 * 100, 4) as pc from cover", _TUBES)
+def _(spark, d):
+    out = annual.tube_annual_cover(order_tubes(spark, d), by="site", output="report")
+    return out.select(c(".year").alias("year"), "site", c(".annual.n").alias("n"), _r(c(".annual.pc")).alias("pc"))
+
+
+@_query("annual_overlap", """with periods as (select c_nationkey as k, cast(o_orderdate as date) as s, cast(o_orderdate as date) + cast(o_orderkey % 40 as integer) as e from orders join customer on o_custkey = c_custkey), days as (select distinct k, unnest(generate_series(s, e, interval 1 day)) as day from periods) select k, count(*) as n from days group by all""")
+def _(spark, d):
+    rows = _read(spark, d, "orders").join(_read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.col("o_orderdate").cast("date")
+    rows = rows.select(F.col("c_nationkey").alias("k"), day.alias("s"), F.date_add(day, (F.col("o_orderkey") % 40).cast("int")).alias("e"))
+    return annual.days_covered(rows, ["k"], "s", "e", "n")
+
+
+@_query("annual_test", _COVER + ", passing as (select site from cover where n >= 330 and year in ('1996', '1997') group by site having count(*) = 2) select site, site in (select site from passing) as passed, count(*) as n from tubes group by all", _TUBES)
+def _(spark, d):
+    cover = annual.tube_annual_cover(order_tubes(spark, d), by="site")
+    out = annual.tube_annual_test(cover, ".annual.n >= 330", "site", [1996, 1997])
+    return out.groupBy("site", c(".annual.n >= 330.1996.1997").alias("passed")).agg(_n())
+
+
+# Precision ---------------------------------------------------------------------------------
+_SETS = _SAMPLES + ", sets as (select sid, count(v) as n, avg(v) as mean, stddev_samp(v) as sd, quantile_cont(v, 0.025) as q1, quantile_cont(v, 0.975) as q2 from samples group by all having count(v) = 3)"
+
+
+def _precision(method: int, half: str):
+    low, high = ("q1", "q2") if method == 1 else (f"mean - {half}", f"mean + {half}")
+    sql = f"select cast(sid as double) as sample_id, {_f_sql('mean')} as mean, {_f_sql(low)} as low, {_f_sql(high)} as high from sets"
+
+    @_query(f"precision_m{method}", sql, _SETS)
+    def _(spark, d):
+        rows, _ = precision.replicates(order_tubes(spark, d), n=3, method=method)
+        keys = [c(".sample_id").alias("sample_id"), *[_f(c(f".{k}")).alias(k) for k in ("mean", "low", "high")]]
+        return rows.select(*keys).distinct()
+
+
+for _m, _half in ((1, ""), (2, "4.302652729749464 * sd / sqrt(3)"), (3, "1.96 * sd / sqrt(3)"), (4, "1.959963984540054 * sd")):
+    _precision(_m, _half)
+
+
+@_query("precision_sets_by_year", "select strftime(m, '%Y') as year, count(*) as rows, round(avg(mean), 4) as mean from samples join sets using (sid) where v is not null group by all", _SETS)
+def _(spark, d):
+    rows, _ = precision.replicates(order_tubes(spark, d), n=3, method=2, facet=".year")
+    return rows.groupBy(c(".year").alias("year")).agg(_n("rows"), _r(F.avg(c(".mean"))).alias("mean"))
+
+
+# Local regression by sums, solved by Cramer's rule: another way than the engine's.
+_LOESS = _SETS + """, pts as (select mean as x, count(*) as w, sum(v) as sy from samples join sets using (sid) where v is not null group by all),
+gaps as (select t.x as t, p.x, p.w, p.sy, p.x - t.x as d, abs(p.x - t.x) as a from (select x from pts) t, pts p),
+runs as (select *, sum(w) over (partition by t order by a rows unbounded preceding) as c from gaps), q as (select greatest(1, floor(sum(w) * 0.75)) as q from pts),
+h as (select t, min(a) as h from runs, q where c >= q group by t),
+k as (select gaps.t, gaps.d / h as z, w, sy, case when a < h then pow(1 - pow(a / h, 3), 3) else 0 end as k from gaps join h using (t)),
+s as (select t, sum(k*w) s0, sum(k*w*z) s1, sum(k*w*z*z) s2, sum(k*w*z*z*z) s3, sum(k*w*z*z*z*z) s4, sum(k*sy) t0, sum(k*sy*z) t1, sum(k*sy*z*z) t2 from k group by t)
+select round(t, 6) as x, round((t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2)), 3) as y from s"""
+
+
+@_query("precision_loess_1d")
+def _(spark, d):
+    out = precision.test_tube_precision(order_tubes(spark, d))
+    return out.data.select(_r(c(".mean"), 6).alias("x"), _r(c(".y"), 3).alias("y")).distinct()
+
+
+ORACLES["precision_loess_1d"] = "with " + _LOESS
+
+
+@_query("precision_lookup")
+def _(spark, d):
+    out = precision.test_tube_precision(order_tubes(spark, d), facet=".year").lookup
+    return out.select(c(".cut").alias("cut"), "ans", *[_r(c(k)).alias(k.replace(".", "_")) for k in ("low", "high", "low.pc", "high.pc")])
+
+
+# Accuracy -----------------------------------------------------------------------------------
+_PAIRS = _SAMPLES + """, series as (select cast(o_orderdate as date) as day, o_totalprice / 1000 as x, n_regionkey + 1 as k from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+monitors as (select k, 53.0e0 + (k * 37 % 97) / 1000e0 as mlat, -2.0e0 + (k * 53 % 89) / 1000e0 as mlon from (select distinct k from series)),
+means as (select k, w.s, w.e, avg(x) as ref from (select distinct s, e from tubes) w join series on day between w.s and w.e group by all),
+pairs as (select t.*, mlat, mlon, ref, 2 * 6371000 * asin(sqrt(pow(sin(radians(lat - mlat) / 2), 2) + pow(sin(radians(lon - mlon) / 2), 2) * cos(radians(mlat)) * cos(radians(lat)))) as d
+  from samples t join monitors on lat is not null join means using (k, s, e) where v is not null)"""
+
+
+def _accuracy(spark, d):
+    return accuracy.accuracy_pairs(order_tubes(spark, d), order_monitors(spark, d))
+
+
+@_query("accuracy_pairs", "select cast(round(mlat * 1000) as bigint) as monitor, site, count(*) as n, round(avg(d), 3) as distance, round(avg(ref), 4) as ref from pairs group by all", _PAIRS)
+def _(spark, d):
+    out = _accuracy(spark, d)
+    monitor = F.round(F.split_part(c(".monitor"), F.lit(" "), F.lit(1)).cast("double") * 1000).cast("bigint")
+    return out.groupBy(monitor.alias("monitor"), "site").agg(_n(), _r(F.avg(c("distance.m")), 3).alias("distance"), _r(F.avg(c(".ref"))).alias("ref"))
+
+
+@_query("accuracy_range_average", "select cast(k as bigint) as k, cast(s as varchar) as start_date, cast(e as varchar) as end_date, " + _f_sql("ref") + " as value from means", _PAIRS)
+def _(spark, d):
+    windows = order_tubes(spark, d)
+    series = order_monitors(spark, d).withColumn("k", F.substring("code", 2, 9).cast("bigint"))
+    out = accuracy.range_average(windows, series, ["k"], ["no2"])
+    return out.select("k", _day(c(".start_date")).alias("start_date"), _day(c(".end_date")).alias("end_date"), _f(F.col("no2")).alias("value"))
+
+
+@_query("accuracy_odd_windows", """with series as (select cast(ts as date) as day, value as x from events), w as (select distinct date '2023-12-20' + cast(event_id % 30 as integer) as s, date '2023-12-20' + cast(event_id % 30 + event_id % 47 as integer) as e from events) select cast(s as varchar) as start_date, cast(e as varchar) as end_date, """ + _f_sql("avg(x)") + """ as value from w join series on day between s and e group by all""")
+def _(spark, d):
+    events = _read(spark, d, "events")
+    start = F.date_add(F.lit("2023-12-20").cast("date"), (F.col("event_id") % 30).cast("int"))
+    windows = events.select(start.alias(".start_date"), F.date_add(start, (F.col("event_id") % 47).cast("int")).alias(".end_date"))
+    out = accuracy.range_average(windows, events.select(F.col("ts").alias("date"), "value"), [], ["value"])
+    return out.select(_day(c(".start_date")).alias("start_date"), _day(c(".end_date")).alias("end_date"), _f(F.col("value")).alias("value"))
+
+
+@_query("accuracy_ols", "select strftime(m, '%Y') as year, count(*) as n, round(regr_slope(v, ref), 4) as slope, round(regr_intercept(v, ref), 2) as intercept, round(1 - (1 - regr_r2(v, ref)) * (count(*) - 1) / (count(*) - 2), 4) as adj_r2 from pairs where d < 3000 group by all", _PAIRS)
+def _(spark, d):
+    near = attach(tag.tag_tube_year(_accuracy(spark, d)), [".year"]).where(c("distance.m") < 3000)
+    out = accuracy.lines_by(near, [".year"], ".ref", ".tube")
+    return out.select(c(".year").alias("year"), "n", _r(c("slope")).alias("slope"), _r(c("intercept"), 2).alias("intercept"), _r(c("adj.r.squared")).alias("adj_r2"))
+
+
+@_query("accuracy_nearest_only", "select site, count(*) as n from pairs where d < 5000 and d = (select min(d) from pairs) group by all", _PAIRS)
+def _(spark, d):
+    out = accuracy.test_tube_accuracy(order_tubes(spark, d), order_monitors(spark, d), max_distance=5000.0, nearest_only=True)
+    return out.data.groupBy("site").agg(_n())
+
+
+@_query("accuracy_lookup")
+def _(spark, d):
+    out = accuracy.test_tube_accuracy(order_tubes(spark, d), order_monitors(spark, d), max_distance=3000.0, facet=".year").lookup
+    return out.select(*[c(n).alias(n.strip(".").replace(".", "_")) for n in out.columns])
+
+
+# Space ---------------------------------------------------------------------------------------
+_RING = [[-1.99, 53.01], [-1.93, 53.02], [-1.95, 53.05], [-1.92, 53.08], [-1.98, 53.09], [-1.96, 53.05]]
+_EDGES = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(_RING, _RING[1:] + _RING[:1], strict=True))
+
+
+@_query("polygon_flag", f", edges as (select * from (values {_EDGES}) t(x1, y1, x2, y2)), hits as (select lat, lon, sum(case when (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 then 1 else 0 end) as k from (select distinct lat, lon from tubes where lat is not null), edges group by all) select site, k % 2 = 1 as ans, count(*) as n from tubes join hits using (lat, lon) group by all", _TUBES)
+def _(spark, d):
+    return polygon.tube_in_xy_polygon(order_tubes(spark, d), _RING).groupBy("site", "ans").agg(_n())
+
+
+@_query("mercator", "select site, round(min(radians(lon) * 6378137), 3) as x, round(min(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137), 3) as y from tubes where lat is not null group by all", _TUBES)
+def _(spark, d):
+    x, y = geo.to_mercator(F.col("longitude"), F.col("latitude"))
+    return order_tubes(spark, d).where("latitude is not null").groupBy("site").agg(_r(F.min(x), 3).alias("x"), _r(F.min(y), 3).alias("y"))
+
+
+@_query("mercator_back", "select site, round(min(lon), 6) as lon, round(min(lat), 6) as lat from tubes where lat is not null group by all", _TUBES)
+def _(spark, d):
+    lon, lat = geo.from_mercator(*geo.to_mercator(F.col("longitude"), F.col("latitude")))
+    return order_tubes(spark, d).where("latitude is not null").groupBy("site").agg(_r(F.min(lon), 6).alias("lon"), _r(F.min(lat), 6).alias("lat"))
+
+
+@_query("tile_index", "select cast(floor((lon + 180) / 360 * 4096) as integer) as x, cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096) as integer) as y, count(*) as n from tubes where lat is not null group by all", _TUBES)
+def _(spark, d):
+    x, y = geo.tile_index(F.col("longitude"), F.col("latitude"), 12)
+    return order_tubes(spark, d).where("latitude is not null").groupBy(x.alias("x"), y.alias("y")).agg(_n())
+
+
+_GRID = ", r as (select min(lon) as a, max(lon) as b, min(lat) as c, max(lat) as d from tubes), grid as (select a + (b - a) * i / 19e0 as lon, c + (d - c) * j / 14e0 as lat, (i / 19e0) as u, (j / 14e0) as w from r, range(20) x(i), range(15) y(j))"
+
+
+@_query("grid_nodes", _GRID + " select round(lon, 6) as lon, round(lat, 6) as lat from grid", _TUBES)
+def _(spark, d):
+    out = surface.grid_nodes(tag.tag_tube_lat_lon(order_tubes(spark, d)), [".longitude", ".latitude"], [20, 15])
+    return out.select(_r(c(".longitude"), 6).alias("lon"), _r(c(".latitude"), 6).alias("lat"))
+
+
+@_query("too_far_mask", _GRID + ", near as (select g.lon, g.lat, min(sqrt(pow(u - (t.lon - a) / (b - a), 2) + pow(w - (t.lat - c) / (d - c), 2))) as gap from grid g, r, (select distinct lat, lon from tubes where lat is not null) t group by all) select round(lon, 6) as lon, round(lat, 6) as lat, gap <= 0.06 as near from near", _TUBES)
+def _(spark, d):
+    rows = tag.tag_tube_lat_lon(order_tubes(spark, d))
+    grid = surface.grid_nodes(rows, [".longitude", ".latitude"], [20, 15]).withColumn("v", F.lit(1.0))
+    out = surface.exclude_too_far(grid, rows, [".longitude", ".latitude"], 0.06, ["v"])
+    return out.select(_r(c(".longitude"), 6).alias("lon"), _r(c(".latitude"), 6).alias("lat"), c("v").isNotNull().alias("near"))
+
+
+@_query("near_sites", ", p as (select site, min(lat) as la, min(lon) as lo from tubes where lat is not null group by all), g as (select x.site, y.site as other, 2 * 6371000 * asin(sqrt(pow(sin(radians(y.la - x.la) / 2), 2) + pow(sin(radians(y.lo - x.lo) / 2), 2) * cos(radians(x.la)) * cos(radians(y.la)))) as d from p x, p y) select site, other, round(d, 2) as distance from (select *, row_number() over (partition by site order by d, other) as r from g where d <= 2000) where r <= 6", _TUBES)
+def _(spark, d):
+    rows = tag.tag_tube_lat_lon(order_tubes(spark, d))
+    out = deseason.neighbours(rows, "site", 2000.0, 6)
+    return out.select("site", "other", _r(F.col("distance"), 2).alias("distance"))
+
+
+@_query("colour_ramp")
+def _(spark, d):
+    out = maps.marker_colours(order_tubes(spark, d).transform(tag.tag_tube), ".value")
+    return out.groupBy("color").agg(_n())
+
+
+@_query("colour_ends", "select case when p_size = (select min(p_size) from part) then '#9E0142' when p_size = (select max(p_size) from part) then '#5E4FA2' end as color, count(*) as n from part where p_size in (select min(p_size) from part union select max(p_size) from part) group by all")
+def _(spark, d):
+    rows = _read(spark, d, "part")
+    ends = rows.agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    rows = rows.crossJoin(F.broadcast(ends)).where("p_size = lo or p_size = hi")
+    return rows.groupBy(colour_ramp(F.col("p_size").cast("double"), F.col("lo"), F.col("hi")).alias("color")).agg(_n())
+
+
+# Clusters ----------------------------------------------------------------------------------------
+_SERIES = ", series as (select site, m as date, avg(v) as v from dated where l_suppkey < 20 and v is not null group by all)"
+
+
+def _series(spark, d):
+    return cluster.site_series(order_tubes(spark, d).where(F.substring("site", 2, 9).cast("int") < 20), by="site")
+
+
+@_query("cluster_wide", _SERIES + " select cast(date as varchar) as date, count(distinct site) as sites, round(avg(v), 6) as v from series group by all", _TUBES)
+def _(spark, d):
+    table = cluster.wide(_series(spark, d))
+    long = table.unpivot("date", [n for n in table.columns if n != "date"], "site", "v").where("v is not null")
+    return long.groupBy(_day(F.col("date")).alias("date")).agg(F.count_distinct("site").alias("sites"), _r(F.avg("v"), 6).alias("v"))
+
+
+@_query("cluster_corr_distance", _SERIES + " select a.site as a, b.site as b, round(1 - coalesce(nullif(corr(a.v, b.v), 'nan'::double), 0), 6) as d from series a join series b using (date) group by all", _TUBES)
+def _(spark, d):
+    return cluster.correlation_distance(_series(spark, d)).select("a", "b", _r(F.col("d"), 6).alias("d"))
+
+
+def _scaled(name: str, method: int, sql: str):
+    @_query(name, _SERIES + f" select site, cast(date as varchar) as date, {_f_sql(sql)} as v from series", _TUBES)
+    def _(spark, d):
+        return cluster.scaled(_series(spark, d), method).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
+
+
+_scaled("cluster_minmax", 3, "(v - min(v) over (partition by site)) / (max(v) over (partition by site) - min(v) over (partition by site))")
+_scaled("cluster_zscore", 4, "(v - avg(v) over (partition by site)) / stddev_samp(v) over (partition by site)")
+_scaled("cluster_ratio", 5, "v / avg(v) over (partition by site)")
+
+
+@_query("cluster_trend", _SERIES + " select site, cast(date as varchar) as date, " + _f_sql("t") + " as v from (select *, v - lag(v) over (partition by site order by date) as t from series) where t is not null", _TUBES)
+def _(spark, d):
+    return cluster.trend(_series(spark, d)).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
+
+
+@_query("cluster_pam")
+def _(spark, d):
+    out = cluster.cluster_tube_data(order_tubes(spark, d), by="site", clusters=4, method=2)
+    return out.groupBy("site", c(".cluster").alias("cluster")).agg(_n())
+
+
+# Models ------------------------------------------------------------------------------------------
+@_query("fit_loess_2d")
+def _(spark, d):
+    out = surface.fit_tube_model(order_tubes(spark, d), by=".year", simplify=True)
+    return out.select(c(".year").alias("year"), c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value.pred")).alias("pred"))
+
+
+@_query("fit_surface_masked")
+def _(spark, d):
+    out = surface.fit_tube_model(order_tubes(spark, d), simplify=True, new_data="input.ranges", grid_resolution=40, too_far=0.05)
+    return out.select(c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value.pred")).alias("pred"))
+
+
+@_query("fit_gam")
+def _(spark, d):
+    out = surface.fit_tube_model(order_tubes(spark, d), model="gam", simplify=True)
+    return out.select(c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value.pred")).alias("pred"))
+
+
+@_query("deseason_m1")
+def _(spark, d):
+    out = deseason.deseason_tube_data(order_tubes(spark, d), by="site")
+    return out.select("site", _day(c(".date")).alias("date"), *[_r(c(f".{k}")).alias(k) for k in ("fit", "trend", "season", "deseason")])
+
+
+@_query("deseason_m2")
+def _(spark, d):
+    out = deseason.deseason_tube_data(order_tubes(spark, d), by="site", method=2, max_distance=2000.0, max_n=4)
+    return out.select("site", _day(c(".date")).alias("date"), *[_r(c(f".{k}")).alias(k) for k in ("fit", "trend", "season", "deseason")])
+
+
+# Figures -----------------------------------------------------------------------------------------
+@_query("band_quantiles", "select cast(m as varchar) as date, round(quantile_cont(v, 0.05), 6) as low, round(median(v), 6) as mid, round(quantile_cont(v, 0.95), 6) as hi from dated group by all", _TUBES)
+def _(spark, d):
+    rows = tag.tag_tube_required(order_tubes(spark, d), [".date", ".value"])
+    out = figures.band_stats(rows, ".date", ".value", probs=(0.05, 0.5, 0.95))
+    return out.select(_day(c(".date")).alias("date"), *[_r(c(f".value.y.{k}"), 6).alias(k) for k in ("low", "mid", "hi")])
+
+
+@_query("overplot_mean", "select lon, lat, round(avg(v), 4) as mean from tubes group by all", _TUBES)
+def _(spark, d):
+    plot = figures.tube_plot(order_tubes(spark, d), ".longitude", ".latitude", colour=".value", overplot="mean")
+    return plot.layers[0].data.select(c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value.mean")).alias("mean"))
+
+
+@_query("overplot_count", "select lon, lat, count(*) as n from tubes group by all", _TUBES)
+def _(spark, d):
+    plot = figures.tube_plot(order_tubes(spark, d), ".longitude", ".latitude", overplot="count")
+    return plot.layers[0].data.select(c(".longitude").alias("lon"), c(".latitude").alias("lat"), c("..dummy.count").alias("n"))
+
+
+@_query("box_groups", "select concat(strftime(m, '%b'), '&', la) as g, count(*) as n, round(median(v), 6) as mid from dated group by all", _TUBES)
+def _(spark, d):
+    plot = figures.tube_plot(order_tubes(spark, d), ".month", ".value", "box", fill="local_authority")
+    return plot.layers[0].data.groupBy(c("..group").alias("g")).agg(_n(), _r(F.median(c(".value")), 6).alias("mid"))
+
+
+@_query("map_extent", "select round(min(lon) - (max(lon) - min(lon)) * 0.05, 6) as x_low, round(max(lon) + (max(lon) - min(lon)) * 0.05, 6) as x_high, round(min(lat) - (max(lat) - min(lat)) * 0.05, 6) as y_low, round(max(lat) + (max(lat) - min(lat)) * 0.05, 6) as y_high from tubes", _TUBES)
+def _(spark, d):
+    out = maps.extent(tag.tag_tube_lat_lon(order_tubes(spark, d)), ".longitude", ".latitude")
+    return out.select(*[_r(c(n), 6).alias(n) for n in out.columns])
+
+
+@_query("figure_monthly_medians", "select strftime(m, '%b') as month, strftime(m, '%Y') as year, round(median(v), 4) as value from dated group by all", _TUBES)
+def _(spark, d):
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), ".value", [".month", ".year"], "median")
+    return out.select(c(".month").alias("month"), c(".year").alias("year"), _r(c(".value")).alias("value"))
+
+
+@_query("figure_inside_outside", f", edges as (select * from (values {_EDGES}) t(x1, y1, x2, y2)), hits as (select lat, lon, sum(case when (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 then 1 else 0 end) as k from (select distinct lat, lon from dated where lat is not null), edges group by all) select strftime(m, '%Y') as year, k % 2 = 1 as inside, round(median(v), 4) as value from dated join hits using (lat, lon) group by all", _TUBES)
+def _(spark, d):
+    rows = polygon.tube_in_xy_polygon(order_tubes(spark, d), _RING)
+    out = aggregate.calc_tube_stat(rows, ".value", [".year", "ans"], "median")
+    return out.select(c(".year").alias("year"), c("ans").alias("inside"), _r(c(".value")).alias("value"))
+
+
+@_query("figure_replicate_density", "select n, count(*) as sets from (select sid, count(v) as n from samples group by all) group by all", _SAMPLES)
+def _(spark, d):
+    out = aggregate.calc_tube_stat(tag.tag_tube(order_tubes(spark, d)), ".value", ".sample_id", {"n": st.n_finite})
+    return out.groupBy(c(".value.n").alias("n")).agg(_n("sets"))
+
+
+# Streams (the same plan on a bounded frame) --------------------------------------------------------
+@_query("windowed_daily", "select cast(cast(ts as date) as varchar) as start, event_type, count(value) as n, round(avg(value), 4) as mean from events group by all")
+def _(spark, d):
+    rows = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = rolling.windowed_stat(rows, "value", "ts", "event_type", stat={"n": F.count, "mean": F.avg})
+    return out.select(_day(c(".start")).alias("start"), "event_type", c("value.n").alias("n"), _r(c("value.mean")).alias("mean"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate precision, method 2, sets of three, by year."""
+    return QUERIES["precision_lookup"](spark, sf_dir)
