@@ -109,6 +109,7 @@ def _send(buckets: int):
         edges = np.flatnonzero(np.diff(bucket.astype(np.int64))) + 1
         lo = np.concatenate(([0], edges)) if len(own) else np.zeros(0, int)
         hi = np.append(edges, len(own))
+        C.released()
         return pa.table({
             "bucket": pa.array([int(bucket[a]) for a in lo], pa.int32()),
             "part": pa.array([part] * len(lo), pa.int32()),
@@ -175,6 +176,7 @@ def _cut(names: list[str], spans_too: bool, schema: pa.Schema):
                 removed[a:b] = True
             texts[i], spans[i], holders[i], gone[i] = b"".join(left), places, who, int(words[removed].sum())
             lo = hi
+        C.released()
         null = table.column("text").is_null().to_pylist()
         text = pa.array([None if z else t for z, t in zip(null, texts, strict=True)], pa.binary()).cast(pa.string())
         cols = {n: table.column(n) for n in names} | {"text": text}
@@ -193,7 +195,7 @@ def _dedup(docs: DataFrame, spans_too: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    names = docs.columns
+    names = C.bounded_batches(docs).columns
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, buckets = max(1, -(-size // PART_BYTES)), max(1, -(-size * 6 // 10 // BUCKET_BYTES))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")

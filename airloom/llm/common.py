@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,6 +94,40 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
     return (v.as_py() for v in values)
 
 
+#: Arrow batches hold at most this much, so that a task's memory doesn't grow with the length of its texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, its session set to send batches of at most BATCH_BYTES to Python (a lower setting is kept)."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(key)) or 0) > BATCH_BYTES or not conf.get(key).rstrip("b").isdigit():
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def released() -> None:
+    """Gives memory that a task has freed back to the machine: workers stay for later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over bounded batches, with the memory given back at each task's end."""
+
+    def task(batches):
+        yield from run(batches)
+        released()
+
+    return bounded_batches(df).mapInArrow(task, schema)
+
+
 def in_batches(df: DataFrame, score: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Applies ``score`` to each arrow batch; it returns columns by name, in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,7 +141,7 @@ def in_batches(df: DataFrame, score: Callable[[pa.RecordBatch], dict], schema: s
                 cols = score(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def remainder(doc_id: str | Column, by: int) -> Column:

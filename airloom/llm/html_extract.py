@@ -23,6 +23,8 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import common as C
+
 MAX_SENT = 1_000_000
 #: A container's best part replaces it if it has this share of its score.
 DESCEND = 0.9
@@ -214,7 +216,7 @@ def votes(pages: DataFrame) -> DataFrame:
             host, path, score = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, path string, score double")
+    return C.map_batches(pages.select("url", "html"), run, "host string, path string, score double")
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -226,9 +228,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path (the host's winning path): one row per row of ``pages``."""
-    from .common import written
-
-    winners = written(host_paths(pages), "paths")
+    winners = C.written(host_paths(pages), "paths")
     hosts = pages.select("page_id", "url", "html", _host("url").alias("host"))
     few = winners.limit(MAX_SENT + 1).count() <= MAX_SENT
     rows = hosts.join(F.broadcast(winners) if few else winners, "host", "left").select("page_id", "url", "html", "path")
@@ -238,7 +238,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [Page(h.as_py() or "").text(p) for h, p in zip(batch.column("html"), batch.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("path")], names=["page_id", "url", "text", "n_chars", "path"])
 
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, path string")
+    return C.map_batches(rows, run, "page_id bigint, url string, text string, n_chars bigint, path string")
 
 
 def _host(url: str) -> Column:

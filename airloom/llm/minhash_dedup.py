@@ -94,7 +94,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-    return second.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return C.map_batches(second.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint")
 
 
 def table_rows(reps: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(sets))], names=["rep", "n", "root", "s"])
 
     found = texts.withColumnRenamed("doc_id", "rep").join(apart, "rep").select("rep", "n", "root", "text")
-    shingles = C.written(found.mapInArrow(explode, "rep bigint, n bigint, root bigint, s bigint"), "shingles")
+    shingles = C.written(C.map_batches(found, explode, "rep bigint, n bigint, root bigint, s bigint"), "shingles")
     several = shingles.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "c")
     own = Window.partitionBy("rep")
     need = F.ceil(F.col("n") * PERCENT / 100)

@@ -193,7 +193,7 @@ def encode_spans(docs: DataFrame, path: str) -> DataFrame:
                 pa.array([codec.decode(e.ids) for _, e in rows], pa.string()),
             ], names=["doc_id", "ids", "begins", "ends", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, begins array<bigint>, ends array<bigint>, decoded string")
+    return C.map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, begins array<bigint>, ends array<bigint>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -214,4 +214,4 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 spanned.append(int((got.ends - got.begins).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(spanned, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spanned_bytes bigint")
+    return C.map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spanned_bytes bigint")

@@ -214,4 +214,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep.append(good and (model is None or model.probability(model.margin(ngram_buckets(raw, words))) >= KEEP_FROM))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema).select(*[f"`{n}`" for n in names])
+    return C.map_batches(docs, run, schema).select(*[f"`{n}`" for n in names])
