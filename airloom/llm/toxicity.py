@@ -53,9 +53,9 @@ def features(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Sentence and bucket of each distinct word and word beginning of a sentence, and the number of sentences."""
     clean = raw.lower().translate(_CLEAN)
     starts, ends = C.word_bounds(clean)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 1
     begin, _, of_all = sentences(raw)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), max(1, len(begin))
     words_at, _ = C.word_bounds(raw)
     of = of_all[np.searchsorted(words_at, starts, side="right") - 1]
     keys = [of * BUCKETS + (C.word_hashes(clean) >> np.uint64(46)).astype(np.int64)]
