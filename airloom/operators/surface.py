@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from airloom.functions.expressions import attach
 from airloom.operators.aggregate import calc_tube_stat
-from airloom.operators.tagging import tag_tube, tag_tube_required
+from airloom.operators.tagging import tag_tube_required
 from airloom.session import TubeError, c
 
 #: Grid nodes of all inputs together, at most.
@@ -86,7 +86,7 @@ def fit_tube_model(
     averages rows of equal inputs first. A model is a name, or a function (x, y, at, se) of arrays. A row with a
     missing input has a missing prediction."""
     inputs, keys = list(inputs), [] if by is None else [by] if isinstance(by, str) else list(by)
-    d = attach(tag_tube_required(tag_tube(df, **options), [tube, *inputs, *keys]), [tube, *inputs, *keys], on_error="stop<<fit_tube_model>>tube")
+    d = attach(tag_tube_required(df, [tube, *inputs, *keys], **options), [tube, *inputs, *keys], on_error="stop<<fit_tube_model>>tube")
     function = MODELS.get(model) if isinstance(model, str) else model
     if function is None:
         raise TubeError(f"[fit_tube_model]> no model {model!r}")

@@ -168,15 +168,14 @@ def tag_tube(df: DataFrame, **options) -> DataFrame:
 
 
 def tag_tube_date(df: DataFrame, method: int | None = None, force: bool = False, **options) -> DataFrame:
-    """``.date``: 1 the start, 2 the middle (the default; a half day goes to the even one), 3 the end."""
+    """``.date``: 1 the start, 2 the middle (the default; half the days between, a half going to the even number), 3 the end."""
     method, force = _settings("date", method, force, options)
     if not force and ".date" in df.columns:
         return df
     m = _methods(2 if method is None else method, 3, "tag_tube_date")[0]
     df = tag_tube_start_end(df, **options)
     start, end = c(".start_date"), c(".end_date")
-    days = F.datediff(start, F.lit("1970-01-01").cast("date")) + F.datediff(end, F.lit("1970-01-01").cast("date"))
-    middle = F.date_add(F.lit("1970-01-01").cast("date"), F.rint(days / 2).cast("int"))
+    middle = F.date_add(start, F.rint(F.datediff(end, start) / 2).cast("int"))
     return df.withColumn(".date", (start, middle, end)[m - 1])
 
 

@@ -28,7 +28,7 @@ _TUBES = """tubes as (
     case when l_linenumber = 7 then null else l_extendedprice / l_quantity end as v
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
 ), dated as (
-  select *, cast('1970-01-01' as date) + cast(round_even((datediff('day', date '1970-01-01', s) + datediff('day', date '1970-01-01', e)) / 2.0, 0) as integer) as m from tubes
+  select *, s + cast(round_even(datediff('day', s, e) / 2.0, 0) as integer) as m from tubes
 )"""
 _SAMPLES = _TUBES + """, samples as (
   select *, dense_rank() over (order by lat nulls last, lon nulls last, s nulls last, e nulls last) as sid from dated
