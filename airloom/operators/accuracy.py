@@ -105,7 +105,7 @@ def with_p_values(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def test_tube_accuracy(df: DataFrame, data_ref: DataFrame, tube: str = ".value", ref: str = "no2", max_distance: float = 10.0, nearest_only: bool = False, group=None, facet=None, **options) -> TestResult:
+def test_tube_accuracy(df: DataFrame, data_ref: DataFrame, tube: str = ".value", ref: str = "no2", max_distance: float = 10.0, nearest_only: bool = False, group=None, facet=None, show=None, **options) -> TestResult:
     """Pairs of tubes and monitors closer than ``max_distance`` metres, and a line per .cut of tube on monitor.
 
     data: the pairs within the distance; all: every pair; lookup: a row per cut, NULL where fewer than four pairs."""
@@ -133,7 +133,7 @@ def test_tube_accuracy(df: DataFrame, data_ref: DataFrame, tube: str = ".value",
 
     from airloom.plans.figures import accuracy_plot
 
-    return TestResult(near, lookup, report, pairs, accuracy_plot(near, f"{ref}.ref", tube))
+    return TestResult(near, lookup, report, pairs, accuracy_plot(near, f"{ref}.ref", tube)).shown(show)
 
 
 test_tube_accuracy.__test__ = False

@@ -31,6 +31,13 @@ class TestResult:
             return "\n".join(lines) if len(lines) > 1 else "not enough data..."
         return "\n".join(lines)
 
+    def shown(self, show) -> TestResult:
+        """Prints what is asked for: "report", or "summary.report" without the lines that lack data."""
+        for what in [show] if isinstance(show, str) else show or ():
+            if what.lower() in ("report", "summary.report"):
+                print(self.report(what.lower() == "summary.report"))
+        return self
+
 
 def terms_of(value, most: int, who: str, what: str) -> list[str]:
     found = [] if value is None else [value] if isinstance(value, str) else list(value)
@@ -99,7 +106,7 @@ def replicates(df: DataFrame, tube: str = ".value", n: int = 3, method: int = 2,
     return rows, d
 
 
-def test_tube_precision(df: DataFrame, tube: str = ".value", n: int = 3, method: int = 2, group=None, facet=None, **options) -> TestResult:
+def test_tube_precision(df: DataFrame, tube: str = ".value", n: int = 3, method: int = 2, group=None, facet=None, show=None, **options) -> TestResult:
     """Replicate intervals and their smooth bounds against the set mean, for each .cut.
 
     data: replicate rows with .n .mean .low .high .y .ylow .yhigh; lookup: bounds at round tens of the mean."""
@@ -130,7 +137,7 @@ def test_tube_precision(df: DataFrame, tube: str = ".value", n: int = 3, method:
 
     from airloom.plans.figures import precision_plot
 
-    return TestResult(data, lookup, report, plot=precision_plot(data))
+    return TestResult(data, lookup, report, plot=precision_plot(data)).shown(show)
 
 
 test_tube_precision.__test__ = False

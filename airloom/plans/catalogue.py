@@ -421,10 +421,22 @@ def _(spark, d):
 ORACLES["precision_loess_1d"] = "with " + _LOESS
 
 
-@_query("precision_lookup")
+# The same for the bounds at round tens within each year's means.
+_BOUNDS = _SETS + """, pts as (select strftime(m, '%Y') as y, mean as x, count(*) as w, sum(mean - 4.302652729749464 * sd / sqrt(3)) as sl, sum(mean + 4.302652729749464 * sd / sqrt(3)) as sh from samples join sets using (sid) where v is not null group by all),
+targets as (select y, unnest(generate_series(10, 1000, 10)) as t, lo, hi from (select y, min(x) as lo, max(x) as hi from pts group by y)),
+gaps as (select t.y, t.t, p.w, p.sl, p.sh, p.x - t.t as d, abs(p.x - t.t) as a from targets t join pts p using (y) where t.t between t.lo and t.hi),
+runs as (select *, sum(w) over (partition by y, t order by a rows unbounded preceding) as c from gaps), q as (select y, greatest(1, floor(sum(w) * 0.75)) as q from pts group by y),
+h as (select y, t, min(a) as h from runs join q using (y) where c >= q group by y, t),
+k as (select y, t, gaps.d / h as z, w, sl, sh, case when a < h then pow(1 - pow(a / h, 3), 3) else 0 end as k from gaps join h using (y, t)),
+s as (select y, t, sum(k*w) s0, sum(k*w*z) s1, sum(k*w*z*z) s2, sum(k*w*z*z*z) s3, sum(k*w*z*z*z*z) s4, sum(k*sl) t0, sum(k*sl*z) t1, sum(k*sl*z*z) t2, sum(k*sh) u0, sum(k*sh*z) u1, sum(k*sh*z*z) u2 from k group by y, t),
+det as (select *, s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) as g from s)
+select '|' || y || '|' as cut, cast(t as double) as ans, round((t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / g, 2) as low, round((u0*(s2*s4-s3*s3) - s1*(u1*s4-s3*u2) + s2*(u1*s3-s2*u2)) / g, 2) as high from det"""
+
+
+@_query("precision_lookup", "with " + _BOUNDS)
 def _(spark, d):
     out = precision.test_tube_precision(order_tubes(spark, d), facet=".year").lookup
-    return out.select(c(".cut").alias("cut"), "ans", *[_r(c(k)).alias(k.replace(".", "_")) for k in ("low", "high", "low.pc", "high.pc")])
+    return out.where("ans is not null").select(c(".cut").alias("cut"), "ans", _r(c("low"), 2).alias("low"), _r(c("high"), 2).alias("high"))
 
 
 # Accuracy -----------------------------------------------------------------------------------
@@ -672,6 +684,18 @@ def _(spark, d):
     return out.groupBy(c(".value.n").alias("n")).agg(_n("sets"))
 
 
+@_query("figure_site_means", "select site, lon, lat, round(avg(v), 6) as value from tubes group by all", _TUBES)
+def _(spark, d):
+    out = aggregate.calc_tube_stat(order_tubes(spark, d), ".value", ["site", ".longitude", ".latitude"])
+    return out.select("site", c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value"), 6).alias("value"))
+
+
+@_query("figure_surface_by_year")
+def _(spark, d):
+    out = surface.fit_tube_model(order_tubes(spark, d), by=".year", simplify=True, new_data="input.ranges", grid_resolution=20)
+    return out.groupBy(c(".year").alias("year")).agg(_n(), _r(F.median(c(".value.pred"))).alias("value"))
+
+
 # Streams (the same plan on a bounded frame) --------------------------------------------------------
 @_query("windowed_daily", "select cast(cast(ts as date) as varchar) as start, event_type, count(value) as n, round(avg(value), 4) as mean from events group by all")
 def _(spark, d):
