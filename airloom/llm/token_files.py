@@ -14,8 +14,9 @@ shards; then the shards are read back and decoded.
 
 Encoding is what the tokenizers library gives for the whole text. Its splitting never joins a character that isn't
 white space with white space after it, so a text without adjacent white space around a blank is cut at blanks and
-each different word goes through the library's model once while a bounded cache keeps it (``WordCache``); other
-texts, and words with letters beyond the Latin ones, are encoded whole by the library.
+each different word goes through the library's model once while a bounded table keeps it (``WordCache``; words are
+told apart by 96 bits of hash and their length); other texts, and words with letters beyond the Latin ones, are
+encoded whole by the library.
 
 Defined results: null and empty texts have the end id only; rows with the same doc_id are each written, in the
 order of their texts; rows without doc_id come first; an empty table gives no rows. Other columns are ignored.
@@ -24,7 +25,6 @@ order of their texts; rows without doc_id come first; an empty table gives no ro
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 
@@ -39,10 +39,12 @@ BLOCK = 512
 PERCENTILE = 95
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 1_000_000
+CACHE_PIECES = 300_000
+#: Texts longer than this many bytes are encoded whole, and so are groups of texts of about GROUP bytes together.
+LONGEST = 1 << 22
+GROUP = 1 << 20
 _HEAD = struct.Struct("<4sIQIQ")
 _BLOCK_HEAD = struct.Struct("<IBHH")
-_TOUCHING = re.compile(r"\s \s|  |<\|")
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -143,28 +145,42 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Kept(dict):
-    """Values by key, made where missing; two generations of at most ``size`` keys, the older one let go."""
+class WordTable:
+    """Ids of words by a 64-bit hash and a check value: one place for each hash prefix, the newer word stays there."""
 
-    def __init__(self, make, size: int):
-        super().__init__()
-        self._make, self._size, self._old = make, size, {}
+    def __init__(self, small: bool = False, bits: int = 22, room: int = 1 << 24):
+        self.shift = np.uint64(64 - bits)
+        self.key, self.check = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32)
+        self.start, self.size = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.ids, self.used = np.zeros(room, np.uint16 if small else np.uint32), 0
 
-    def __missing__(self, key):
-        value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
-        if len(self) >= self._size:
-            self._old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def make_room(self, n: int) -> None:
+        """Forgets all words if fewer than n ids fit."""
+        if self.used + n > len(self.ids):
+            self.key[:], self.used = 0, 0
+
+    def add(self, ids: list[int]) -> int:
+        """Puts ids behind those there are; gives their place."""
+        at = self.used
+        self.ids[at:at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def put(self, slot: np.ndarray, key: np.ndarray, check: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.key[slot], self.check[slot], self.start[slot], self.size[slot] = key, check, start, size
+
+
+_rng = np.random.Generator(np.random.PCG64(3))
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[32] = 0
+_PLACES = 1024
+_POWER = np.multiply.accumulate(np.full(_PLACES, 0xC2B2AE3D27D4EB4F, np.uint64))
 
 
 class WordCache:
     """Encodes texts as the tokenizers library does, each different word once while it is kept."""
 
-    def __init__(self, path: str, words: int = CACHE_WORDS):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -173,52 +189,138 @@ class WordCache:
         self._tokenizer = Tokenizer.from_file(path)
         self._split = regex.compile(public_tokenizers.PATTERN).findall
         self._letters, self._model = _byte_letters(), self._tokenizer.model
-        self._pieces = _Kept(self._piece, words // 4)
-        self._words = _Kept(self._word, words // 2)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self._letters)
-        return np.array([t.id for t in self._model.tokenize(letters)], np.uint32).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a blank and the word; where Unicode tables could differ, the library splits it."""
-        if word and max(word) >= "\u0250":
-            return self._whole(" " + word)
-        return b"".join(map(self._pieces.__getitem__, self._split(" " + word)))
+        self._pieces: dict[str, list[int]] = {}
+        self._most, self._table = pieces, WordTable(self._tokenizer.get_vocab_size() <= 1 << 16)
+
+    def _whole(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of a word with the blank before it; where Unicode tables could differ, the library splits it."""
+        if not word.isascii() and max(word) >= "\u0250":
+            return self._whole(word)
+        out = []
+        for piece in self._split(word):
+            ids = self._pieces.get(piece)
+            if ids is None:
+                if len(self._pieces) >= self._most:
+                    self._pieces.clear()
+                ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+                self._pieces[piece] = ids
+            out += ids
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
-        if _TOUCHING.search(text) or text.endswith(" "):
-            return np.frombuffer(self._whole(text), np.uint32)
-        head, *words = text.split(" ")
-        parts = [self._whole(head)] if head else []
-        parts.extend(map(self._words.__getitem__, words))
-        return np.frombuffer(b"".join(parts), np.uint32)
+        return self.encode_many([text.encode()])[0]
+
+    def encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and how many each has."""
+        cut = [bool(x) and len(x) <= LONGEST and not _touching(x) for x in texts]
+        buf = np.frombuffer(b" ".join([x for x, c in zip(texts, cut, strict=True) if c]) + b" ", np.uint8)
+        blanks = np.flatnonzero(buf == 32)
+        starts = np.concatenate(([0], blanks[:-1] + 1))
+        sizes = blanks - starts
+        own = np.cumsum([0] + [len(x) + 1 for x, c in zip(texts, cut, strict=True) if c][:-1]) if any(cut) else np.zeros(0, int)
+        heads = np.searchsorted(starts, own)
+        count = np.zeros(0, np.int64)
+        out = np.zeros(0, np.uint32)
+        if any(cut):
+            out, count = self._cut_words(buf, starts, sizes, heads)
+        per_text = np.add.reduceat(count, heads) if len(heads) else np.zeros(0, np.int64)
+        if all(cut):
+            return out, per_text
+        parts, sizes_of, k = [], [], 0
+        bounds = np.concatenate(([0], np.cumsum(per_text)))
+        for x, c in zip(texts, cut, strict=True):
+            if c:
+                parts.append(out[bounds[k]:bounds[k + 1]])
+                k += 1
+            else:
+                parts.append(np.array(self._whole(x.decode()) if x else [], np.uint32))
+            sizes_of.append(len(parts[-1]))
+        return np.concatenate(parts) if parts else out, np.array(sizes_of, np.int64)
+
+
+    def _cut_words(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of a buffer, and how many each has; ``heads`` are the words without a blank before."""
+        table = self._table
+        table.make_room(2 * len(buf))
+        at = np.arange(len(buf), dtype=np.int32)
+        at -= np.repeat(starts.astype(np.int32), sizes + 1)
+        np.minimum(at, _PLACES - 1, out=at)
+        parts = _BYTE[buf]
+        parts *= _POWER[at]
+        key = C.mix64(np.add.reduceat(parts, starts) + sizes.astype(np.uint64)) | np.uint64(1)
+        check = (np.bitwise_xor.reduceat(parts, starts) >> np.uint64(32)).astype(np.uint32)
+        slot = (key >> table.shift).astype(np.int64)
+        known = (table.key[slot] == key) & (table.check[slot] == check)
+        known &= sizes < _PLACES
+        known[heads] = False
+        first, count = table.start[slot].astype(np.int64), table.size[slot].astype(np.int64)
+        new = np.flatnonzero(~known)
+        head = np.zeros(len(starts), bool)
+        head[heads] = True
+        raw, fresh, many = buf.tobytes(), [], []
+        for lo, n, is_head in zip(starts[new].tolist(), sizes[new].tolist(), head[new].tolist(), strict=True):
+            ids = self._word(raw[lo if is_head else lo - 1:lo + n].decode())
+            fresh += ids
+            many.append(len(ids))
+        count[new] = many
+        first[new] = table.add(fresh) + np.cumsum(many, dtype=np.int64) - count[new]
+        kept = new[~head[new] & (sizes[new] < _PLACES)]
+        table.put(slot[kept], key[kept], check[kept], first[kept], count[kept])
+        ends = np.cumsum(count)
+        place = np.repeat(first - (ends - count), count)
+        place += np.arange(len(place))
+        return table.ids[place].astype(np.uint32), count
+
+
+#: Bytes of white space in UTF-8 besides the blank and the line end.
+_OTHER_SPACE = [bytes([b]) for b in (*range(9, 10), *range(11, 14), *range(28, 32))] + [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"] + [b"\xe2\x80"]
+
+
+def _touching(raw: bytes) -> bool:
+    """Whether white space may stand on both sides of a blank, or at an end; or a special token may occur."""
+    if b"  " in raw or b" \n" in raw or b"\n " in raw or b"<|" in raw or raw[:1] == b" " or raw[-1:] == b" ":
+        return True
+    return any(s in raw for s in _OTHER_SPACE)
+
+
+#: The caches of this Python worker, which later tasks find warm.
+_caches: dict[str, WordCache] = {}
 
 
 def _encode(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        cache, part, seq = WordCache(path), TaskContext.get().partitionId(), 0
-        docs, counts, ids, size = [], [], [], 0
+        from . import token_files
+
+        caches = token_files._caches
+        if path not in caches:
+            caches[path] = WordCache(path)
+        cache, part, seq = caches[path], TaskContext.get().partitionId(), 0
+        docs, counts, ids, size, missing = [], [], [], 0, 0
 
         def shard():
-            data = write_shard(np.array(docs, np.int64), np.array(counts), np.concatenate(ids))
+            data = write_shard(np.array(docs, np.int64), np.concatenate(counts), np.concatenate(ids))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_tokens": [size], "missing": [missing], "data": pa.array([data], pa.binary())})
 
-        missing = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                got = np.append(cache.encode(text.as_py() or ""), np.uint32(END_ID))
-                missing += doc is None
-                docs.append(0 if doc is None else doc)
-                counts.append(len(got))
+            names, texts = batch.column("doc_id").to_pylist(), [x or b"" for x in C.raw_texts(batch, "text")]
+            bounds = np.cumsum([0] + [len(x) + 1 for x in texts])
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + GROUP)) - 1)
+                got, n = cache.encode_many(texts[lo:hi])
+                got, n = np.insert(got, np.cumsum(n), END_ID), n + 1
+                missing += sum(d is None for d in names[lo:hi])
+                docs += [0 if d is None else d for d in names[lo:hi]]
+                counts.append(n)
                 ids.append(got)
                 size += len(got)
+                lo = hi
                 if size >= SHARD_TOKENS:
                     yield shard()
                     docs, counts, ids, size, seq, missing = [], [], [], 0, seq + 1, 0
@@ -235,7 +337,7 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", "text")
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return C.written(rows.mapInArrow(_encode(path), "part int, seq int, n_tokens bigint, missing bigint, data binary"), "tokens")
+    return C.written(C.map_batches(rows, _encode(path), "part int, seq int, n_tokens bigint, missing bigint, data binary"), "tokens")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
@@ -257,7 +359,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 doc = pa.array(shard.doc_ids, pa.int64(), mask=np.arange(len(crc)) < missing)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(edges[:-1] + first), pa.array(shard.counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(index, ["part", "seq"]).select("data", "first", "missing").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return C.map_batches(shards.join(index, ["part", "seq"]).select("data", "first", "missing"), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, path: str) -> DataFrame:
