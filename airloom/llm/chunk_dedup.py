@@ -199,15 +199,15 @@ def _dedup(docs: DataFrame, spans_too: bool) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, buckets = max(1, -(-size // PART_BYTES)), max(1, -(-size * 6 // 10 // BUCKET_BYTES))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
-    dealt = docs.withColumn("__part", key)
-    sent = dealt.select("__part", "doc_id", "text").groupBy("__part").applyInArrow(_send(buckets), "bucket int, part int, digests binary, docs binary")
+    dealt = docs.withColumn("__airloom_part", key)
+    sent = dealt.select("__airloom_part", "doc_id", "text").groupBy("__airloom_part").applyInArrow(_send(buckets), "bucket int, part int, digests binary, docs binary")
     sent = C.written(sent, "digests")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "part int, digests binary, docs binary")
     schema = StructType([f for f in docs.schema])
     if spans_too:
         schema = StructType(schema.fields + StructType.fromDDL("n_removed_words bigint, spans array<struct<start:bigint,end:bigint>>, held_by array<bigint>").fields)
     run = _cut(names, spans_too, to_arrow_schema(schema))
-    return dealt.groupBy("__part").cogroup(answers.withColumnRenamed("part", "__part").groupBy("__part")).applyInArrow(run, schema)
+    return dealt.groupBy("__airloom_part").cogroup(answers.withColumnRenamed("part", "__airloom_part").groupBy("__airloom_part")).applyInArrow(run, schema)
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:

@@ -207,10 +207,52 @@ def shared_folder(spark) -> str:
     return found.rstrip("/")
 
 
+#: Folders written for this session that haven't been removed yet.
+_written: dict[str, object] = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows written once to the shared folder and read again: cuts lineage, survives lost executors."""
+    """The rows written once to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The folder stays until ``forget``, or until the driver ends."""
+    import atexit
     import uuid
 
     path = f"{shared_folder(df.sparkSession)}/airloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_remove, _written)
+    _written[path] = df.sparkSession
+    out._airloom_path = path
+    return out
+
+
+def belongs(frame: DataFrame, to: DataFrame) -> DataFrame:
+    """The frame, to be forgotten with the written one that it reads."""
+    frame._airloom_path = to._airloom_path
+    return frame
+
+
+def finished(make, what: str) -> DataFrame:
+    """The frame that ``make()`` plans, written; what planning it wrote on the way is removed."""
+    before = set(_written)
+    frame = make()
+    between = set(_written) - before
+    out = written(frame, what)
+    _remove({p: _written.pop(p) for p in between})
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes the folders of written frames that nothing will read again."""
+    paths = [p for p in (getattr(f, "_airloom_path", None) for f in frames) if p in _written]
+    _remove({p: _written.pop(p) for p in paths})
+
+
+def _remove(paths: dict) -> None:
+    for path, spark in paths.items():
+        context = spark.sparkContext
+        if context._jsc is not None:  # the session may have been stopped
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

@@ -20,14 +20,16 @@ def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
             break
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         root = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(root, "u").where("v > u").selectExpr("v as u", "m as v")
-        large = C.written(large.where("u <> v").distinct(), "links")
+        large = both.join(root, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v")
+        large = C.written(large.distinct(), "links")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").selectExpr("v as u", "m as v").where("u <> v").unionByName(root.selectExpr("u", "m as v"))
-        edges = C.written(small.distinct(), "links")
+        step = C.written(small.distinct(), "links")
+        C.forget(edges, large)
+        edges = step
     else:
         raise RuntimeError("components did not settle")
-    return edges.selectExpr("u as node", "v as root")
+    return C.belongs(edges.selectExpr("u as node", "v as root"), edges)
 
 
 def _is_stars(edges: DataFrame) -> bool:

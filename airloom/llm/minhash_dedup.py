@@ -109,8 +109,8 @@ def table_rows(reps: DataFrame) -> DataFrame:
     return sides.select("rep", "n", "vs", F.explode("us").alias("u")).select("rep", "n", "u", F.explode("vs").alias("v")).select(F.xxhash64("u", "v").alias("key"), "rep", "n")
 
 
-def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between representatives that connect all of them that are similar."""
+def class_links(docs: DataFrame, reps: DataFrame) -> list[DataFrame]:
+    """Confirmed links (a, b) between representatives that connect all of them that are similar, in written parts."""
     rows = C.written(table_rows(reps), "tables")
     buckets = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = rows.join(buckets, "key")
@@ -141,13 +141,16 @@ def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     apart = labelled.join(mixed, "key", "left_semi").select("rep", "n", "root").distinct()
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = rare_pairs(apart, texts, reps).join(tested, ["a", "b"], "left_anti")
+    pairs, between = rare_pairs(apart, texts, reps)
+    pairs = pairs.join(tested, ["a", "b"], "left_anti")
     third = C.written(confirm(pairs, texts), "confirmed")
-    return links.unionByName(third)
+    C.forget(rows, score, stars, texts, roots, *between)
+    return [first, second, third]
 
 
-def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different roots that can reach the similarity; none of those that do is missing.
+def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of different roots that can reach the similarity, and the frames written on the way; no pair that
+    does reach it is missing.
 
     Let k of a set's n shingles be found under several roots, and u = n - k under its own only. Sets a and b that
     reach the similarity share at least PERCENT of either's n, all of it among the k; so a set with fewer has no
@@ -171,11 +174,11 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame
     need = F.ceil(F.col("n") * PERCENT / 100)
     ranked = shingles.join(several, "s").withColumn("k", F.count("*").over(own)).where(F.col("k") >= need)
     ranked = ranked.withColumn("at", F.row_number().over(own.orderBy("c", "s"))).where(F.col("at") <= F.col("k") - need + 1)
-    rare = C.written(ranked.select("rep", "n", "root", "s", "k", "at"), "rare")
+    kept = C.written(ranked.select("rep", "n", "root", "s", "k", "at"), "rare")
     # The most similar partner that sets of these sizes could be has no shingles of its own and m = least n of those met.
-    least = rare.groupBy("s").agg(F.min("n").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", F.col("m"))
+    least = kept.groupBy("s").agg(F.min("n").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", F.col("m"))
     alike = F.greatest("m", "k")
-    rare = rare.join(least, "s").where(_differ(F.col("n") - F.col("k") + alike - F.col("k"), F.col("n") + alike)).drop("m")
+    rare = kept.join(least, "s").where(_differ(F.col("n") - F.col("k") + alike - F.col("k"), F.col("n") + alike)).drop("m")
     rare = rare.join(reps.select("rep", "odd"), "rep")
     one, two = rare.alias("one"), rare.alias("two")
     meet = (F.col("one.s") == F.col("two.s")) & (F.col("one.rep") > F.col("two.rep")) & (F.col("one.root") != F.col("two.root"))
@@ -185,7 +188,7 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame
     # At the first shingle where two partners meet, they can still share what either has from there on.
     still = F.expr("1 + least(one.k - one.at, two.k - two.at)")
     meet = meet & (still * (100 + PERCENT) >= (F.col("one.n") + F.col("two.n")) * PERCENT)
-    return one.join(two, meet).selectExpr("one.rep as a", "two.rep as b").distinct()
+    return one.join(two, meet).selectExpr("one.rep as a", "two.rep as b").distinct(), [shingles, kept]
 
 
 def _odd_bits(odd: str, other: str):
@@ -216,7 +219,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A class's half-keys are the same in all its rows; a doc_id stands for one class only.
     reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n"))
     reps = C.written(reps.where("rep is not null"), "classes")
-    roots = components(class_links(docs, reps))
+    first, second, third = class_links(docs, reps)
+    roots = components(first.unionByName(second).unionByName(third))
+    C.forget(first, second, third)
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_root"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_root")).otherwise(F.col("doc_id")).alias("component_id"))

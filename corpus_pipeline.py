@@ -51,5 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage written as Parquet in the shared folder and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        kept = common.finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        common.forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

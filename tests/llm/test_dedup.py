@@ -157,6 +157,7 @@ def test_substrings(spark, monkeypatch):
     assert all(got[k].text == rows[k][1] for k in range(60) if k % 3 and k != 1)
     assert got[100].text == got[101].text == "" == got[103].text and got[102].text is None and got[None].text == ""
     assert sorted(len(r.text) for r in out if r.doc_id == 1) == [0, len(rows[1][1])]
+    docs = docs.selectExpr("*", "1 as part", "2 as bucket", "3 as digests")
     cut = chunk_dedup.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.where("n_chars <> length(text)").count() == 0
     assert chunk_dedup.duplicate_spans(docs.limit(0)).count() == 0
@@ -196,6 +197,7 @@ def test_contamination(spark):
         text = dict(rows)[r.doc_id]
         wanted = {k for k, i in enumerate(items) if text and i and len(words(i)) >= 5 and brute_windows(text, i) >= 0.75}
         assert set(r.item_ids) == wanted and r.kept == (not wanted), (r.doc_id, r.item_ids, wanted)
+    docs = docs.selectExpr("*", "1 as hit_key", "2 as hit_id", "3 as content", "4 as wh")
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert decontaminate.contamination(docs, bench.limit(0)).where("not kept").count() == 0
@@ -236,3 +238,13 @@ def test_joins_without_sending(spark, monkeypatch, cap):
     bench = spark.createDataFrame([(7, "p q r s t u")], "item_id bigint, text string")
     assert {r.doc_id: r.kept for r in decontaminate.contamination(docs, bench).collect()} == {1: True, 2: False, 3: True}
     assert {r.doc_id for r in minhash_dedup.keep_one(docs).collect()} == {1, 2}
+
+
+def test_written_and_forgotten(spark):
+    from airloom.llm import common as C
+
+    kept, gone = C.written(spark.range(3).toDF("a"), "test"), C.written(spark.range(4).toDF("a"), "test")
+    C.forget(gone, kept.where("a > 0"))
+    assert kept.count() == 3 and gone._airloom_path not in C._written and kept._airloom_path in C._written
+    out = C.finished(lambda: C.written(spark.range(5).toDF("a"), "between"), "test")
+    assert out.count() == 5 and not [p for p in C._written if "between" in p]
