@@ -56,6 +56,9 @@ def exclude_too_far(grid: DataFrame, data: DataFrame, inputs: list[str], distanc
     Data and nodes meet in cells as wide as the distance, so only neighbours are compared."""
     ranges = grid.agg(*[f(c(n)).alias(f"{p}{k}") for k, n in enumerate(inputs) for p, f in (("lo", F.min), ("hi", F.max))]).first()  # one row
 
+    if any(v is None for v in ranges):  # no nodes
+        return grid
+
     def unit(k: int, n: str):
         width = ranges[f"hi{k}"] - ranges[f"lo{k}"]
         return (c(n) - ranges[f"lo{k}"]) / width if width else c(n) * 0.0

