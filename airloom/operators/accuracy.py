@@ -8,11 +8,13 @@ from airloom.functions.expressions import attach
 from airloom.functions.geo import haversine
 from airloom.functions.statistics import significant, t_two_sided
 from airloom.operators.precision import TestResult, cut_key, terms_of
-from airloom.operators.tagging import tag_tube, tag_tube_required
+from airloom.operators.tagging import tag_tube_required
 from airloom.session import TubeError, c, number_text
 
 #: Monitors that are sent to every task at most; more are joined through cells of the map.
 MAX_SENT = 10_000
+#: The tags that pairs need; the others, the costly sample number among them, are left alone.
+_NEEDED = (".latitude", ".longitude", ".start_date", ".end_date")
 
 
 def range_average(windows: DataFrame, series: DataFrame, keys: list[str], values: list[str], start: str = ".start_date", end: str = ".end_date", date: str = "date") -> DataFrame:
@@ -58,7 +60,7 @@ def pair_monitors(tubes: DataFrame, monitors: DataFrame, lat: str = ".latitude",
 
 def accuracy_pairs(df: DataFrame, data_ref: DataFrame, tube: str = ".value", ref: str = "no2", **options) -> DataFrame:
     """Tube rows with each monitor's distance.m and mean over the tube's period, as ``<ref>.ref``; pairs lacking either go."""
-    d = attach(tag_tube(df, **options), [tube], on_error="stop<<test_tube_accuracy>>tube")
+    d = attach(tag_tube_required(df, [*_NEEDED, tube], **options), [tube], on_error="stop<<test_tube_accuracy>>tube")
     lat, lon = options.get("ref_lat", "latitude"), options.get("ref_lon", "longitude")
     if missing := [n for n in (ref, lat, lon, "date") if n not in data_ref.columns]:
         raise TubeError(f"[test_tube_accuracy]> data_ref: missing {', '.join(missing)}")
@@ -110,7 +112,7 @@ def test_tube_accuracy(df: DataFrame, data_ref: DataFrame, tube: str = ".value",
 
     data: the pairs within the distance; all: every pair; lookup: a row per cut, NULL where fewer than four pairs."""
     groups, facets = terms_of(group, 1, "test_tube_accuracy", "group term"), terms_of(facet, 2, "test_tube_accuracy", "facet terms")
-    d = tag_tube_required(tag_tube(df, **options), [tube, *groups, *facets])
+    d = tag_tube_required(df, [*_NEEDED, tube, *groups, *facets], **options)
     pairs = accuracy_pairs(d, data_ref, tube, ref, **options)
     if pairs.limit(1).isEmpty():
         raise TubeError("[test_tube_accuracy]> no tube and monitor pairs")

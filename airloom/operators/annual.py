@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from airloom.functions.expressions import attach
-from airloom.operators.tagging import tag_tube, tag_tube_required, tag_tube_year
+from airloom.operators.tagging import tag_tube_required
 from airloom.session import TubeError, c, null_safe_join
 
 
@@ -25,7 +25,7 @@ def tube_annual_cover(df: DataFrame, tube: str = ".value", by: str = ".location"
     """``.annual.n`` days covered in each year and group, and ``.annual.pc`` of 365; joined back on both keys.
 
     output="report" gives the groups. ``require_value`` leaves out periods without a measurement."""
-    d = attach(tag_tube_required(tag_tube_year(tag_tube(df, **options)), [by]), [tube, by], on_error="stop<<tube_annual_cover>>tube")
+    d = attach(tag_tube_required(df, [".year", tube, by], **options), [tube, by], on_error="stop<<tube_annual_cover>>tube")
     keys = list(dict.fromkeys([".year", by]))
     used = d.where(c(tube).isNotNull()) if require_value else d
     groups = d.select(*map(c, keys)).distinct()
@@ -41,7 +41,7 @@ def tube_annual_test(df: DataFrame, test: str, by=".location", years=None, **opt
 
     ``years`` defaults to those in the data; several keys are judged together."""
     keys = [by] if isinstance(by, str) else list(by)
-    d = attach(tag_tube_required(tag_tube_year(tag_tube(df, **options)), keys), [test, *keys], on_error="stop<<tube_annual_test>>test")
+    d = attach(tag_tube_required(df, [".year", *keys], **options), [test, *keys], on_error="stop<<tube_annual_test>>test")
     wanted = [str(y) for y in years] if years is not None else (d.schema[".year"].metadata.get("levels") or [])
     if not wanted:
         raise TubeError("[tube_annual_test]> no years")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from airloom.functions.expressions import attach
-from airloom.operators.tagging import tag_tube, tag_tube_required
+from airloom.operators.tagging import tag_tube_required
 from airloom.session import TubeError, c, null_safe_join
 
 #: Sites whose matrix the driver takes at most.
@@ -15,7 +15,7 @@ MAX_SITES = 5_000
 
 def site_series(df: DataFrame, tube: str = ".value", by: str = ".location", date: str = ".date", **options) -> DataFrame:
     """site, date, v: the mean of each site and date, missing ones left out."""
-    d = attach(tag_tube_required(tag_tube(df, **options), [by, date]), [tube, by], on_error="stop<<cluster_tube_data>>tube")
+    d = attach(tag_tube_required(df, [tube, by, date], **options), [tube, by], on_error="stop<<cluster_tube_data>>tube")
     return d.groupBy(c(by).alias("site"), c(date).alias("date")).agg(F.avg(c(tube)).alias("v")).where("site is not null and date is not null and v is not null")
 
 
@@ -106,7 +106,7 @@ def cluster_tube_data(df: DataFrame, tube: str = ".value", by: str = ".location"
     _, label = pam(table, clusters)
     order = {m: k for k, m in enumerate(dict.fromkeys(label.tolist()), 1)}
     found = df.sparkSession.createDataFrame([(s, str(order[la])) for s, la in zip(sites, label.tolist(), strict=True)], "site string, label string")
-    d = attach(tag_tube_required(tag_tube(df, **options), [by]), [by])
+    d = attach(tag_tube_required(df, [by], **options), [by])
     named = found.select(F.col("site").alias(by), F.col("label").alias(rename, metadata={"levels": [str(k) for k in range(1, clusters + 1)], "ordered": False}))
     return null_safe_join(d.drop(rename), named, [by])
 

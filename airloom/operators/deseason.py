@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airloom.functions.expressions import attach
 from airloom.functions.geo import haversine
-from airloom.operators.tagging import tag_tube, tag_tube_required
+from airloom.operators.tagging import tag_tube_required
 from airloom.session import TubeError, c, null_safe_join
 
 _OUT = "ids string, date date, y double, jd double, days double, fit double, trend double, season double, deseason double"
@@ -42,7 +42,7 @@ def deseason_tube_data(df: DataFrame, tube: str = ".value", by: str = ".location
     Method 2 fits each site with its neighbours: those within ``max_distance`` metres, the nearest ``max_n``."""
     if method not in (1, 2):
         raise TubeError("[deseason_tube_data]> method must be 1 or 2")
-    d = attach(tag_tube_required(tag_tube(df, **options), [".date", by]), [tube, by], on_error="stop<<deseason_tube_data>>tube")
+    d = attach(tag_tube_required(df, [".date", ".latitude", ".longitude", tube, by], **options), [tube, by], on_error="stop<<deseason_tube_data>>tube")
     epoch = F.lit("1970-01-01").cast("date")
     series = d.groupBy(c(by).alias("ids"), c(".date").alias("date")).agg(F.avg(c(tube)).alias("y"))
     series = series.where("ids is not null and date is not null").withColumns({"jd": F.dayofyear("date").cast("double"), "days": F.datediff("date", epoch).cast("double")})
@@ -82,6 +82,6 @@ def neighbours(df: DataFrame, by: str, max_distance: float, max_n: int) -> DataF
 def with_seasons(df: DataFrame, by: str = ".location", **options) -> DataFrame:
     """The rows with their site's and date's decomposition."""
     found = deseason_tube_data(df, by=by, **options)
-    d = tag_tube_required(tag_tube(df), [".date", by])
+    d = tag_tube_required(df, [".date", by])
     return null_safe_join(d, found.select(c(by), c(".date"), c(".fit"), c(".trend"), c(".season"), c(".deseason")), [by, ".date"], "left")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airloom.functions.expressions import attach
 from airloom.functions.statistics import n_distinct, options as options_of
-from airloom.operators.tagging import tag_tube, tag_tube_required
+from airloom.operators.tagging import tag_tube_required
 from airloom.session import TubeError, as_text, c, field, kind_of, null_safe_join
 
 #: Tag columns, which are no attributes.
@@ -25,7 +25,7 @@ def check_tube_meta(df: DataFrame, x: str | None = None, by: str | None = None,
     Counts sort as numbers; without output="report" the groups are counted by what was found."""
     if x is None or by is None:
         raise TubeError("[check_tube_meta]> x and by are needed")
-    d = attach(tag_tube_required(tag_tube(df, **options), [by]), [x, by], on_error="stop<<check_tube_meta>>x")
+    d = attach(tag_tube_required(df, [x, by], **options), [x, by], on_error="stop<<check_tube_meta>>x")
     out = d.groupBy(c(by)).agg(n_distinct(_text(d, x)).cast("string").alias(f"{x}.count"), options_of(_text(d, x)).alias(f"{x}.options"))
     out = out.orderBy(c(f"{x}.count").cast("int").desc(), c(by))
     if output in ("report", "full.report"):
@@ -36,7 +36,7 @@ def check_tube_meta(df: DataFrame, x: str | None = None, by: str | None = None,
 
 def extract_tube_meta(df: DataFrame, x=None, by: str = ".sample_id", **options) -> DataFrame | None:
     """Columns with exactly one present value in every group, one row per group; None if there is none."""
-    d = tag_tube_required(tag_tube(df, **options), [by])
+    d = tag_tube_required(df, [by], **options)
     wanted = [n for n in d.columns if n != by and n not in TAGS] if x is None else [x] if isinstance(x, str) else list(x)
     d = attach(d, [*wanted, by])
     groups = d.groupBy(c(by)).agg(*[F.count_distinct(c(n)).alias(n) for n in wanted], *[F.min(c(n)).alias(f"__{k}") for k, n in enumerate(wanted)])
@@ -66,7 +66,7 @@ def extract_and_add_tube_meta(df: DataFrame, x=None, by=".sample_id", ref: DataF
 
 def pad_tube_meta(df: DataFrame, x, by: str = ".sample_id", order: str | None = None, **options) -> DataFrame:
     """Each column replaced by its group's first present value: the smallest, or the first by ``order``."""
-    d = tag_tube_required(tag_tube(df, **options), [by])
+    d = tag_tube_required(df, [by], **options)
     names = [x] if isinstance(x, str) else list(x)
     d = attach(d, [*names, by])
     window = Window.partitionBy(c(by))
@@ -77,7 +77,7 @@ def pad_tube_meta(df: DataFrame, x, by: str = ".sample_id", order: str | None =
 
 def repair_tube_meta(df: DataFrame, x: str, by: str = ".sample_id", options: list[str] | None = None, **tags) -> DataFrame:
     """Groups with several values: if exactly one is among ``options`` it replaces all, if more are, they get .SUSPECT."""
-    d = attach(tag_tube_required(tag_tube(df, **tags), [by]), [x, by])
+    d = attach(tag_tube_required(df, [x, by], **tags), [x, by])
     allowed = F.array(*[F.lit(v) for v in options or []]).cast("array<string>")
     text = _text(d, x)
     window = Window.partitionBy(c(by))
@@ -90,7 +90,7 @@ def repair_tube_meta(df: DataFrame, x: str, by: str = ".sample_id", options: lis
 
 def repair_counts(df: DataFrame, x: str, by: str = ".sample_id", options: list[str] | None = None) -> DataFrame:
     """One row: how many groups were repaired and how many are suspect."""
-    d = attach(tag_tube_required(tag_tube(df), [by]), [x, by])
+    d = attach(tag_tube_required(df, [x, by]), [x, by])
     allowed = F.array(*[F.lit(v) for v in options or []]).cast("array<string>")
     groups = d.groupBy(c(by)).agg(n_distinct(_text(d, x)).alias("n"), F.size(F.array_intersect(F.collect_set(_text(d, x)), allowed)).alias("good")).where("n > 1")
     return groups.agg(F.count_if(F.col("good") == 1).alias("repaired"), F.count_if(F.col("good") > 1).alias("suspect"))
@@ -102,7 +102,7 @@ def test_tube_meta(df: DataFrame, x, by=(".sample_id", ".date", ".location"), pl
     Type 1: a row per column and level, the share of rows in groups with a single value. Type 2: a row per column,
     level and group with its status: grey all missing, green one value, amber one value and missing, red several."""
     names = [x] if isinstance(x, str) else list(x)
-    d = attach(tag_tube_required(tag_tube(df, **options), [".date", ".location", *by]), names)
+    d = attach(tag_tube_required(df, [".sample_id", ".date", ".location", *by], **options), names)
     parts = F.array(*[F.struct(F.lit(n).alias("variable"), _text(d, n).alias("value")) for n in names])
     levels = F.array(*[F.struct(F.lit(label).alias("ref"), (F.lit(None).cast("string") if key is None else c(key).cast("string")).alias("group")) for label, key in LEVELS])
     long = d.select(F.explode(parts).alias("p"), levels.alias("levels")).select("p.*", F.explode("levels").alias("l")).select("variable", "value", "l.*")
