@@ -9,7 +9,8 @@ that one document holds in it come to ``MIN_WORDS`` words or more; shorter commo
 Plan: rows are dealt by a hash into parts of about ``PART_BYTES`` of text. Each part sends every digest once,
 with its first document, to a bucket of digests; so a passage that a third of the corpus shares is one entry per
 part there, and no group grows with its copies. Buckets answer the parts whose chunks are held elsewhere, and
-each part cuts its own texts. Numbers of parts and buckets follow the measured bytes.
+each part cuts its own texts. Numbers of parts and buckets follow the measured bytes, and are at least the session's
+number of shuffle partitions.
 
 Defined results: null texts stay null, empty ones empty; a text copied whole becomes empty in all but the first
 document; repeated rows count as copies of the first; rows without doc_id come last in the order; a text of one
@@ -27,7 +28,7 @@ from . import common as C
 
 #: Words of one other document's chunks from which a stretch is cut out.
 MIN_WORDS = 20
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 #: A word start ends a chunk in one of so many cases (a power of two), so chunks have about as many words.
 MEAN_WORDS = 4
@@ -197,7 +198,8 @@ def _dedup(docs: DataFrame, spans_too: bool) -> DataFrame:
 
     names = C.bounded_batches(docs).columns
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, buckets = max(1, -(-size // PART_BYTES)), max(1, -(-size * 6 // 10 // BUCKET_BYTES))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, buckets = max(tasks, -(-size // PART_BYTES)), max(tasks, -(-size * 6 // 10 // BUCKET_BYTES))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     dealt = docs.withColumn("__airloom_part", key)
     sent = dealt.select("__airloom_part", "doc_id", "text").groupBy("__airloom_part").applyInArrow(_send(buckets), "bucket int, part int, digests binary, docs binary")
