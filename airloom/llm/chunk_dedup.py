@@ -2,13 +2,14 @@
 
 Method: a gear rolling hash over the last 16 bytes decides at each word start whether a chunk ends there (also
 at each line start), so cuts follow the content and an insertion moves only the chunks around it. Chunks are
-identified by a digest of their words. The first occurrence of a chunk in (doc_id, position) order holds it;
-later ones are duplicates. A stretch is cut out of a text if it lies in a run of duplicate chunks and the chunks
-that one document holds in it come to ``MIN_WORDS`` words or more; shorter common phrases and lines stay.
-
-Plan: rows are dealt by a hash into parts of about ``PART_BYTES`` of text. Each part sends every digest once,
-with its first document, to a bucket of digests; so a passage that a third of the corpus shares is one entry per
-part there, and no group grows with its copies. Buckets answer the parts whose chunks are held elsewhere, and
+identified by a digest of their words. What is compared are runs of chunks: from each chunk start, and back from each
+chunk end, the shortest run of ``MIN_WORDS`` words or more. The first occurrence of a run in (doc_id, position) order
+holds it; later ones are cut out. So every stretch of whole chunks with that many words that stands earlier goes, in
+whatever documents its single chunks were seen first; shorter common phrases and lines stay.
+
+Plan: rows are dealt by a hash into parts of about ``PART_BYTES`` of text. Each part sends every run's digest
+once, with its first document, to a bucket of digests; so a passage that a third of the corpus shares is one entry per
+part there, and no group grows with its copies. Buckets answer the parts whose runs are held elsewhere, and
 each part cuts its own texts. Numbers of parts and buckets follow the measured bytes, and are at least the session's
 number of shuffle partitions.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
-#: Words of one other document's chunks from which a stretch is cut out.
+#: Words from which a stretch that stands earlier is cut out.
 MIN_WORDS = 20
 PART_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
@@ -35,6 +36,8 @@ MEAN_WORDS = 4
 _GEAR = np.random.Generator(np.random.PCG64(4)).integers(0, 1 << 16, 256, dtype=np.uint16)
 _NO_ID = np.iinfo(np.int64).max
 _STEP = np.uint64(0xA24BAED4963EE407)
+_BASE = 0x9FB21C651E98DF25
+_BACK = np.uint64(pow(_BASE, -1, 1 << 64))
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -66,32 +69,84 @@ def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, n, digests
 
 
-def cut_spans(dup: np.ndarray, holder: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(first chunk, past the last chunk, holder) of each stretch to cut out of one text."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], dup.astype(np.int8), [0]))))
+def _powers(base, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(min(n, 1), np.uint64), np.full(max(n - 1, 0), base, np.uint64))))
+
+
+def runs(row: np.ndarray, words: np.ndarray, digests: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, past the last chunk and digest of each run compared, in order; ``row`` tells the texts apart."""
+    n = len(words)
+    total = np.concatenate(([0], np.cumsum(words)))
+    to = np.searchsorted(total, total[:-1] + min_words)
+    back = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    ahead = np.flatnonzero(to <= n)
+    ahead = ahead[row[to[ahead] - 1] == row[ahead]]
+    behind = np.flatnonzero(back >= 0)
+    behind = behind[(row[back[behind]] == row[behind]) & (to[back[behind]] != behind + 1)]
+    lo, hi = np.concatenate((ahead, back[behind])), np.concatenate((to[ahead], behind + 1))
+    by = np.lexsort((hi, lo))
+    lo, hi = lo[by], hi[by]
+    summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digests * _powers(_BASE, n), dtype=np.uint64)))
+    return lo, hi, C.mix64((summed[hi] - summed[lo]) * _powers(_BACK, n)[lo] + (hi - lo).astype(np.uint64))
+
+
+def _stretches(*keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of meeting runs with equal keys begin among the sorted runs, and past their last chunk."""
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > hi[:-1]
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return first, hi[np.append(first[1:], len(lo)) - 1] if len(lo) else hi
+
+
+def cut_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, holder: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(row, first chunk, past the last chunk, holder) of the stretches that repeated runs cover, without overlaps.
+
+    A holder is named for what it holds beyond larger ones if that comes to ``min_words`` words; less goes to the one beside."""
+    by = np.lexsort((hi, lo, row))
+    start, end = _stretches(row[by], lo=lo[by], hi=hi[by])
+    stretch = np.empty(len(by), np.int64)
+    stretch[by] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(by))))
+    start, rows = lo[by][start], row[by][start]
+    by = np.lexsort((hi, lo, holder, stretch))
+    stretch, lo, hi, holder = stretch[by], lo[by], hi[by], holder[by]
+    at, past = _stretches(stretch, holder, lo=lo, hi=hi)
+    edges = np.searchsorted(stretch[at], np.arange(len(start) + 1))
+    lo, holder = lo[at], holder[at]
+    total = np.concatenate(([0], np.cumsum(words)))
     found = []
-    for lo, hi in zip(edges[0::2], edges[1::2], strict=True):
-        if words[lo:hi].sum() < min_words:
+    for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        mine = np.arange(edges[k], edges[k + 1])
+        if len(mine) == 1:
+            found.append((int(rows[k]), a, b, int(holder[mine[0]])))
             continue
-        ids, at = np.unique(holder[lo:hi], return_inverse=True)
-        for k in np.flatnonzero(np.bincount(at, weights=words[lo:hi]) >= min_words):
-            here = np.flatnonzero(at == k)
-            found.append((int(lo + here[0]), int(lo + here[-1] + 1), int(ids[k])))
-    return sorted(found)
+        owner = np.full(b - a, -1)
+        for j in mine[np.argsort(total[lo[mine]] - total[past[mine]], kind="stable")]:
+            free = np.flatnonzero(owner[lo[j] - a:past[j] - a] < 0) + lo[j]
+            if words[free].sum() >= min_words:
+                owner[free - a] = j
+        known = np.flatnonzero(owner >= 0)
+        owner = owner[known[np.maximum(np.searchsorted(known, np.arange(b - a), side="right") - 1, 0)]]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(holder[owner])) + 1, [b - a]))
+        found += [(int(rows[k]), int(a + x), int(a + y), int(holder[owner[x]])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return found
 
 
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").combine_chunks().fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _part_chunks(table: pa.Table):
-    """The rows' order by (doc_id, text), and for all chunks in that order: row, begin, words, digest."""
+def _part_runs(table: pa.Table):
+    """The rows' order by (doc_id, text), their chunks, and for all runs in that order: row, chunks, digest."""
     raw = [x or b"" for x in C.raw_texts(table.combine_chunks().to_batches()[0], "text")] if table.num_rows else []
     ids = _ids(table)
     order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
     parts = [chunks(raw[i]) for i in order]
     row = np.repeat(np.arange(len(order)), [len(p[0]) for p in parts])
-    return raw, ids, order, parts, row, (np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint64))
+    words, digests = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in ((1, np.int64), (2, np.uint64)))
+    lo, hi, found = runs(row, words, digests)
+    return raw, ids, order, parts, row[lo], lo, hi, found
 
 
 def _first_places(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +156,7 @@ def _first_places(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _send(buckets: int):
     def run(key, table):
         part = key[0].as_py()
-        _, ids, order, _, row, digests = _part_chunks(table)
+        _, ids, order, _, row, _, _, digests = _part_runs(table)
         own, at, _ = _first_places(digests)
         docs = ids[np.array(order, np.int64)][row[at]] if len(own) else np.zeros(0, np.int64)
         bucket = (own >> np.uint64(33)) % np.uint64(buckets)
@@ -147,7 +202,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _cut(names: list[str], spans_too: bool, schema: pa.Schema):
     def run(table, answers):
-        raw, ids, order, parts, row, digests = _part_chunks(table)
+        raw, ids, order, parts, row, first_chunk, past_chunk, digests = _part_runs(table)
         own, first, at = _first_places(digests)
         held = ids[np.array(order, np.int64)][row[first]] if len(own) else np.zeros(0, np.int64)
         mine = np.ones(len(own), bool)
@@ -158,11 +213,15 @@ def _cut(names: list[str], spans_too: bool, schema: pa.Schema):
             held[k], mine[k] = docs, False
         dup = ~(mine[at] & (first[at] == np.arange(len(at)))) if len(at) else np.zeros(0, bool)
         holder = held[at] if len(at) else np.zeros(0, np.int64)
+        all_words = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        cuts_of = [[] for _ in order]
+        for k, a, b, doc in cut_spans(row[dup], first_chunk[dup], past_chunk[dup], holder[dup], all_words):
+            cuts_of[k].append((a, b, doc))
         texts, spans, holders, gone = [None] * len(raw), [None] * len(raw), [None] * len(raw), [0] * len(raw)
         lo = 0
-        for (begin, words, _), i in zip(parts, order, strict=True):
+        for k, ((begin, words, _), i) in enumerate(zip(parts, order, strict=True)):
             hi = lo + len(begin)
-            cuts = cut_spans(dup[lo:hi], holder[lo:hi], words)
+            cuts = [(a - lo, b - lo, doc) for a, b, doc in cuts_of[k]]
             ends = np.append(begin, len(raw[i]))
             left, pos, places, who = [], 0, [], []
             for a, b, doc in cuts:
@@ -199,7 +258,7 @@ def _dedup(docs: DataFrame, spans_too: bool) -> DataFrame:
     names = C.bounded_batches(docs).columns
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, buckets = max(tasks, -(-size // PART_BYTES)), max(tasks, -(-size * 6 // 10 // BUCKET_BYTES))
+    parts, buckets = max(tasks, -(-size // PART_BYTES)), max(tasks, -(-size * 9 // 10 // BUCKET_BYTES))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     dealt = docs.withColumn("__airloom_part", key)
     sent = dealt.select("__airloom_part", "doc_id", "text").groupBy("__airloom_part").applyInArrow(_send(buckets), "bucket int, part int, digests binary, docs binary")
@@ -213,7 +272,7 @@ def _dedup(docs: DataFrame, spans_too: bool) -> DataFrame:
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text without the repeated stretches, n_removed_words, spans (bytes of the given text) and, for each span, the document that holds it."""
+    """doc_id, text without the repeated stretches, n_removed_words, spans (bytes of the given text) and, for each span, the document that holds it (but for less than MIN_WORDS words)."""
     return _dedup(docs.select("doc_id", "text"), True)
 
 

@@ -163,6 +163,45 @@ def test_substrings(spark, monkeypatch):
     assert chunk_dedup.duplicate_spans(docs.limit(0)).count() == 0
 
 
+def test_passage_of_chunks_seen_before(spark):
+    """The chunks of each passage were first seen in many documents; only one of them holds it whole."""
+    rng = np.random.default_rng(15)
+    passages = [sentence(rng, 56, 300) for _ in range(6)]
+    lines = [sentence(rng, 9, 300) for _ in range(8)]
+    rows = []
+    for p in passages:
+        w = p.split()
+        rows += [(len(rows) + k, f"a{k} " + " ".join(w[5 * k:5 * k + 12]) + f" z{len(rows)}") for k in range(10)]
+    rows += [(len(rows) + k, f"q{k}\n{line}\ny{k}") for k, line in enumerate(lines)]
+    rows += [(len(rows) + k, sentence(rng, 150, 300)) for k in range(150)]
+    block = "\n".join(lines)
+    first = len(rows)
+    planted = passages + [block]
+    rows += [(first + k, f"{sentence(rng, 30, 10**6)}\n{p}\n{sentence(rng, 30, 10**6)}") for k, p in enumerate(planted * 2)]
+    got = {r.doc_id: r for r in chunk_dedup.duplicate_spans(documents(spark, rows)).collect()}
+    for k, p in enumerate(planted):
+        one, two = got[first + k], got[first + len(planted) + k]
+        assert p in one.text and two.held_by == [first + k] and two.n_removed_words >= len(p.split()) - 8, (k, two.n_removed_words)
+
+
+def test_runs_reach_every_repeated_chunk():
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 9, 400)
+    row = np.sort(rng.integers(0, 12, 400))
+    digests = rng.integers(1, 2**63, 3, dtype=np.uint64)[rng.integers(0, 3, 400)]
+    lo, hi, found = chunk_dedup.runs(row, words, digests)
+    names = [tuple(digests[a:b].tolist()) for a, b in zip(lo, hi, strict=True)]
+    assert len(set(names)) == len(set(found.tolist())) == len(set(zip(names, found.tolist(), strict=True)))
+    assert all(row[a] == row[b - 1] and words[a:b].sum() >= 20 for a, b in zip(lo, hi, strict=True))
+    for a in range(400):
+        for b in range(a + 1, 400):
+            if row[a] != row[b - 1] or words[a:b].sum() > 60:
+                break
+            if words[a:b].sum() >= 20:
+                inside = (lo >= a) & (hi <= b)
+                assert lo[inside].min() == a and hi[inside].max() == b
+
+
 # Benchmark passages ----------------------------------------------------------------
 def brute_windows(text, item):
     """The best weighted similarity of an item with any window of its size."""
