@@ -596,6 +596,37 @@ def _(spark, d):
     return cluster.trend(_series(spark, d)).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
 
 
+# The same over every site; their SQL would join all pairs, so tests compare them on a small scale.
+def _all_series(spark, d):
+    return cluster.site_series(order_tubes(spark, d), by="site")
+
+
+@_query("cluster_wide_all")
+def _(spark, d):
+    return _all_series(spark, d).groupBy(_day(F.col("date")).alias("date")).agg(F.count_distinct("site").alias("sites"), _r(F.avg("v"), 6).alias("v"))
+
+
+@_query("cluster_corr_distance_all")
+def _(spark, d):
+    return cluster.correlation_distance(_all_series(spark, d)).select("a", "b", F.abs(_r(F.col("d"), 6)).alias("d"))
+
+
+def _scaled_all(name: str, method: int):
+    @_query(name)
+    def _(spark, d):
+        return cluster.scaled(_all_series(spark, d), method).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
+
+
+_scaled_all("cluster_minmax_all", 3)
+_scaled_all("cluster_zscore_all", 4)
+_scaled_all("cluster_ratio_all", 5)
+
+
+@_query("cluster_trend_all")
+def _(spark, d):
+    return cluster.trend(_all_series(spark, d)).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
+
+
 @_query("cluster_pam")
 def _(spark, d):
     out = cluster.cluster_tube_data(order_tubes(spark, d), by="site", clusters=4, method=2)
