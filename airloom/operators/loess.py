@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airloom.session import TubeError, c
 
-#: Different x values of one curve that a task gets at most; more are first summed into so many cells of equal width.
-MAX_POINTS = 20_000
+#: Targets of one curve that a task fits at most; every task of a curve gets all its sums.
+BLOCK = 4096
 
 
 def nearest_radius(x: np.ndarray, w: np.ndarray, at: np.ndarray, q: float) -> np.ndarray:
@@ -59,39 +59,37 @@ def loess_1d(x: np.ndarray, w: np.ndarray, sy: np.ndarray, at: np.ndarray, span:
 
 
 def loess_curves(sets: DataFrame, key: str, x: str, sums: dict[str, tuple[str, str]], span: float = 0.75, grid_step: float = 10.0) -> DataFrame:
-    """Curves through sums: for each output its (sum, weight) columns. One task per key.
+    """Curves through sums: for each output its (sum, weight) columns. One task per key and block of targets.
 
     Gives the key, x, on_grid and the outputs: at each given x, and at the multiples of ``grid_step`` up to 1000
-    within the range of x. Beyond MAX_POINTS different x of a key, cells stand for the x within them."""
+    within the range of x."""
     outs = list(sums)
     columns = sorted({n for pair in sums.values() for n in pair})
-    whole = Window.partitionBy(c(key))
-    sized = sets.select("*", F.count("*").over(whole).alias("__m"), F.min(c(x)).over(whole).alias("__lo"), F.max(c(x)).over(whole).alias("__hi"))
-    cell = F.when(F.col("__m") <= MAX_POINTS, c(x)).otherwise(F.floor((c(x) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (MAX_POINTS - 1)).cast("double"))
-    placed = sized.withColumn("__cell", cell)
-    summed = placed.groupBy(c(key), F.col("__cell")).agg(F.avg(c(x)).alias("x"), F.min("__lo").alias("__lo"), F.min("__hi").alias("__hi"), *[F.sum(n).cast("double").alias(n) for n in columns])
+    summed = sets.groupBy(c(key), c(x).alias("x")).agg(*[F.sum(n).cast("double").alias(n) for n in columns])
+    sized = summed.withColumn("__blocks", F.ceil(F.count("*").over(Window.partitionBy(c(key))) / BLOCK).cast("int"))
+    dealt = sized.withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
 
     def fit(group):
         import pandas as pd
 
-        xs = group["x"].to_numpy(float)
+        group = group.sort_values("x")
+        xs, block, blocks = group["x"].to_numpy(float), int(group["__block"].iloc[0]), int(group["__blocks"].iloc[0])
         nodes = np.arange(1, 101) * grid_step
-        nodes = nodes[(nodes >= group["__lo"].min()) & (nodes <= group["__hi"].max())]
-        at = np.concatenate((xs, nodes))
-        got = {"key": group["key"].iloc[0], "cell": np.concatenate((group["__cell"].to_numpy(float), nodes)), "x": at, "on_grid": np.arange(len(at)) >= len(xs)}
+        nodes = nodes[(nodes >= xs.min()) & (nodes <= xs.max())] if block == 0 else nodes[:0]
+        own = xs[block::blocks]
+        at = np.concatenate((own, nodes))
+        got = {"key": group["key"].iloc[0], "x": at, "on_grid": np.arange(len(at)) >= len(own)}
         for k, name in enumerate(outs):
             sy, w = sums[name]
             got[f"o{k}"] = loess_1d(xs, group[w].fillna(0).to_numpy(float), group[sy].fillna(0).to_numpy(float), at, span)
         return pd.DataFrame(got)
 
-    schema = "key string, cell double, x double, on_grid boolean, " + ", ".join(f"o{k} double" for k in range(len(outs)))
-    fitted = summed.withColumnRenamed(key, "key").groupBy("key").applyInPandas(fit, schema)
+    schema = "key string, x double, on_grid boolean, " + ", ".join(f"o{k} double" for k in range(len(outs)))
+    fitted = dealt.withColumnRenamed(key, "key").groupBy("key", "__block").applyInPandas(fit, schema)
     named = [F.col(f"o{k}").alias(n) for k, n in enumerate(outs)]
-    fitted = fitted.select(F.col("key").alias(key), "cell", "x", "on_grid", *named)
-    grid = fitted.where("on_grid").select(c(key), F.col("x"), "on_grid", *map(c, outs))
-    nodes = fitted.where("not on_grid").withColumnRenamed("cell", "__cell").drop("x")
-    at_x = placed.select(c(key), "__cell", c(x).alias("x")).join(nodes, [key, "__cell"]).select(c(key), "x", "on_grid", *map(c, outs))
-    return at_x.unionByName(grid)
+    fitted = fitted.select(F.col("key").alias(key), "x", "on_grid", *named)
+    at_x = sets.select(c(key), c(x).cast("double").alias("x")).join(fitted.where("not on_grid"), [key, "x"])
+    return at_x.select(c(key), "x", "on_grid", *map(c, outs)).unionByName(fitted.where("on_grid"))
 
 
 def normalise_predictors(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from airloom.functions.statistics import band_labels, significant, t_quantile, t
 from airloom.operators.accuracy import lines_by, range_average, with_p_values
 from airloom.operators.annual import days_covered
 from airloom.operators.gam import place_knots, spline_basis
-from airloom.operators.loess import loess_1d
+from airloom.operators.loess import loess_1d, loess_curves
 from airloom.streaming.rolling import merge_days
 
 RNG = np.random.default_rng(3)
@@ -66,6 +66,17 @@ def test_summed_loess_is_the_plain_one(points):
     assert np.allclose(loess_1d(at, w, sy, at), r_loess(x, y).predict(at[:, None]), atol=1e-5)
 
 
+def test_curve_of_many_means_is_exact(spark):
+    x = np.cumsum(np.random.default_rng(6).uniform(0.1, 6, 20_500)).round(3)
+    sy = 30 + 20 * np.sin(x / 7000) + x / 50
+    sets = spark.createDataFrame([("a", float(p), 1, float(q)) for p, q in zip(x, sy, strict=True)], "k string, v double, w bigint, s double")
+    rows = loess_curves(sets, "k", "v", {"fit": ("s", "w")}).collect()
+    got = {r.x: r.fit for r in rows if not r.on_grid}
+    at = x[::400]
+    assert len(got) == len(x) and np.allclose([got[v] for v in at], loess_1d(x, np.ones(len(x)), sy, at), atol=1e-8, rtol=0)
+    assert sorted(r.x for r in rows if r.on_grid) == [10.0 * k for k in range(1, 101) if x[0] <= 10 * k <= x[-1]]
+
+
 def test_gam():
     assert place_knots(np.repeat(np.arange(5.0), 100), 5).tolist() == [0, 1, 2, 3, 4]
     assert np.allclose(spline_basis(np.arange(5.0), np.arange(5.0)), np.eye(5))
