@@ -170,7 +170,7 @@ def _send(buckets: int):
             "bucket": pa.array([int(bucket[a]) for a in lo], pa.int32()),
             "part": pa.array([part] * len(lo), pa.int32()),
             "digests": pa.array([own[a:b].tobytes() for a, b in zip(lo, hi, strict=False)], pa.binary()),
-            "docs": pa.array([np.diff(docs[a:b], prepend=0).tobytes() for a, b in zip(lo, hi, strict=False)], pa.binary()),
+            "docs": pa.array([pa.compress(np.diff(docs[a:b], prepend=0).tobytes(), "zstd", asbytes=True) for a, b in zip(lo, hi, strict=False)], pa.binary()),
         })
 
     return run
@@ -181,7 +181,8 @@ def _answer(table: pa.Table) -> pa.Table:
     parts = table.column("part").to_numpy()
     dig = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("digests")]
     part = np.repeat(parts, [len(x) for x in dig])
-    docs = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.int64)) for x in table.column("docs")])
+    packed = zip(table.column("docs"), dig, strict=True)
+    docs = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(x.as_py(), d.nbytes, "zstd", asbytes=True), np.int64)) for x, d in packed])
     dig = np.concatenate(dig)
     by = np.lexsort((part, docs, dig))
     dig, docs, part = dig[by], docs[by], part[by]
