@@ -5,7 +5,8 @@ at each line start), so cuts follow the content and an insertion moves only the
 identified by a digest of their words. What is compared are runs of chunks: from each chunk start, and back from each
 chunk end, the shortest run of ``MIN_WORDS`` words or more. The first occurrence of a run in (doc_id, position) order
 holds it; later ones are cut out. So every stretch of whole chunks with that many words that stands earlier goes, in
-whatever documents its single chunks were seen first; shorter common phrases and lines stay.
+whatever documents its single chunks were seen first; shorter common phrases and lines stay. A text of fewer words is one run,
+which meets only other whole texts.
 
 Plan: rows are dealt by a hash into parts of about ``PART_BYTES`` of text. Each part sends every run's digest
 once, with its first document, to a bucket of digests; so a passage that a third of the corpus shares is one entry per
@@ -90,6 +91,18 @@ def runs(row: np.ndarray, words: np.ndarray, digests: np.ndarray, min_words: int
     return lo, hi, C.mix64((summed[hi] - summed[lo]) * _powers(_BACK, n)[lo] + (hi - lo).astype(np.uint64))
 
 
+def whole_texts(row: np.ndarray, words: np.ndarray, digests: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for texts of fewer words, each as one run that meets only other whole texts."""
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    if not len(first):
+        return first, first, digests
+    past = np.append(first[1:], len(row))
+    few = np.add.reduceat(words, first) < min_words
+    place = (np.arange(len(row)) - np.repeat(first, past - first)).astype(np.uint64)
+    found = C.mix64(np.add.reduceat(C.mix64(digests + place * _STEP), first) ^ _BACK)
+    return first[few], past[few], found[few]
+
+
 def _stretches(*keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where stretches of meeting runs with equal keys begin among the sorted runs, and past their last chunk."""
     new = np.ones(len(lo), bool)
@@ -145,7 +158,9 @@ def _part_runs(table: pa.Table):
     parts = [chunks(raw[i]) for i in order]
     row = np.repeat(np.arange(len(order)), [len(p[0]) for p in parts])
     words, digests = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in ((1, np.int64), (2, np.uint64)))
-    lo, hi, found = runs(row, words, digests)
+    lo, hi, found = (np.concatenate(x) for x in zip(runs(row, words, digests), whole_texts(row, words, digests), strict=True))
+    by = np.argsort(lo, kind="stable")
+    lo, hi, found = lo[by], hi[by], found[by]
     return raw, ids, order, parts, row[lo], lo, hi, found
 
 

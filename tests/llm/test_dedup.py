@@ -184,6 +184,12 @@ def test_passage_of_chunks_seen_before(spark):
         assert p in one.text and two.held_by == [first + k] and two.n_removed_words >= len(p.split()) - 8, (k, two.n_removed_words)
 
 
+def test_short_texts_copied_whole(spark):
+    rows = [(1, "a short text"), (2, "x" * 300), (3, "A short text"), (4, "a short text"), (5, "x" * 300), (6, f"a short text\n{'y ' * 5}"), (7, " "), (8, " ")]
+    got = {r.doc_id: (r.text, r.held_by) for r in chunk_dedup.duplicate_spans(documents(spark, rows)).collect()}
+    assert got == {k: ("", [k - 3]) if k in (4, 5) else (t, []) for k, t in rows}
+
+
 def test_runs_reach_every_repeated_chunk():
     rng = np.random.default_rng(2)
     words = rng.integers(1, 9, 400)
