@@ -75,7 +75,9 @@ def replicate_stats(df: DataFrame, by: list[str], method: int = 2, sizes: list[i
     sets = df.groupBy(*map(c, by)).agg(*stats)
     if method == 1:
         return sets.withColumns({".low": F.get("__q", F.lit(0)), ".high": F.get("__q", F.lit(1))}).drop("__sd", "__q")
-    half = half_width(method, c(".n"), F.col("__sd"), sizes if sizes is not None else list(range(3, 200)))
+    if method == 2 and sizes is None:
+        sizes = sorted(r[0] for r in sets.select(c(".n")).distinct().collect())
+    half = half_width(method, c(".n"), F.col("__sd"), sizes or [])
     return sets.withColumns({".low": c(".mean") - half, ".high": c(".mean") + half}).drop("__sd")
 
 

@@ -10,6 +10,7 @@ from airloom.operators.accuracy import lines_by, range_average, with_p_values
 from airloom.operators.annual import days_covered
 from airloom.operators.gam import place_knots, spline_basis
 from airloom.operators.loess import loess_1d, loess_curves
+from airloom.operators.precision import replicate_stats
 from airloom.streaming.rolling import merge_days
 
 RNG = np.random.default_rng(3)
@@ -105,6 +106,13 @@ def test_surface_keeps_rows_with_gaps(spark):
     assert np.abs(whole["v.pred"] - (1 + whole[".longitude"] - whole[".latitude"])).max() < 1e-6
 
 
+def test_intervals_of_large_sets(spark):
+    df = spark.range(250).selectExpr("'a' as g", "cast(id as double) as `.tube`").union(spark.range(2).selectExpr("'b'", "1.0D"))
+    got = {r.g: r for r in replicate_stats(df, ["g"]).collect()}
+    half = t_quantile(0.975, 249) * np.std(np.arange(250), ddof=1) / math.sqrt(250)
+    assert got["a"][".low"] == pytest.approx(124.5 - half) and got["a"][".high"] == pytest.approx(124.5 + half) and got["b"][".low"] is None
+
+
 def test_line(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", None, 99.0), ("a", 4.0, 8.0), ("a", 5.0, 10.0), ("a", 6.0, None), ("b", 1.0, 1.0), ("c", 2.0, 1.0), ("c", 2.0, 2.0), ("c", 2.0, 3.0), ("c", 2.0, 3.5)], "g string, x double, y double")
     got = {r.g: r for r in with_p_values(lines_by(df, ["g"], "x", "y")).collect()}
