@@ -134,6 +134,11 @@ def _(spark, d):
     return tag.tag_tube_location(rows).groupBy(c(".location").alias("location")).agg(_n())
 
 
+@_query("tag_location_text_all")
+def _(spark, d):
+    return tag.tag_tube_location(order_tubes(spark, d)).groupBy(c(".location").alias("location")).agg(_n())
+
+
 @_query("tag_required_only", "select strftime(m, '%Y') as year, la, count(*) as n from dated group by all", _TUBES)
 def _(spark, d):
     out = tag.tag_tube_required(order_tubes(spark, d), [".year", 3, "no_tag"])
@@ -560,6 +565,13 @@ def _(spark, d):
     return rows.groupBy(colour_ramp(F.col("p_size").cast("double"), F.col("lo"), F.col("hi")).alias("color")).agg(_n())
 
 
+@_query("colour_ends_all")
+def _(spark, d):
+    rows = _read(spark, d, "part")
+    ends = rows.agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    return rows.crossJoin(F.broadcast(ends)).groupBy(colour_ramp(F.col("p_size").cast("double"), F.col("lo"), F.col("hi")).alias("color")).agg(_n())
+
+
 # Clusters ----------------------------------------------------------------------------------------
 _SERIES = ", series as (select site, m as date, avg(v) as v from dated where l_suppkey < 20 and v is not null group by all)"
 
