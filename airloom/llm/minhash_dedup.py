@@ -4,16 +4,17 @@ Method: two small collections of ``SIDE`` half-keys (each of ``ROWS`` minhashes)
 table key joins one half-key of either collection, so ``SIDE**2`` tables need only ``2 * SIDE * ROWS`` minhashes.
 Two sets of similarity s share a table with probability ``(1 - (1 - s**ROWS)**SIDE)**2`` (0.9995 at 0.75).
 
-Plan: texts with the same shingle set form a class, and one representative goes on. Half-keys that only one
+Plan: texts with the same shingle set form a class, which gets a number of its own and is represented by one of its
+texts; classes that share a doc_id are linked. Half-keys that only one
 representative has are left out before the tables are formed. In each bucket every member is linked to one
 hub only; what that leaves apart is searched by the rarest shingles that different parts share
 (``rare_pairs``), so no large group is expanded into all its pairs and no link between different parts is lost. Every link is
 confirmed on the full sets, as sizes of intersection and union. Components come from ``components``.
 
 Defined results: null and empty texts and texts without words have n_shingles 0 and link with nothing; a text
-with fewer words than ``WIDTH`` is one shingle; rows with the same doc_id share one component and are kept or
-dropped together; rows without doc_id get their class's component (null if none) and are kept only without one;
-an empty table gives no rows. Columns other than doc_id and text are ignored by ``near_duplicates``.
+with fewer words than ``WIDTH`` is one shingle; rows with the same doc_id share one component, also where their texts
+differ (an empty text's row keeps its own id), and are kept or dropped together; rows without doc_id get their class's component (null if no row of it has
+an id) and are kept only without one; an empty table gives no rows. Columns other than doc_id and text are ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SIDE = 10
 ODD = 8
 #: Ids are sent to every task only up to this many (8 bytes each); beyond it they are joined by a shuffle.
 MAX_SENT_IDS = 1_000_000
+#: Sets that meet in one shingle are compared in blocks of so many by all.
+MEET = 500
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**62, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,13 +76,13 @@ def _signatures(batch) -> dict:
         key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
         half.append(half_keys(s).tolist() if len(s) else None)
         odd.append(odd_sketch(s).tolist() if len(s) else None)
-    return {"doc_id": batch.column("doc_id"), "n_shingles": n, "set_key": key, "half": half, "odd": odd}
+    return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n_shingles": n, "set_key": key, "half": half, "odd": odd}
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets reach the similarity; ``texts`` has (doc_id, text) once per id."""
-    first = pairs.join(texts.selectExpr("doc_id as a", "text as text_a"), "a")
-    second = first.join(texts.selectExpr("doc_id as b", "text as text_b"), "b")
+    """Those pairs (a, b) whose full shingle sets reach the similarity; ``texts`` has (rep, text) once per class."""
+    first = pairs.join(texts.selectExpr("rep as a", "text as text_a"), "a")
+    second = first.join(texts.selectExpr("rep as b", "text as text_b"), "b")
 
     def run(batches):
         last: tuple = (None, None)
@@ -124,7 +127,7 @@ def class_links(docs: DataFrame, reps: DataFrame) -> list[DataFrame]:
         stars = stars.join(reps.selectExpr(f"rep as {end}", f"odd as odd_{end}"), end)
     stars = stars.where(_differ(_odd_bits("odd_a", "odd_b"), F.col("na") + F.col("nb")))
     stars = C.written(stars.select("a", "b", "score"), "stars")
-    texts = C.written(_texts_of(docs, score.selectExpr("rep as doc_id")), "texts")
+    texts = C.written(_texts_of(docs, reps.join(score.select("rep"), "rep").select("rep", "doc_id", "th")), "texts")
 
     best = stars.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x")).selectExpr("a", "x.b as b")
     first = C.written(confirm(best, texts), "confirmed")
@@ -167,7 +170,7 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple[Dat
                 cols = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[at]) for c in ("rep", "n", "root")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(sets))], names=["rep", "n", "root", "s"])
 
-    found = texts.withColumnRenamed("doc_id", "rep").join(apart, "rep").select("rep", "n", "root", "text")
+    found = texts.join(apart, "rep").select("rep", "n", "root", "text")
     shingles = C.written(C.map_batches(found, explode, "rep bigint, n bigint, root bigint, s bigint"), "shingles")
     several = shingles.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "c")
     own = Window.partitionBy("rep")
@@ -176,19 +179,23 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple[Dat
     ranked = ranked.withColumn("at", F.row_number().over(own.orderBy("c", "s"))).where(F.col("at") <= F.col("k") - need + 1)
     kept = C.written(ranked.select("rep", "n", "root", "s", "k", "at"), "rare")
     # The most similar partner that sets of these sizes could be has no shingles of its own and m = least n of those met.
-    least = kept.groupBy("s").agg(F.min("n").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", F.col("m"))
+    least = kept.groupBy("s").agg(F.min("n").alias("m"), F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "m", "c")
+    least = C.written(least, "least")  # a sum by s in the same stage would keep the join from being split
     alike = F.greatest("m", "k")
     rare = kept.join(least, "s").where(_differ(F.col("n") - F.col("k") + alike - F.col("k"), F.col("n") + alike)).drop("m")
-    rare = rare.join(reps.select("rep", "odd"), "rep")
-    one, two = rare.alias("one"), rare.alias("two")
-    meet = (F.col("one.s") == F.col("two.s")) & (F.col("one.rep") > F.col("two.rep")) & (F.col("one.root") != F.col("two.root"))
+    rare = C.written(rare.join(reps.select("rep", "odd"), "rep"), "rare")
+    # A shingle with many sets is dealt over several tasks: a block of its sets meets all of them.
+    blocks = F.ceil(F.col("c") / MEET).cast("int")
+    one = rare.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).drop("c").alias("one")
+    two = rare.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("c").alias("two")
+    meet = (F.col("one.s") == F.col("two.s")) & (F.col("one.block") == F.col("two.block")) & (F.col("one.rep") > F.col("two.rep")) & (F.col("one.root") != F.col("two.root"))
     apart = F.expr("one.n - one.k + two.n - two.k + abs(one.k - two.k)")
     meet = meet & _sizes("one.n", "two.n") & _differ(apart, F.col("one.n") + F.col("two.n"))
     meet = meet & _differ(_odd_bits("one.odd", "two.odd"), F.col("one.n") + F.col("two.n"))
     # At the first shingle where two partners meet, they can still share what either has from there on.
     still = F.expr("1 + least(one.k - one.at, two.k - two.at)")
     meet = meet & (still * (100 + PERCENT) >= (F.col("one.n") + F.col("two.n")) * PERCENT)
-    return one.join(two, meet).selectExpr("one.rep as a", "two.rep as b").distinct(), [shingles, kept]
+    return one.join(two, meet).selectExpr("one.rep as a", "two.rep as b").distinct(), [shingles, kept, least, rare]
 
 
 def _odd_bits(odd: str, other: str):
@@ -206,25 +213,41 @@ def _sizes(n: str, m: str):
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    few = ids.limit(MAX_SENT_IDS + 1).count() <= MAX_SENT_IDS
-    found = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return found.dropDuplicates(["doc_id"])
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep and text of the wanted (rep, doc_id, th): a text is named by its document and its hash."""
+    few = wanted.limit(MAX_SENT_IDS // 4 + 1).count() <= MAX_SENT_IDS // 4
+    named = wanted.withColumnRenamed("doc_id", "named_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    found = texts.join(F.broadcast(named) if few else named, (texts["th"] == named["th"]) & texts["doc_id"].eqNullSafe(named["named_id"]))
+    return found.select("rep", "text").dropDuplicates(["rep"])
+
+
+def shared_ids(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that a doc_id with several texts belongs to."""
+    rows = signed.where("set_key is not null and doc_id is not null")
+    ends = rows.groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("low"), F.max(F.xxhash64("set_key")).alias("high"))
+    several = ends.where("low < high").select("doc_id")
+    member = rows.select("doc_id", "set_key").join(several, "doc_id").distinct().join(reps.select("set_key", "rep"), "set_key")
+    least = member.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return member.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    signed = C.written(C.in_batches(docs, _signatures, "doc_id bigint, n_shingles bigint, set_key binary, half array<bigint>, odd array<bigint>"), "signatures")
-    # A class's half-keys are the same in all its rows; a doc_id stands for one class only.
-    reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n"))
-    reps = C.written(reps.where("rep is not null"), "classes")
+    signed = C.written(C.in_batches(docs.withColumn("th", F.xxhash64("text")), _signatures, "doc_id bigint, th bigint, n_shingles bigint, set_key binary, half array<bigint>, odd array<bigint>"), "signatures")
+    # A class's half-keys are the same in all its rows; the written number stands for the class from here on.
+    reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("half").alias("half"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n"))
+    reps = C.written(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", "least", "at.doc_id", "at.th", "half", "odd", "n"), "classes")
     first, second, third = class_links(docs, reps)
-    roots = components(first.unionByName(second).unionByName(third))
+    roots = components(first.unionByName(second).unionByName(third).unionByName(shared_ids(signed, reps)))
     C.forget(first, second, third)
-    classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_root"))
+    linked = roots.unionByName(roots.selectExpr("root as node", "root").distinct())
+    named = linked.join(reps.selectExpr("rep as node", "least"), "node").groupBy("root").agg(F.min("least").alias("smallest"))
+    named = linked.join(named, "root").selectExpr("node as rep", "smallest", "true as in_group")
+    classes = reps.select("set_key", "rep", "least").join(named, "rep", "left").select("set_key", F.when(F.col("in_group"), F.col("smallest")).otherwise(F.col("least")).alias("class_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_root")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 

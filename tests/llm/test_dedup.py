@@ -70,6 +70,25 @@ def test_chain(spark):
     check_near(spark, texts)
 
 
+def test_one_id_for_different_texts(spark):
+    """A document of several texts links what is like any of them."""
+    rng = np.random.default_rng(21)
+    one, two, three, four = (sentence(rng, 60, 10**6) for _ in range(4))
+    rows = [(1, one), (1, two), (2, one + " w"), (3, two + " w"), (7, three), (5, three), (5, four), (9, four + " w"), (9, ""), (8, one.upper()), (None, two + " x"), (None, four + " y"), (20, "")]
+    got = {}
+    for r in minhash_dedup.near_duplicates(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_shingles > 0, r.component_id))
+    assert got == {1: {(True, 1)}, 2: {(True, 1)}, 3: {(True, 1)}, 8: {(True, 1)}, 7: {(True, 5)}, 5: {(True, 5)}, 9: {(True, 5), (False, 9)}, None: {(True, 1), (True, 5)}, 20: {(False, 20)}}
+    brute = brute_components({k: t for k, t in {10: one, 11: one + " w", 12: two}.items()})
+    assert brute[11][1] == 10 and brute[12][1] == 12
+
+
+def test_blocks_of_one_shingle(spark, monkeypatch):
+    """Sets of one shingle that meet in blocks give the same links."""
+    monkeypatch.setattr(minhash_dedup, "MEET", 3)
+    test_one_large_group_far_apart(spark)
+
+
 def test_keep_one(spark):
     docs = documents(spark, [(3, "a b c d e f"), (1, "A b c d e f"), (2, "other words that differ from all"), (None, "x y"), (4, None), (5, "")])
     kept = minhash_dedup.keep_one(docs)
@@ -271,7 +290,37 @@ def test_blocks_guarantee_the_radius():
         y = x
         for b in rng.choice(64, decontaminate.RADIUS, replace=False):
             y ^= 1 << int(b)
-        assert any(((x ^ y) >> (8 * k) & 255).bit_count() <= 1 for k in range(8))
+        assert any(((x ^ y) >> (8 * k) & 255).bit_count() <= decontaminate.OFF for k in range(8))
+
+
+def test_all_windows_at_the_threshold_are_found(spark):
+    """Items changed as far as the similarity allows: at one end, at both, or inside."""
+    rng = np.random.default_rng(33)
+    items, rows = [], []
+    for k in range(40):
+        w = sentence(rng, int(rng.integers(20, 130)), 10**6).split()
+        items.append(" ".join(w))
+        n = (len(w) - 4) // 7
+        for kind in range(3):
+            x = list(w)
+            if kind < 2:
+                tail = n if kind == 0 else n // 2
+                x[len(x) - tail:] = [f"t{k}"] * tail
+                x[:n - tail] = [f"h{k}"] * (n - tail)
+            else:
+                for at in range(n // 5):
+                    x[(at + 1) * len(x) // (n // 5 + 1)] = "i"
+            rows.append((len(rows), " ".join(x)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.contamination(documents(spark, rows), bench).collect()}
+    wanted = {k: [k // 3] if brute_windows(t, items[k // 3]) >= 0.75 else [] for k, t in rows}
+    assert sum(map(len, wanted.values())) > 100 and sum(got[k] != v for k, v in wanted.items()) <= 1
+
+
+def test_items_of_one_id(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f"), (1, "p q r s t u"), (1, "p q r s t u"), (None, "g h i j k l")], "item_id bigint, text string")
+    docs = documents(spark, [(1, "a b c d e f"), (2, "x p q r s t u"), (3, "g h i j k l"), (4, "a b c s t u")])
+    assert {r.doc_id: r.kept for r in decontaminate.contamination(docs, bench).collect()} == {1: False, 2: False, 3: False, 4: True}
 
 
 @pytest.mark.parametrize("cap", [0])
