@@ -8,7 +8,7 @@ holds it; later ones are cut out. So every stretch of whole chunks with that man
 whatever documents its single chunks were seen first; shorter common phrases and lines stay. A text of fewer words is one run,
 which meets only other whole texts.
 
-Plan: rows are dealt by a hash into parts of about ``PART_BYTES`` of text. Each part sends every run's digest
+Plan: rows are dealt once, by a hash, into parts of about ``PART_BYTES`` of text. Each part sends every run's digest
 once, with its first document, to a bucket of digests; so a passage that a third of the corpus shares is one entry per
 part there, and no group grows with its copies. Buckets answer the parts whose runs are held elsewhere, and
 each part cuts its own texts. Numbers of parts and buckets follow the measured bytes, and are at least the session's
@@ -30,7 +30,7 @@ from . import common as C
 
 #: Words from which a stretch that stands earlier is cut out.
 MIN_WORDS = 20
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 #: A word start ends a chunk in one of so many cases (a power of two), so chunks have about as many words.
 MEAN_WORDS = 4
@@ -277,8 +277,8 @@ def _dedup(docs: DataFrame, spans_too: bool) -> DataFrame:
     parts, buckets = max(tasks, -(-size // PART_BYTES)), max(tasks, -(-size * 9 // 10 // BUCKET_BYTES))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     dealt = docs.withColumn("__airloom_part", key)
-    sent = dealt.select("__airloom_part", "doc_id", "text").groupBy("__airloom_part").applyInArrow(_send(buckets), "bucket int, part int, digests binary, docs binary")
-    sent = C.written(sent, "digests")
+    # Both uses of the parts group the same frame, so the texts are dealt once and read twice.
+    sent = dealt.groupBy("__airloom_part").applyInArrow(_send(buckets), "bucket int, part int, digests binary, docs binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "part int, digests binary, docs binary")
     schema = StructType([f for f in docs.schema])
     if spans_too:

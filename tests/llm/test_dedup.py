@@ -203,6 +203,58 @@ def test_passage_of_chunks_seen_before(spark):
         assert p in one.text and two.held_by == [first + k] and two.n_removed_words >= len(p.split()) - 8, (k, two.n_removed_words)
 
 
+def brute_cuts(rows):
+    """For each row the chunks that lie in a stretch of 20 words or more of whole chunks that stands earlier."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], (rows[i][1] or "").encode()))
+    seen, cuts = set(), {}
+    for i in order:
+        raw = (rows[i][1] or "").encode()
+        begin, n, _ = chunk_dedup.chunks(raw)
+        edges = [*begin.tolist(), len(raw)]
+        parts = [tuple(raw[a:b].split()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        cut, own = set(), []
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                size = sum(map(len, parts[a:b]))
+                if size >= 20:
+                    own.append((tuple(parts[a:b]), a, b))
+                if size >= 45:
+                    break
+        for name, a, b in own:
+            if name in seen:
+                cut |= set(range(a, b))
+            seen.add(name)
+        cuts[i] = b"".join(raw[x:y] for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if k not in cut).decode()
+    return cuts
+
+
+def test_substrings_by_brute_force(spark, monkeypatch):
+    """Every stretch that stands earlier goes, and nothing else: compared with all stretches of all rows."""
+    monkeypatch.setattr(chunk_dedup, "PART_BYTES", 3_000)
+    monkeypatch.setattr(chunk_dedup, "BUCKET_BYTES", 1_000)
+    rng = np.random.default_rng(44)
+    pool = [sentence(rng, int(n), 400) for n in rng.integers(8, 90, 14)]
+    rows = []
+    for k in range(120):
+        parts = [pool[int(rng.integers(len(pool)))] if rng.random() < 0.45 else sentence(rng, int(rng.integers(5, 40)), 400) for _ in range(int(rng.integers(1, 6)))]
+        cut = [" ".join(p.split()[int(rng.integers(0, 6)):]) if rng.random() < 0.3 else p for p in parts]
+        rows.append((k, ("\n" if k % 4 == 0 else " ").join(cut) + f" end{k} of it"))
+    pieces = sentence(rng, 75, 10**6).split()
+    rows += [(200 + k, f"{sentence(rng, 30)} {' '.join(pieces[15 * k:15 * k + 15])} {sentence(rng, 30)}") for k in range(5)]
+    rows += [(300 + k, f"{sentence(rng, 30)} {' '.join(pieces)} {sentence(rng, 30)}") for k in range(3)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.text for r in chunk_dedup.duplicate_spans(docs).collect()}
+    wanted = {rows[i][0]: text for i, text in brute_cuts(rows).items()}
+    assert got == wanted and sum(len(t) for t in wanted.values()) < sum(len(t) for _, t in rows) - 2000
+
+
+def test_texts_are_dealt_once(spark):
+    plan = chunk_dedup.duplicate_spans(documents(spark, [(1, "a b c")]))
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text
+
+
 def test_short_texts_copied_whole(spark):
     rows = [(1, "a short text"), (2, "x" * 300), (3, "A short text"), (4, "a short text"), (5, "x" * 300), (6, f"a short text\n{'y ' * 5}"), (7, " "), (8, " ")]
     got = {r.doc_id: (r.text, r.held_by) for r in chunk_dedup.duplicate_spans(documents(spark, rows)).collect()}
