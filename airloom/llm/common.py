@@ -228,6 +228,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def kept_folder(spark, what: str) -> str:
+    """A new folder in the shared one for files that tasks write themselves; it stays until the driver ends."""
+    import atexit
+    import uuid
+
+    path = f"{shared_folder(spark)}/airloom-{what}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove, _written)
+    _written[path] = spark
+    return path
+
+
 def belongs(frame: DataFrame, to: DataFrame) -> DataFrame:
     """The frame, to be forgotten with the written one that it reads."""
     frame._airloom_path = to._airloom_path

@@ -13,7 +13,7 @@ from .helpers import ODD_TEXTS, documents, sentence
 
 P = pytest.importorskip("public_tokenizers")
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
-ALPHABET = ["a", "b", " ", "  ", "\n", "\t", "é", "漢", "😀", "▁", " the", " ing", "\x00", "1", "'s", " 'll", "...", "　", "<s>", " ", "ﬁ"]
+ALPHABET = ["a", "b", "x1,", "é9", "×", "à!", "'t ", "\n\n", "ȏ", " ", "  ", "\n", "\t", "é", "漢", "😀", "▁", " the", " ing", "\x00", "1", "'s", " 'll", "...", "　", "<s>", " ", "ﬁ"]
 TEXTS = st.lists(st.sampled_from(ALPHABET), max_size=14).map("".join)
 
 
@@ -25,8 +25,8 @@ def test_shards_round_trip(n, bits, outliers, seed):
     ids = rng.integers(0, 2**bits, n, dtype=np.uint64).astype(np.uint32)
     if n:
         ids[rng.integers(0, n, outliers)] = rng.integers(0, 2**32, outliers, dtype=np.uint64)
-    shard = token_files.Shard(token_files.write_shard(np.array([-5, 7]), np.array([n // 2, n - n // 2]), ids, 99))
-    assert (shard.tokens() == ids).all() and shard.start == 99 and shard.doc_ids.tolist() == [-5, 7]
+    shard = token_files.Shard(token_files.write_shard(np.array([-5, 7]), np.array([n // 2, n - n // 2]), ids, 99, 1))
+    assert (shard.tokens() == ids).all() and (shard.start, shard.missing) == (99, 1) and shard.doc_ids.tolist() == [-5, 7]
     lo, hi = sorted(rng.integers(0, n + 1, 2).tolist())
     assert (shard.tokens(lo, hi) == ids[lo:hi]).all()
     if n:
@@ -62,31 +62,55 @@ def test_cached_encoding_is_the_library_s(plain_tokenizer, texts):
 
 def test_small_table_forgets(plain_tokenizer):
     cache = token_files.WordCache(BPE, pieces=3)
-    cache._table = token_files.WordTable(True, bits=3, room=4000)
+    cache._table = token_files.WordTable(True, bits=3, room=8000)
     rng = np.random.default_rng(0)
     for _ in range(30):
         text = sentence(rng, 60, 50)
         assert cache.encode(text).tolist() == plain_tokenizer.encode(text, add_special_tokens=False).ids
 
 
+LONG = " ".join(["long words 12,5 of it's naïve ×3 café—x\n\nand"] * 40_000)
+
+
+def test_each_run_goes_through_the_model_once(monkeypatch):
+    cache = token_files.WordCache(BPE)
+    text = b"some words, 12 of them\nsome words, again " + b"and" + b" words" * 500
+    one = cache.encode_many([text])[0].tolist()
+    monkeypatch.setattr(cache, "_piece", None)
+    assert cache.encode_many([text])[0].tolist() == one
+
+
+def test_long_texts_in_parts(plain_tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "GROUP", 1 << 16)
+    texts = [LONG[:300_000], LONG.replace(" ", "  ", 1)[:200_000], "x" * 200_000, "e\n\n\n", "", "\n\n\n\nb\n", "don't 'll--'s ''s 'S"]
+    ids, n = token_files.WordCache(BPE).encode_many([t.encode() for t in texts])
+    wanted = [plain_tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in wanted] and ids.tolist() == [v for w in wanted for v in w]
+
+
 def test_token_files(spark, plain_tokenizer, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_TOKENS", 500)
-    rows = [(k * 7 % 50, t) for k, t in enumerate(ODD_TEXTS * 3)] + [(None, "no id"), (-4, "minus"), (3, "again 3"), (3, "again 3")]
-    shards = token_files.write_tokens(documents(spark, rows), BPE)
-    got = token_files.read_tokens(shards).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, (r[1] or "").encode())))
-    start = 0
-    assert [r.doc_id for r in got] == [r[0] for r in order]
-    for r, (_, text) in zip(got, order, strict=True):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 20_000)
+    rows = [(k * 7 % 50, t) for k, t in enumerate(ODD_TEXTS * 3)] + [(None, "no id"), (None, "none either"), (-4, "minus"), (3, "again 3"), (3, "again 3")] + [(60, LONG)] + [(9, f"many of one id {k}") for k in range(30)]
+    docs = documents(spark, rows).selectExpr("*", "1 as part", "2 as h", "3 as name", "4 as start")
+    shards, folder = token_files.write_tokens(docs, BPE)
+    got = token_files.read_tokens(shards, folder).orderBy("start").collect()
+    wanted = {}
+    for k, text in rows:
         ids = np.array(plain_tokenizer.encode(text or "", add_special_tokens=False).ids + [token_files.END_ID], "<u4")
-        assert (r.start, r.n_tokens) == (start, len(ids))
-        if (r.doc_id, text) not in [(o[0], o[1]) for o in order if order.count(o) > 1]:
-            assert r.ids_crc32 == zlib.crc32(ids.tobytes())
-        start += len(ids)
-    n = token_files.export_shards(shards, str(tmp_path / "out"))
-    files = sorted(os.listdir(tmp_path / "out"))
-    assert n == len(files) > 1
-    assert sum(token_files.Shard((tmp_path / "out" / f).read_bytes()).n_tokens for f in files) == start
+        wanted.setdefault(k, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    found, start = {}, 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+        found.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in wanted.items()}
+    files = sorted(f for f in os.listdir(folder.removeprefix("file://")))
+    opened = [token_files.Shard(open(os.path.join(folder.removeprefix("file://"), f), "rb").read()) for f in files]
+    assert len(files) > 3 and all(f.endswith(".pfr") for f in files) and sum(s.n_tokens for s in opened) == start and sum(s.missing for s in opened) == 2
+    bases = {r.part: r.base for r in token_files.starts_of(shards).collect()}
+    assert [bases[int(f[:8])] + s.start for f, s in zip(files, opened, strict=True)] == np.cumsum([0] + [s.n_tokens for s in opened[:-1]]).tolist()
     assert token_files.token_files(documents(spark, rows).limit(0), BPE).count() == 0
 
 
