@@ -150,19 +150,45 @@ def remainder(doc_id: str | Column, by: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % by, F.lit(-1))
 
 
-def bounded_ids(rows: DataFrame, max_rows: int, seed: int) -> DataFrame:
-    """At most ``max_rows`` rows of (doc_id, y), chosen by a hash of the id: the documented bound of every fit.
-
-    Duplicate ids count once, with their largest label."""
-    one = rows.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    return one.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
+#: Text that a fit reads at most, all sampled rows together.
+SAMPLE_BYTES = 32 << 20
 
 
-def sample_with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sampled rows with their texts; ``ids`` has a bounded number of rows, so it is sent to every task.
-
-    A repeated doc_id gives a row for each copy; null texts are left out."""
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+def bounded_ids(rows: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """At most ``max_rows`` rows of (doc_id, y, rank), chosen by a hash of the id: the documented bound of every fit.
+
+    Duplicate ids count once, with their largest label. Only ids whose hash lies below a threshold are ordered; it is
+    raised until enough are found, so the choice is that of the smallest hashes whatever the size."""
+    spark, h = rows.sparkSession, F.xxhash64(F.lit(seed), "doc_id")
+    rows = rows.where("doc_id is not null and y is not null").select("doc_id", "y", h.alias("h"))
+    share = min(1.0, 2.0 * max_rows / max(rows.count(), 1))
+    while True:
+        below = rows if share >= 1 else rows.where(F.col("h") < -(1 << 63) + int(share * 2**64))
+        found = below.groupBy("doc_id", "h").agg(F.max("y").alias("y")).orderBy("h", "doc_id").limit(max_rows).collect()
+        if share >= 1 or len(found) >= max_rows:
+            break
+        share = min(1.0, 4 * share)
+    kind = rows.schema["y"].dataType.simpleString()
+    return spark.createDataFrame([(r.doc_id, r.y, k) for k, r in enumerate(found)], f"doc_id bigint, y {kind}, rank int")
+
+
+def sample_with_text(docs: DataFrame, ids: DataFrame, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, y of the sampled rows; ``ids`` has a bounded number of rows, so it is sent to every task.
+
+    One text of each id is read, that with the smallest hash; null texts are left out, and so are those that would
+    bring the texts read, in the sample's order, over ``max_bytes``."""
+    texts = docs.select("doc_id", "text").where("text is not null")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")))
+    sizes = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "rank").agg(one.alias("one")).collect()  # a row an id
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["rank"]):
+        if total + r.one.n <= max_bytes:
+            total += r.one.n
+            chosen.append((r.doc_id, r.y, r.one.h))
+    kind = ids.schema["y"].dataType.simpleString()
+    named = docs.sparkSession.createDataFrame(chosen, f"doc_id bigint, y {kind}, __h bigint")
+    found = texts.withColumn("__h", F.xxhash64("text")).join(F.broadcast(named), ["doc_id", "__h"])
+    return found.select("doc_id", "text", "y").dropDuplicates(["doc_id"])
 
 
 def sigmoid(x):

@@ -9,6 +9,9 @@ a page that hasn't it is extracted from its own best container.
 Plan: two passes over the pages with a sum per (host, path) between them, combined before the shuffle. The winners,
 one row per host, are sent to every task up to ``MAX_SENT`` hosts, counted first; beyond that they are joined.
 
+Classes, ids and roles mark menus, adverts and the like; on a page where they leave no text, those that hold half of it
+count for nothing.
+
 Defined results: null or empty html, and pages without a text block, give an empty text; a null or odd url counts as
 the host ''; pages are voters as often as they are repeated; ties go to the path with more text, then to the first
 by name; an empty table gives no rows. Other columns are ignored. Nothing is capped.
@@ -18,7 +21,6 @@ from __future__ import annotations
 
 import re
 from html import unescape
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -76,10 +78,27 @@ def _marked(tag: str, attrs: str) -> tuple[bool, str]:
 class Page:
     """``parents``, ``tags``, ``paths`` of the containers and ``blocks`` (container, text, link characters)."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, host_marks: bool = True):
         self.parents, self.tags, self.paths, self.blocks = [-1], [""], [""], []
-        self._text, self._links = [], 0
+        self._text, self._links, self._marked = [], 0, [False]
+        self._heed = host_marks
         self._read(html)
+        if not host_marks:
+            self._weigh_marks()
+
+    @classmethod
+    def read(cls, html: str) -> Page:
+        """The page; one whose marks leave nothing is read again, without those around most of its text."""
+        page = cls(html)
+        return page if page.blocks or not html else cls(html, False)
+
+    def _weigh_marks(self) -> None:
+        """Leaves out the blocks in marked containers, but for those that hold half of the page's text."""
+        total = self.scores()
+        out = [False] * len(total)
+        for k, parent in enumerate(self.parents):
+            out[k] = parent >= 0 and out[parent] or self._marked[k] and total[k] < total[0] / 2
+        self.blocks = [b for b in self.blocks if not out[b[0]]]
 
     def _close_block(self, container: int) -> None:
         if self._text:
@@ -135,15 +154,15 @@ class Page:
             elif name in _FENCE.get(tag, ()) or name in _CONTAINERS and name not in ("td", "th"):
                 break
         _, container, out, link, inside = stack[-1]
-        aside, name = _marked(tag, attrs)
-        aside = tag in _LEFT_OUT or aside and tag not in ("html", "body") or tag == "header" and not inside
-        if inside and tag == "header":
-            aside = False
+        marked, name = _marked(tag, attrs)
+        marked = marked and tag not in ("html", "body") and not (inside and tag == "header")
+        aside = tag in _LEFT_OUT or tag == "header" and not inside or marked and (self._heed or tag not in _CONTAINERS)
         if tag in _VOID:
             return
         if tag in _CONTAINERS:
             self.parents.append(container)
             self.tags.append(tag)
+            self._marked.append(marked)
             self.paths.append(f"{self.paths[container]}/{name}")
             container = len(self.parents) - 1
         stack.append((tag, container, out + aside, link, inside + (tag in ("article", "main"))))
@@ -195,11 +214,9 @@ class Page:
         return "\n\n".join(text for container, text, _ in self.blocks if inside[container])
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def _host() -> Column:
+    """The host of the url in lower case, or ''."""
+    return F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit("")))
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -208,15 +225,15 @@ def votes(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             got = []
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
-                page = Page(html.as_py() or "")
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                page = Page.read(html.as_py() or "")
                 k, score = page.best()
                 if score > 0:
-                    got.append((host_of(url), page.paths[k], score))
+                    got.append((host, page.paths[k], score))
             host, path, score = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"])
 
-    return C.map_batches(pages.select("url", "html"), run, "host string, path string, score double")
+    return C.map_batches(pages.select(_host().alias("host"), "html"), run, "host string, path string, score double")
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -229,21 +246,13 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path (the host's winning path): one row per row of ``pages``."""
     winners = C.written(host_paths(pages), "paths")
-    hosts = pages.select("page_id", "url", "html", _host("url").alias("host"))
+    hosts = pages.select("page_id", "url", "html", _host().alias("host"))
     few = winners.limit(MAX_SENT + 1).count() <= MAX_SENT
     rows = hosts.join(F.broadcast(winners) if few else winners, "host", "left").select("page_id", "url", "html", "path")
 
     def run(batches):
         for batch in batches:
-            texts = [Page(h.as_py() or "").text(p) for h, p in zip(batch.column("html"), batch.column("path").to_pylist(), strict=True)]
+            texts = [Page.read(h.as_py() or "").text(p) for h, p in zip(batch.column("html"), batch.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("path")], names=["page_id", "url", "text", "n_chars", "path"])
 
     return C.map_batches(rows, run, "page_id bigint, url string, text string, n_chars bigint, path string")
-
-
-def _host(url: str) -> Column:
-    @F.pandas_udf("string")
-    def host(urls):
-        return urls.map(host_of)
-
-    return host(F.coalesce(url, F.lit("")))

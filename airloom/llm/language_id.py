@@ -3,7 +3,7 @@
 Method: a text is cut into windows of ``WINDOW`` bytes, the last one padded with zeros. Filters of the widths in
 ``WIDTHS`` run over byte embeddings, each filter's largest response over the window (after a rectifier) is pooled,
 and a softmax layer gives the languages. The network is trained in numpy by back-propagation on windows of a bounded
-sample of rows with a language (``MAX_LABELLED`` rows, ``WINDOWS_EACH`` windows of each). At scoring, embedding and
+sample of rows with a language (``MAX_LABELLED`` rows, ``MAX_BYTES`` of text), all windows of each. At scoring, embedding and
 filter are folded into one table per filter place, so a response is a sum of table rows; windows of an arrow batch go
 through together, and a text's score is the mean over all its windows, weighted by their bytes.
 
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
-MAX_LABELLED = 3000
-WINDOWS_EACH = 2
+MAX_LABELLED = 1500
+MAX_BYTES = 4 << 20
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-EPOCHS = 6
+EPOCHS = 3
 FOLDS = 4
 HELD_OUT = 2
 #: Windows that go through the network together.
@@ -88,7 +88,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOC
     )
     adam = C.Adam([net.embedding, *net.filters, *net.biases, net.out, net.out_bias], 0.01)
     for epoch in range(epochs):
-        adam.rate = 0.01 if epoch < epochs - 2 else 0.003
+        adam.rate = 0.01 if epoch < epochs - 1 else 0.003
         order = rng.permutation(len(x))
         for at in range(0, len(x), 64):
             rows = order[at:at + 64]
@@ -128,25 +128,24 @@ def _sampled(batch) -> dict:
     for doc, lang, raw in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), C.raw_texts(batch, "text"), strict=True):
         if not has_letter(raw):
             continue
-        w = windows(raw)
-        for k in np.unique(np.linspace(0, len(w) - 1, WINDOWS_EACH).astype(int)):
-            ids.append(doc)
-            langs.append(lang)
-            wins.append(w[k].tobytes())
-    return {"doc_id": ids, "y": langs, "window": wins}
+        ids.append(doc)
+        langs.append(lang)
+        wins.append(windows(raw).tobytes())
+    return {"doc_id": ids, "y": langs, "windows": wins}
 
 
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Network | None:
-    """Fits on windows of at most ``max_labelled`` documents that aren't held out and have a language."""
+    """Fits on the windows of at most ``max_labelled`` documents that aren't held out and have a language."""
     rows = docs.where(C.remainder("doc_id", FOLDS) != HELD_OUT).where(C.remainder("doc_id", FOLDS) >= 0)
     ids = C.bounded_ids(rows.select("doc_id", F.col("lang").alias("y")), max_labelled, 909)
-    found = C.in_batches(C.sample_with_text(docs, ids).select("doc_id", "y", "text"), _sampled, "doc_id bigint, y string, window binary").collect()
+    found = C.in_batches(C.sample_with_text(docs, ids, MAX_BYTES).select("doc_id", "y", "text"), _sampled, "doc_id bigint, y string, windows binary").collect()
     if not found:
         return None
-    found = sorted(found, key=lambda r: (r.doc_id, r.window))
+    found = sorted(found, key=lambda r: r.doc_id)
     languages = sorted({r.y for r in found})
-    x = np.frombuffer(b"".join(bytes(r.window) for r in found), np.uint8).reshape(len(found), WINDOW)
-    return train(x, np.array([languages.index(r.y) for r in found]), languages)
+    x = np.frombuffer(b"".join(bytes(r.windows) for r in found), np.uint8).reshape(-1, WINDOW)
+    y = np.repeat([languages.index(r.y) for r in found], [len(r.windows) // WINDOW for r in found])
+    return train(x, y, languages)
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:

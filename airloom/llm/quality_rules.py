@@ -2,7 +2,7 @@
 
 Method: word 1- and 2-grams and character 3- and 4-grams (over UTF-8 bytes) of each whole text are hashed
 into buckets; a logistic regression over their relative frequencies is fitted in numpy on a bounded sample of
-labelled rows (``MAX_LABELLED``), its margin is turned into a probability by a fitted sigmoid on rows held back
+labelled rows (``MAX_LABELLED``, ``MAX_BYTES`` of text), its margin is turned into a probability by a fitted sigmoid on rows held back
 from the fit, and every text is scored in arrow batches against the fixed threshold ``KEEP_FROM``.
 
 Defined results: a null text counts as an empty one (0 words, rejected by the base rules); documents without an
@@ -21,6 +21,8 @@ from . import common as C
 
 #: Rows of the labelled sample at most; the fit needs no more, and the driver's memory is bounded by it.
 MAX_LABELLED = 2500
+#: Their text at most, in bytes.
+MAX_BYTES = 16 << 20
 #: Buckets of each of the four kinds of n-grams.
 BUCKETS = 1 << 13
 #: A text is kept if its calibrated probability of good quality is at least this.
@@ -126,7 +128,7 @@ def _sparse(batch) -> dict:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
     """Fits on at most ``max_labelled`` labelled documents; None where both classes aren't found."""
     ids = C.bounded_ids(labels.selectExpr("doc_id", "cast(quality as int) as y"), max_labelled, 101)
-    rows = C.in_batches(C.sample_with_text(docs, ids).select("doc_id", "text", "y"), lambda b: {"doc_id": b.column("doc_id"), **_sparse(b)}, "doc_id bigint, y int, at binary, val binary")
+    rows = C.in_batches(C.sample_with_text(docs, ids, MAX_BYTES).select("doc_id", "text", "y"), lambda b: {"doc_id": b.column("doc_id"), **_sparse(b)}, "doc_id bigint, y int, at binary, val binary")
     rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.at))
     y = np.array([r.y for r in rows], float)
     if C.class_weights_off(y):

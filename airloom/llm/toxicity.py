@@ -3,7 +3,8 @@
 Method: a text is a bag of sentences (cut at . ! ? and line ends). A sentence's margin is a bias plus the weights of
 its distinct hashed words and word beginnings (of ``PREFIXES`` bytes); its score is the sigmoid of that, and the document's score is the
 noisy-or 1 - prod(1 - p). The weights are trained through the noisy-or from document labels only, in numpy, on a
-bounded sample of labelled rows (``MAX_LABELLED``); words found in fewer than ``MIN_DOCS`` of them get no weight. A
+bounded sample of labelled rows (``MAX_LABELLED``, ``MAX_BYTES`` of text), with a part of the words left out at random
+in each step (``LEFT_OUT``); words found in fewer than ``MIN_DOCS`` of them get no weight. A
 sentence whose own score reaches ``THRESHOLD`` is reported with its byte span.
 
 Defined results: null and empty texts, and texts without words, have one sentence without words, so they score
@@ -22,6 +23,10 @@ from . import common as C
 
 #: Rows of the labelled sample at most.
 MAX_LABELLED = 7000
+#: Their text at most, in bytes.
+MAX_BYTES = 24 << 20
+#: Share of the words and beginnings that each step of the fit leaves out, so that one bad word is enough.
+LEFT_OUT = 0.3
 BUCKETS = 1 << 18
 MIN_DOCS = 4
 PREFIXES = (4, 5, 6)
@@ -96,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Fits on at most ``max_labelled`` labelled documents that aren't held out."""
     rows = labels.where(C.remainder("doc_id", FOLDS) != HELD_OUT).selectExpr("doc_id", "cast(toxic as int) as y")
     ids = C.bounded_ids(rows, max_labelled, 202)
-    bags = C.in_batches(C.sample_with_text(docs, ids).select("doc_id", "text", "y"), lambda b: {"doc_id": b.column("doc_id"), **_collect(b)}, "doc_id bigint, y int, n int, of binary, at binary")
+    bags = C.in_batches(C.sample_with_text(docs, ids, MAX_BYTES).select("doc_id", "text", "y"), lambda b: {"doc_id": b.column("doc_id"), **_collect(b)}, "doc_id bigint, y int, n int, of binary, at binary")
     rows = sorted(bags.collect(), key=lambda r: (r.doc_id, r.at))
     y = np.array([r.y for r in rows], float)
     if C.class_weights_off(y):
@@ -119,7 +124,11 @@ def train(of: list[np.ndarray], at: list[np.ndarray], n: np.ndarray, y: np.ndarr
     w = np.zeros(len(known))
     b = np.array([np.log(max(y.mean(), 1e-3) / max(n.mean(), 1)) - 3])
     adam = C.Adam([w, b], 0.12)
+    rng = np.random.default_rng(5)
+    all_of, all_at = of, at
     for _ in range(steps):
+        left = rng.random(len(all_of)) >= LEFT_OUT
+        of, at = all_of[left], all_at[left]
         p = C.sigmoid(np.bincount(of, weights=w[at], minlength=total) + b[0])
         s = np.bincount(doc, weights=-np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(n))
         pull = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-6, 50)), 1.0)  # derivative of the loss by the bag's sum
