@@ -12,7 +12,7 @@ _HOMES = {
     "functions.labels": "quick_text",
     "sources.tubes": "dt_brd dt_calendar aurn_example",
     "sources.typed_json": "read_rjson",
-    "sources.polygons": "PolygonLayer read_geojson",
+    "sources.polygons": "PolygonLayer caz_brd read_geojson",
     "operators.tagging": "tag_tube tag_tube_required tag_tube_start_end tag_tube_lat_lon tag_tube_sample_id tag_tube_value tag_tube_date tag_tube_month tag_tube_year tag_tube_location",
     "operators.aggregate": "calc_tube_stat calc_tube_apply",
     "operators.merge": "r_merge",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from airloom.functions.expressions import attach, term
 from airloom.functions.statistics import Stat, as_stat
 from airloom.operators.tagging import tag_tube_required
-from airloom.session import TubeError, as_text, c, field, kind_of, levels_of, sort_columns
+from airloom.session import TubeError, as_text, c, field, kind_of, levels_of, natural_of, sort_columns
 
 
 def split_keys(df: DataFrame, by: list[str]) -> list[str]:
@@ -44,7 +44,7 @@ def calc_tube_stat(df: DataFrame, tube=".value", by=None, stat=None, **options)
     fields = {k: field(df, k) for k in keys}
     grouped = df.groupBy(*map(c, keys)).agg(*out)
     rest = [n for n in grouped.columns if n not in keys]
-    kept = [c(k).alias(k, metadata=fields[k].metadata) if levels_of(fields[k]) else c(k) for k in keys]
+    kept = [c(k).alias(k, metadata=fields[k].metadata) if kind_of(fields[k]) == "factor" else c(k) for k in keys]
     ordered = grouped.select(*kept, *map(c, rest))
     return ordered.orderBy(*sort_columns(ordered, keys))
 
@@ -63,7 +63,8 @@ def factor_counts(df: DataFrame, name: str) -> DataFrame:
     counted = df.groupBy(text.alias("level")).agg(F.count("*").alias("n"))
     levels = levels_of(f)
     if levels is None:
-        return counted.select(F.coalesce("level", F.lit("NA's")).alias("level"), "n").orderBy((F.col("level") == "NA's"), "level")
+        by = F.col("level").try_cast("double") if natural_of(f) == "number" else F.col("level")
+        return counted.orderBy(F.col("level").isNull(), by).select(F.coalesce("level", F.lit("NA's")).alias("level"), "n")
     all_levels = df.sparkSession.createDataFrame([(k, v) for k, v in enumerate(levels)], "at int, level string")
     full = all_levels.join(counted.where("level is not null"), "level", "left").select("at", "level", F.coalesce("n", F.lit(0)).alias("n"))
     missing = counted.where("level is null").select(F.lit(len(levels)).alias("at"), F.lit("NA's").alias("level"), "n")

@@ -9,14 +9,17 @@ from airloom.functions.expressions import attach
 from airloom.operators.tagging import tag_tube_required
 from airloom.session import TubeError, c, null_safe_join
 
-#: Sites whose matrix the driver takes at most.
+#: Sites whose matrix the driver takes at most, unless a call allows more.
 MAX_SITES = 5_000
 
 
-def site_series(df: DataFrame, tube: str = ".value", by: str = ".location", date: str = ".date", **options) -> DataFrame:
-    """site, date, v: the mean of each site and date, missing ones left out."""
-    d = attach(tag_tube_required(df, [tube, by, date], **options), [tube, by], on_error="stop<<cluster_tube_data>>tube")
-    return d.groupBy(c(by).alias("site"), c(date).alias("date")).agg(F.avg(c(tube)).alias("v")).where("site is not null and date is not null and v is not null")
+def site_series(df: DataFrame, tube: str = ".value", by: str = "site", date: str = ".date", extra: list[str] | None = None, **options) -> DataFrame:
+    """site, date, v: the mean of each site and date (and what ``extra`` terms tell apart), missing ones left out."""
+    terms = list(extra or [])
+    d = attach(tag_tube_required(df, [tube, by, date, *terms], **options), [tube, by, *terms], on_error="stop<<cluster_tube_data>>tube")
+    when = F.concat_ws("|", c(date).cast("string"), *[F.coalesce(c(t).cast("string"), F.lit("NA")) for t in terms]) if terms else c(date)
+    d = d.where(c(date).isNotNull())
+    return d.groupBy(c(by).cast("string").alias("site"), when.alias("date")).agg(F.avg(c(tube)).alias("v")).where("site is not null and date is not null and v is not null")
 
 
 def wide(series: DataFrame) -> DataFrame:
@@ -24,14 +27,35 @@ def wide(series: DataFrame) -> DataFrame:
     return series.groupBy("date").pivot("site").agg(F.avg("v")).orderBy("date")
 
 
-def correlation_distance(series: DataFrame) -> DataFrame:
-    """a, b, d = 1 - correlation of each pair of sites over their shared dates; 1 where there is none."""
-    one, two = series.select(F.col("site").alias("a"), "date", F.col("v").alias("x")), series.select(F.col("site").alias("b"), "date", F.col("v").alias("y"))
-    both = one.join(two, "date").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+def check_sites(series: DataFrame, max_sites: int = MAX_SITES) -> DataFrame:
+    """The sites, counted: what is made of their pairs is as large as the square of their number."""
     sites = series.select("site").distinct()
+    if sites.limit(max_sites + 1).count() > max_sites:
+        raise TubeError(f"[cluster_tube_data]> more than {max_sites} sites; allow more with max_sites")
+    return sites
+
+
+def correlation(x: str, y: str):
+    """The correlation of two columns as an aggregate; NULL where one of them doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
+def correlation_distance(series: DataFrame, max_sites: int = MAX_SITES) -> DataFrame:
+    """a, b, d = 1 - correlation of each pair of sites over their shared dates; 1 where there is none.
+
+    Each pair is correlated once; the sites, whose number is checked, are then crossed to fill in what is missing."""
+    sites = check_sites(series, max_sites)
+    one, two = series.select(F.col("site").alias("a"), "date", F.col("v").alias("x")), series.select(F.col("site").alias("b"), "date", F.col("v").alias("y"))
+    half = one.join(two, "date").where("a <= b").groupBy("a", "b").agg(correlation("x", "y").alias("r"))
+    both = half.unionByName(half.where("a <> b").selectExpr("b as a", "a as b", "r"))
     pairs = sites.select(F.col("site").alias("a")).crossJoin(F.broadcast(sites.select(F.col("site").alias("b"))))
-    r = F.nanvl(F.col("r"), F.lit(None))
-    return pairs.join(both, ["a", "b"], "left").select("a", "b", (1 - F.coalesce(r, F.lit(0.0))).alias("d"))
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", (1 - F.coalesce("r", F.lit(0.0))).alias("d"))
+
+
+def related(distances: DataFrame) -> DataFrame:
+    """The distances of sites that aren't at 1 from all, their own included."""
+    kept = distances.where("d <> 1").select("a").distinct()
+    return distances.join(kept, "a").join(kept.withColumnRenamed("a", "b"), "b").select("a", "b", "d")
 
 
 def scaled(series: DataFrame, method: int) -> DataFrame:
@@ -44,71 +68,79 @@ def scaled(series: DataFrame, method: int) -> DataFrame:
 
 
 def trend(series: DataFrame) -> DataFrame:
-    """Method 6: differences from each date to the one before."""
-    before = Window.partitionBy("site").orderBy("date")
-    return series.select("site", "date", (F.col("v") - F.lag("v").over(before)).alias("v")).where("v is not null")
+    """Method 6: site and v = 1 - correlation of its values with the time left until the last date, in steps of the
+    dates there are; sites without a correlation go. The dates are numbered in one task, a row a date."""
+    last = Window.orderBy(F.desc("date"))
+    steps = series.select("date").distinct().withColumn("left", (F.row_number().over(last) - 1).cast("double"))
+    return series.join(steps, "date").groupBy("site").agg(correlation("v", "left").alias("r")).where("r is not null").select("site", (1 - F.col("r")).alias("v"))
+
+
+def distances_of(x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows, a row at a time, from the differences themselves."""
+    return np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in x]) if len(x) else np.zeros((0, 0))
 
 
 def pam(x: np.ndarray, k: int, sweeps: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Medoids and labels of the rows of x by Euclidean distance: greedy start, then the best swap while one helps."""
+    """Medoids and labels of the rows of x: the medoids come greedily, then rows are swapped in while that helps.
+
+    Ties go to the row that comes first. A sweep goes through the medoids and, for each, through the rows in order; a
+    row that lowers the cost takes the place at once. Labels are the places of the medoids."""
     n = len(x)
     if k >= n:
         return np.arange(n), np.arange(n)
-    d = np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T), 0))
+    d = distances_of(x)
     chosen = [int(d.sum(axis=1).argmin())]
-    near = d[:, chosen[0]].copy()
     while len(chosen) < k:
-        gain = np.maximum(near[:, None] - d, 0).sum(axis=0)
-        gain[chosen] = -1
-        chosen.append(int(gain.argmax()))
-        near = np.minimum(near, d[:, chosen[-1]])
-    cost = near.sum()
+        total = np.minimum(d[:, chosen].min(axis=1)[:, None], d).sum(axis=0)
+        total[chosen] = np.inf
+        chosen.append(int(total.argmin()))
+    cost = d[:, chosen].min(axis=1).sum()
     for _ in range(sweeps):
-        best = (cost - 1e-12, None)
-        for i in range(k):
-            rest = d[:, [m for j, m in enumerate(chosen) if j != i]]
-            without = rest.min(axis=1) if k > 1 else np.full(n, np.inf)
-            totals = np.minimum(without[:, None], d).sum(axis=0)
-            totals[chosen] = np.inf
-            j = int(totals.argmin())
-            if totals[j] < best[0]:
-                best = (totals[j], (i, j))
-        if best[1] is None:
+        before = cost
+        for place in range(k):
+            others = [m for j, m in enumerate(chosen) if j != place]
+            rest = d[:, others].min(axis=1) if others else np.full(n, np.inf)
+            total = np.minimum(rest[:, None], d).sum(axis=0)
+            total[others] = np.inf
+            for row in np.flatnonzero(total < cost - 1e-12):
+                if total[row] < cost - 1e-12:
+                    chosen[place], cost = int(row), total[row]
+        if cost == before:
             break
-        chosen[best[1][0]], cost = best[1][1], best[0]
     return np.array(chosen), d[:, chosen].argmin(axis=1)
 
 
-def features(series: DataFrame, method: int) -> DataFrame:
+def features(series: DataFrame, method: int, max_sites: int = MAX_SITES) -> DataFrame:
     """site, key, v rows that describe each site for a method 1 to 6."""
     if method == 2:
-        return correlation_distance(series).selectExpr("a as site", "b as key", "d as v")
+        return related(correlation_distance(series, max_sites)).selectExpr("a as site", "b as key", "d as v")
     if method == 6:
-        return correlation_distance(trend(series)).selectExpr("a as site", "b as key", "d as v")
+        return trend(series).selectExpr("site", "'trend' as key", "v")
     return scaled(series, method).selectExpr("site", "cast(date as string) as key", "v")
 
 
-def cluster_tube_data(df: DataFrame, tube: str = ".value", by: str = ".location", clusters: int = 3, method: int = 2, rename: str = ".cluster", output: str = "all", **options) -> DataFrame:
+def cluster_tube_data(df: DataFrame, tube: str = ".value", by="site", clusters: int = 2, method: int = 2, rename: str = ".cluster", output: str | None = None, max_sites: int = MAX_SITES, **options) -> DataFrame:
     """Adds each site's cluster, 1 to ``clusters``; sites without features go.
 
-    output="common.data" gives the wide series and "data" the features."""
+    ``by`` names the site; further terms tell dates apart. output="common.data" gives the wide series and "data" the
+    features. The driver takes the matrix of at most ``max_sites`` sites."""
     if method not in range(1, 7):
         raise TubeError("[cluster_tube_data]> method must be 1 to 6")
-    series = site_series(df, tube, by, **options)
+    keys = [by] if isinstance(by, str) else list(by)
+    series = site_series(df, tube, keys[0], extra=keys[1:], **options)
     if output == "common.data":
         return wide(series)
-    rows = features(series, method).where("v is not null")
+    rows = features(series, method, max_sites).where("v is not null")
     if output == "data":
         return rows
-    if series.select("site").distinct().limit(MAX_SITES + 1).count() > MAX_SITES:
-        raise TubeError(f"[cluster_tube_data]> more than {MAX_SITES} sites")
-    sites, keys, table = _matrix(rows)
+    check_sites(series, max_sites)
+    sites, _, table = _matrix(rows)
     _, label = pam(table, clusters)
-    order = {m: k for k, m in enumerate(dict.fromkeys(label.tolist()), 1)}
-    found = df.sparkSession.createDataFrame([(s, str(order[la])) for s, la in zip(sites, label.tolist(), strict=True)], "site string, label string")
-    d = attach(tag_tube_required(df, [by], **options), [by])
-    named = found.select(F.col("site").alias(by), F.col("label").alias(rename, metadata={"levels": [str(k) for k in range(1, clusters + 1)], "ordered": False}))
-    return null_safe_join(d.drop(rename), named, [by])
+    found = df.sparkSession.createDataFrame([(s, str(la + 1)) for s, la in zip(sites, label.tolist(), strict=True)], "site string, label string")
+    d = attach(tag_tube_required(df, keys, **options), keys)
+    kind = dict(d.dtypes)[keys[0]]
+    named = found.select(F.col("site").cast(kind).alias(keys[0]), F.col("label").alias(rename, metadata={"levels": [str(k) for k in range(1, clusters + 1)], "ordered": False}))
+    return null_safe_join(d.drop(rename), named, [keys[0]])
 
 
 def _matrix(rows: DataFrame) -> tuple[list[str], list[str], np.ndarray]:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from airloom.session import TubeError, c
 
 #: Targets of one curve that a task fits at most; every task of a curve gets all its sums.
 BLOCK = 4096
+#: Numbers of a block of targets' designs at most.
+BLOCK_NUMBERS = 2_000_000
 
 
 def nearest_radius(x: np.ndarray, w: np.ndarray, at: np.ndarray, q: float) -> np.ndarray:
@@ -58,61 +62,66 @@ def loess_1d(x: np.ndarray, w: np.ndarray, sy: np.ndarray, at: np.ndarray, span:
     return out
 
 
-def loess_curves(sets: DataFrame, key: str, x: str, sums: dict[str, tuple[str, str]], span: float = 0.75, grid_step: float = 10.0) -> DataFrame:
+def loess_curves(sets: DataFrame, key: str, x: str, sums: dict[str, tuple[str, str]], span: float = 0.75, grid_step: float = 10.0, ident: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Curves through sums: for each output its (sum, weight) columns. One task per key and block of targets.
 
-    Gives the key, x, on_grid and the outputs: at each given x, and at the multiples of ``grid_step`` up to 1000
-    within the range of x."""
+    Gives the key, x, on_grid and the outputs: at each given row's x, and at the multiples of ``grid_step`` up to 1000
+    within the range of x. A row keeps its ``ident`` and the ``carry`` columns through the task, so that nothing has to
+    be joined by a fitted number afterwards; both are missing on the grid."""
     outs = list(sums)
-    columns = sorted({n for pair in sums.values() for n in pair})
-    summed = sets.groupBy(c(key), c(x).alias("x")).agg(*[F.sum(n).cast("double").alias(n) for n in columns])
-    sized = summed.withColumn("__blocks", F.ceil(F.count("*").over(Window.partitionBy(c(key))) / BLOCK).cast("int"))
-    dealt = sized.withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    columns = list(dict.fromkeys([*(n for pair in sums.values() for n in pair), *carry]))
+    kept = [ident] if ident else []
+    rows = sets.select(c(key).alias("key"), c(x).cast("double").alias("x"), *[c(n).alias(f"i{k}") for k, n in enumerate(kept)], *[c(n).cast("double").alias(f"v{k}") for k, n in enumerate(columns)])
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = {n: f"v{k}" for k, n in enumerate(columns)}
+    ident_type = dict(sets.dtypes).get(ident)
 
     def fit(group):
         import pandas as pd
 
-        group = group.sort_values("x")
-        xs, block, blocks = group["x"].to_numpy(float), int(group["__block"].iloc[0]), int(group["__blocks"].iloc[0])
+        group = group.sort_values("x", kind="stable")
+        xs, block, blocks = group["x"].to_numpy(float), int(group["block"].iloc[0]), int(group["blocks"].iloc[0])
         nodes = np.arange(1, 101) * grid_step
         nodes = nodes[(nodes >= xs.min()) & (nodes <= xs.max())] if block == 0 else nodes[:0]
-        own = xs[block::blocks]
-        at = np.concatenate((own, nodes))
-        got = {"key": group["key"].iloc[0], "x": at, "on_grid": np.arange(len(at)) >= len(own)}
+        own = group.iloc[block::blocks]
+        targets = np.unique(own["x"].to_numpy(float))
+        place = np.searchsorted(targets, own["x"].to_numpy(float))
+        got = {"key": group["key"].iloc[0], "x": np.concatenate((own["x"].to_numpy(float), nodes)), "on_grid": np.arange(len(own) + len(nodes)) >= len(own)}
+        for n in kept:
+            got["i0"] = [*own["i0"], *[None] * len(nodes)]
+        for k, n in enumerate(carry):
+            got[f"c{k}"] = np.concatenate((own[at[n]].to_numpy(float), np.full(len(nodes), np.nan)))
         for k, name in enumerate(outs):
             sy, w = sums[name]
-            got[f"o{k}"] = loess_1d(xs, group[w].fillna(0).to_numpy(float), group[sy].fillna(0).to_numpy(float), at, span)
+            fitted = loess_1d(xs, group[at[w]].fillna(0).to_numpy(float), group[at[sy]].fillna(0).to_numpy(float), np.concatenate((targets, nodes)), span)
+            got[f"o{k}"] = np.concatenate((fitted[:len(targets)][place], fitted[len(targets):]))
         return pd.DataFrame(got)
 
-    schema = "key string, x double, on_grid boolean, " + ", ".join(f"o{k} double" for k in range(len(outs)))
-    fitted = dealt.withColumnRenamed(key, "key").groupBy("key", "__block").applyInPandas(fit, schema)
-    named = [F.col(f"o{k}").alias(n) for k, n in enumerate(outs)]
-    fitted = fitted.select(F.col("key").alias(key), "x", "on_grid", *named)
-    at_x = sets.select(c(key), c(x).cast("double").alias("x")).join(fitted.where("not on_grid"), [key, "x"])
-    return at_x.select(c(key), "x", "on_grid", *map(c, outs)).unionByName(fitted.where("on_grid"))
+    schema = ", ".join(["key string, x double, on_grid boolean", *[f"i0 {ident_type}" for _ in kept], *[f"c{k} double" for k in range(len(carry))], *[f"o{k} double" for k in range(len(outs))]])
+    fitted = dealt.groupBy("key", "block").applyInPandas(fit, schema)
+    named = [F.col("i0").alias(n) for n in kept] + [F.nanvl(f"c{k}", F.lit(None)).alias(n) for k, n in enumerate(carry)] + [F.col(f"o{k}").alias(n) for k, n in enumerate(outs)]
+    return fitted.select(F.col("key").alias(key), "x", "on_grid", *named)
 
 
 def normalise_predictors(x: np.ndarray) -> np.ndarray:
-    """The scale of each predictor: the standard deviation of its middle values, a tenth trimmed at either end."""
-    scales = []
-    for column in x.T:
-        v = np.sort(column)
-        k = int(np.floor(0.1 * len(v)))
-        v = v[k:len(v) - k] if len(v) > 2 * k + 1 else v
-        s = v.std(ddof=1) if len(v) > 1 else 1.0
-        scales.append(s if s > 0 else 1.0)
-    return np.array(scales)
-
-
-def _terms(d: np.ndarray, degree: int) -> np.ndarray:
-    """1, the predictors, and for degree two their squares and products."""
-    cols = [np.ones(len(d))]
-    if degree >= 1:
-        cols += list(d.T)
-    if degree >= 2:
-        p = d.shape[1]
-        cols += [d[:, i] * d[:, j] for i in range(p) for j in range(i, p)]
-    return np.stack(cols, axis=1)
+    """The scale of each predictor: the standard deviation of its middle values, a tenth (rounded up) trimmed at either
+    end; 1 where they don't differ. Too few values to leave two in the middle have no scale."""
+    trim = int(np.ceil(0.1 * len(x)))
+    middle = np.sort(x, axis=0)[trim:len(x) - trim]
+    if len(middle) < 2:
+        raise TubeError("[r_loess]> too few rows to scale several predictors")
+    scales = middle.std(axis=0, ddof=1)
+    return np.where(scales > 0, scales, 1.0)
+
+
+def _local_terms(d: np.ndarray, degree: int) -> np.ndarray:
+    """All products of at most ``degree`` of the predictors: the constant, then each degree built on the one before."""
+    out, last = [np.ones((len(d), 1))], [(np.ones(len(d)), 0)]
+    for _ in range(degree):
+        last = [(column * d[:, j], j) for column, first in last for j in range(first, d.shape[1])]
+        out.append(np.stack([column for column, _ in last], axis=1))
+    return np.concatenate(out, axis=1)
 
 
 @dataclass
@@ -126,36 +135,44 @@ class LoessFit:
     scale: np.ndarray
     used: np.ndarray
 
-    def _weights(self, point: np.ndarray) -> np.ndarray:
-        """The operator's row: how much each observation counts in the fit at a point."""
-        d = (self.x - point) / self.scale
-        r = np.sqrt((d**2).sum(axis=1))
-        n = len(r)
+    def _operator(self, points: np.ndarray):
+        """Blocks of points with the operator's rows: how much each observation counts in the fit at a point."""
+        n, p = self.x.shape
         q = max(1, min(n, int(np.floor(n * self.span))))
-        h = np.partition(r, q - 1)[q - 1] * max(1.0, self.span) ** (1 / d.shape[1])
-        k = np.where(r < h, (1 - (r / h) ** 3) ** 3, 0.0) if h > 0 else (r == 0).astype(float)
-        near = k > 0
-        root = np.sqrt(k[near])
-        z = _terms(d[near] / (h if h > 0 else 1.0), self.degree)
-        out = np.zeros(n)
-        out[near] = np.linalg.pinv(z * root[:, None], rcond=1e-10)[0] * root
-        return out
+        wider = max(1.0, self.span) ** (1 / p)
+        terms = math.comb(p + self.degree, self.degree)
+        size = max(1, BLOCK_NUMBERS // (n * terms))
+        for lo in range(0, len(points), size):
+            block = slice(lo, min(lo + size, len(points)))
+            d = (self.x[None] - points[block, None]) / self.scale
+            r = np.sqrt((d**2).sum(axis=2))
+            h = np.partition(r, q - 1, axis=1)[:, q - 1] * wider
+            reach = np.where(h > 0, h, 1.0)
+            share = r / reach[:, None]
+            k = np.where(h[:, None] > 0, np.where(share < 1, (1 - share**3) ** 3, 0.0), r == 0)
+            z = _local_terms((d / reach[:, None, None]).reshape(-1, p), self.degree).reshape(*r.shape, terms)
+            gram = np.matmul((z * k[:, :, None]).swapaxes(1, 2), z)
+            first = np.linalg.pinv(gram, rcond=1e-13, hermitian=True)[:, 0]
+            yield block, np.matmul(z, first[:, :, None])[:, :, 0] * k
 
     def predict(self, at: np.ndarray | None = None, se: bool = False):
         """The fit at given points (the rows that were used by default); NaN where a predictor is missing."""
         points = self.x if at is None else np.atleast_2d(np.asarray(at, float).T).T
-        whole = ~np.isnan(points).any(axis=1)
+        whole = np.flatnonzero(~np.isnan(points).any(axis=1))
         fitted, size = np.full(len(points), np.nan), np.full(len(points), np.nan)
-        for k in np.flatnonzero(whole):
-            row = self._weights(points[k])
-            fitted[k], size[k] = row @ self.y, np.sqrt((row**2).sum())
-        if not se:
-            return fitted
-        rows = np.stack([self._weights(p) for p in self.x])
-        rest = np.eye(len(self.y)) - rows
-        one_delta = np.einsum("ij,ij->", rest, rest)
-        sigma = np.sqrt(((rest @ self.y) ** 2).sum() / one_delta) if one_delta > 1e-9 else 0.0
-        return fitted, sigma * size
+        for block, rows in self._operator(points[whole]):
+            fitted[whole[block]], size[whole[block]] = rows @ self.y, np.sqrt((rows**2).sum(axis=1))
+        return (fitted, self.sigma * size) if se else fitted
+
+    @cached_property
+    def sigma(self) -> float:
+        """The residual scale, from the operator's rows a block at a time: they're never held together."""
+        squares = freedom = 0.0
+        for block, rows in self._operator(self.x):
+            own = rows[np.arange(len(rows)), np.arange(block.start, block.stop)]
+            squares += ((self.y[block] - rows @ self.y) ** 2).sum()
+            freedom += (1 - 2 * own + (rows**2).sum(axis=1)).sum()
+        return float(np.sqrt(squares / freedom)) if freedom > 1e-9 else 0.0
 
     def scatter(self, values: np.ndarray, n: int) -> np.ndarray:
         """Values of the used rows at their places among all n."""

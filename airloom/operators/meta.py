@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airloom.functions.expressions import attach
 from airloom.functions.statistics import n_distinct, options as options_of
-from airloom.operators.tagging import tag_tube_required
+from airloom.operators.tagging import tag_tube, tag_tube_required
 from airloom.session import TubeError, as_text, c, field, kind_of, null_safe_join
 
 #: Tag columns, which are no attributes.
@@ -96,25 +96,37 @@ def repair_counts(df: DataFrame, x: str, by: str = ".sample_id", options: list[s
     return groups.agg(F.count_if(F.col("good") == 1).alias("repaired"), F.count_if(F.col("good") > 1).alias("suspect"))
 
 
-def test_tube_meta(df: DataFrame, x, by=(".sample_id", ".date", ".location"), plot_type: int = 1, **options) -> DataFrame:
+def meta_levels(df: DataFrame, x, plot_type: int = 1, **options) -> DataFrame:
     """How constant columns are in each level's groups, in percent of all rows.
 
     Type 1: a row per column and level, the share of rows in groups with a single value. Type 2: a row per column,
-    level and group with its status: grey all missing, green one value, amber one value and missing, red several."""
+    level and group with its status: grey all missing, green one value, amber one value and missing, red several.
+    Rows are first counted by column, group and value, so that what a group has is a sum over its values."""
     names = [x] if isinstance(x, str) else list(x)
-    d = attach(tag_tube_required(df, [".sample_id", ".date", ".location", *by], **options), names)
+    d = attach(tag_tube_required(df, [".sample_id", ".date", ".location"], **options), names)
+    keys = {label: F.lit(None).cast("string") if key is None else c(key).cast("string") for label, key in LEVELS}
     parts = F.array(*[F.struct(F.lit(n).alias("variable"), _text(d, n).alias("value")) for n in names])
-    levels = F.array(*[F.struct(F.lit(label).alias("ref"), (F.lit(None).cast("string") if key is None else c(key).cast("string")).alias("group")) for label, key in LEVELS])
-    long = d.select(F.explode(parts).alias("p"), levels.alias("levels")).select("p.*", F.explode("levels").alias("l")).select("variable", "value", "l.*")
-    groups = long.groupBy("variable", "ref", "group").agg(F.count("*").alias("n"), F.count("value").alias("present"), F.count_distinct("value").alias("k"))
-    total = F.sum(F.when(F.col("ref") == "total", F.col("n"))).over(Window.partitionBy("variable"))
+    # Equal rows are counted once for all levels, before they are dealt to each.
+    counted = d.select(F.explode(parts).alias("p"), *[k.alias(f"__{label}") for label, k in keys.items()]).groupBy("p.variable", "p.value", *[f"__{label}" for label in keys]).agg(F.count("*").alias("n"))
+    levels = F.array(*[F.struct(F.lit(label).alias("ref"), F.col(f"__{label}").alias("group")) for label in keys])
+    values = counted.select("variable", "value", "n", F.explode(levels).alias("l")).groupBy("variable", "l.ref", "l.group", "value").agg(F.sum("n").alias("n"))
+    groups = values.groupBy("variable", "ref", "group").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"), F.count("value").alias("k"))
+    total = groups.where("ref = 'total'").select("variable", F.col("n").alias("total"))
     missing = F.col("n") > F.col("present")
     status = F.when(F.col("present") == 0, "grey").when((F.col("k") == 1) & ~missing, "green").when(F.col("k") == 1, "amber").otherwise("red")
-    groups = groups.withColumn("total", total).withColumn("status", status)
+    groups = groups.join(F.broadcast(total), "variable").withColumn("status", status)  # a row a column
     if plot_type == 2:
         return groups.select("variable", "ref", "group", (F.col("n") / F.col("total") * 100).alias("value"), "status")
     single = F.sum(F.when((F.col("k") == 1) & ~missing, F.col("present")).otherwise(0))
     return groups.groupBy("variable", "ref").agg((single / F.max("total") * 100).alias("value"))
 
 
+def test_tube_meta(df: DataFrame, x=None, by=None, plot_type: int = 2, palette=None, **options):
+    """A figure of ``meta_levels``, of all columns unless some are named: bars by level (type 1), or stacked by status."""
+    from airloom.plans.figures import meta_plot
+
+    d = tag_tube(df, **options)
+    return meta_plot(meta_levels(d, list(d.columns) if x is None else x, plot_type, **options), plot_type, palette)
+
+
 test_tube_meta.__test__ = False

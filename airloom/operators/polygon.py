@@ -1,54 +1,74 @@
-"""Point in polygon by ray casting over a small table of edges, on distinct places only."""
+"""Point in polygon by ray casting over a table of edges in bands of latitude, on distinct places only."""
 
 from __future__ import annotations
 
+import math
 import warnings
 
 from pyspark.sql import DataFrame, functions as F
 
-from airloom.operators.tagging import tag_tube_lat_lon
-from airloom.session import c, null_safe_join
-from airloom.sources.polygons import polygon_layer
-
-#: Edges that are sent to every task at most.
-MAX_EDGES = 2_000_000
-
-
-def tube_in_xy_polygon(df: DataFrame, polygon, output: str = "data", rename: dict | None = None, keep_missing: bool = False, **options) -> DataFrame:
-    """Adds ``ans`` (inside a polygon; its edge is outside) and ``id`` of the first one, with that polygon's attributes.
-
-    Rows without coordinates go, as the places are joined back, unless ``keep_missing``. output="report" gives the
-    places only."""
-    layer = polygon_layer(polygon)
-    d = tag_tube_lat_lon(df, **options)
-    spark = df.sparkSession
-    x, y = c(".longitude"), c(".latitude")
-    places = d.select(x, y).distinct().where(x.isNotNull() & y.isNotNull())
-    edges = layer.edges(spark)
-    n = sum(len(r) for p in layer.polygons for r in p)
-    xs = [p[0] for poly in layer.polygons for ring in poly for p in ring]
-    ys = [p[1] for poly in layer.polygons for ring in poly for p in ring]
-    boxed = places.where(x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)))
-    # An edge is crossed by the ray to the east if its ends lie on either side of the point's latitude.
-    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    crossed = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < at)
-    level = ((F.col("y1") == F.col("y2")) & (y == F.col("y1")) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")))
-    touched = level | (y.between(F.least("y1", "y2"), F.greatest("y1", "y2")) & (x == at))
-    pairs = boxed.crossJoin(F.broadcast(edges) if n <= MAX_EDGES else edges)
-    inside = pairs.groupBy(x, y, "poly").agg(F.sum(crossed.cast("int")).alias("k"), F.max(F.coalesce(touched, F.lit(False))).alias("t")).where("k % 2 = 1 and not t")
-    found = inside.groupBy(x, y).agg(F.min("poly").alias("id"))
-    report = null_safe_join(places, found, [".longitude", ".latitude"], "left").withColumn("ans", F.col("id").isNotNull())
-    names = sorted({k for a in layer.attributes for k in a})
-    for name in names:
-        values = [(k, a.get(name)) for k, a in enumerate(layer.attributes, 1) if a.get(name) is not None]
-        table = F.create_map(*[F.lit(v) for k, value in values for v in (k, str(value))])
-        report = report.withColumn(name, F.try_element_at(table, "id"))
-    report = report.select(x, y, "ans", "id", *map(c, names))
-    for old, new in (rename or {}).items():
-        report = report.withColumnRenamed(old, new)
-    if output == "report":
-        return report
-    if not [n for n in report.columns if n not in d.columns]:
+from airloom.operators.tagging import tag_tube_required
+from airloom.functions.expressions import attach
+from airloom.session import TubeError, c, null_safe_join
+from airloom.sources.polygons import PolygonLayer, polygon_layer
+
+#: Edges that are sent to every task at most (48 bytes each).
+MAX_EDGES = 1_000_000
+#: Bands that the layer's height is cut into at most.
+MAX_BANDS = 4096
+
+
+def containing(places: DataFrame, layer: PolygonLayer, x: str = ".longitude", y: str = ".latitude") -> DataFrame:
+    """x, y and ``id``, the first feature that the place lies in, of the distinct places that lie in one; on an edge is outside.
+
+    A place meets only the edges of its band of latitude, which hold all that a ray to the east can cross."""
+    rows = layer.edge_rows()
+    ys = [v for r in rows for v in (r[3], r[5])]
+    low, high = min(ys), max(ys)
+    step = max((high - low) / min(MAX_BANDS, max(1, len(rows) // 4)), 1e-9)
+    lx, ly = c(x), c(y)
+    xs = [v for r in rows for v in (r[2], r[4])]
+    boxed = places.where(lx.between(min(xs), max(xs)) & ly.between(low, high)).withColumn("band", F.floor((ly - low) / step))
+    edges = layer.edges(places.sparkSession)
+    first, last = (F.floor((f("y1", "y2") - low) / step) for f in (F.least, F.greatest))
+    edges = edges.withColumn("band", F.explode(F.sequence(first, last)))
+    # An edge is crossed by the ray if its ends lie on either side of the point's latitude.
+    at = (F.col("x2") - F.col("x1")) * (ly - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+    crossed = ((F.col("y1") > ly) != (F.col("y2") > ly)) & (lx < at)
+    level = (F.col("y1") == F.col("y2")) & (ly == F.col("y1")) & lx.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
+    touched = level | (ly.between(F.least("y1", "y2"), F.greatest("y1", "y2")) & (lx == at))
+    spans = sum(math.floor((max(r[3], r[5]) - low) / step) - math.floor((min(r[3], r[5]) - low) / step) + 1 for r in rows)
+    pairs = boxed.join(F.broadcast(edges) if spans <= MAX_EDGES else edges, "band")
+    inside = pairs.groupBy(lx, ly, "poly", "feature").agg(F.sum(crossed.cast("int")).alias("k"), F.max(F.coalesce(touched, F.lit(False))).alias("t")).where("k % 2 = 1 and not t")
+    return inside.groupBy(lx, ly).agg(F.min("feature").alias("id"))
+
+
+def tube_in_xy_polygon(df: DataFrame, polygon, output="ans", rename=".in_polygon", keep_missing: bool = False, lat: str = ".latitude", lon: str = ".longitude", **options) -> DataFrame:
+    """Adds what ``output`` names, under the names of ``rename``: "ans", whether the place lies in a polygon; "id" (as
+    ``<name>.id``), the first feature it lies in; or an attribute of that feature, under its own name where ``rename``
+    has none for it. Rows without coordinates go, as the places are joined back, unless ``keep_missing``."""
+    wanted, names = ([v] if isinstance(v, str) else list(v) for v in (output, rename))
+    layer = polygon_layer(polygon, options.pop("x", "X"), options.pop("y", "Y"))
+    own = [o for o in wanted if o not in ("ans", "id")]
+    if len(names) != len(wanted):
+        names += own
+    if len(names) != len(wanted):
+        raise TubeError("[tube_in_xy_polygon]> output and rename differ in length")
+    d = attach(tag_tube_required(df, [lat, lon], **options), [lon, lat], on_error="stop<<tube_in_xy_polygon>>lat/lon")
+    places = d.select(c(lon), c(lat)).distinct().where(c(lon).isNotNull() & c(lat).isNotNull())
+    found = null_safe_join(places, containing(places, layer, lon, lat), [lon, lat], "left")
+    columns = []
+    for what, name in zip(wanted, names, strict=True):
+        if what == "ans":
+            columns.append(F.col("id").isNotNull().alias(name))
+        elif what == "id":
+            columns.append(F.col("id").alias(f"{name}.id"))
+        elif any(what in a for a in layer.attributes):
+            known = [v for k, a in enumerate(layer.attributes, 1) if a.get(what) is not None for v in (k, str(a[what]))]
+            columns.append((F.try_element_at(F.create_map(*map(F.lit, known)), "id") if known else F.lit(None).cast("string")).alias(name))
+    if not columns:
         warnings.warn("[tube_in_xy_polygon]> nothing to add", stacklevel=2)
-    rest = [n for n in d.columns if n in (".longitude", ".latitude") or n not in report.columns]
-    return null_safe_join(d.select(*map(c, rest)), report, [".longitude", ".latitude"], "left" if keep_missing else "inner")
+        return d
+    flagged = found.select(c(lon), c(lat), *columns)
+    rest = [n for n in d.columns if n in (lon, lat) or n not in names and n not in flagged.columns]
+    return null_safe_join(d.select(*map(c, rest)), flagged, [lon, lat], "left" if keep_missing else "inner")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airloom.functions.expressions import attach
 from airloom.functions.statistics import NORMAL_975, finite, quantile7, significant, t_quantile
 from airloom.operators.loess import loess_curves
 from airloom.operators.tagging import tag_tube, tag_tube_required
-from airloom.session import TubeError, c, field, kind_of, na_text
+from airloom.session import TubeError, c, field, kind_of, na_text, null_safe_join
 
 
 @dataclass
@@ -91,21 +91,9 @@ def replicates(df: DataFrame, tube: str = ".value", n: int = 3, method: int = 2,
     if kind_of(field(d, tube)) != "number":
         raise TubeError("[test_tube_precision]> tube isn't numeric")
     d = d.withColumn(".tube", c(tube).cast("double")).withColumn(".cut", cut_key(d, [*groups, *facets]))
-    # One hash aggregation per set; joining it back keeps the shuffle to the set keys.
-    window = Window.partitionBy(c(".cut"), c(".sample_id"))
-    x = F.when(finite(c(".tube")), c(".tube"))
-    stats = {".n": F.count(x).over(window), ".mean": F.avg(x).over(window)}
-    if method == 1:
-        stats["__q"] = quantile7(x, [0.025, 0.975]).over(window)
-    else:
-        stats["__sd"] = F.stddev_samp(x).over(window)
-    rows = d.withColumns(stats).where((c(".n") == n) & c(".tube").isNotNull())
-    if method == 1:
-        rows = rows.withColumns({".low": F.get("__q", F.lit(0)), ".high": F.get("__q", F.lit(1))}).drop("__q")
-    else:
-        half = half_width(method, c(".n"), F.col("__sd"), [n])
-        rows = rows.withColumns({".low": c(".mean") - half, ".high": c(".mean") + half}).drop("__sd")
-    return rows, d
+    # One hash aggregation per set, joined back on the set's keys.
+    sets = replicate_stats(d, [".cut", ".sample_id"], method, [n]).where(c(".n") == n)
+    return null_safe_join(d, sets, [".cut", ".sample_id"]).where(c(".tube").isNotNull()), d
 
 
 def test_tube_precision(df: DataFrame, tube: str = ".value", n: int = 3, method: int = 2, group=None, facet=None, show=None, **options) -> TestResult:
@@ -113,11 +101,14 @@ def test_tube_precision(df: DataFrame, tube: str = ".value", n: int = 3, method:
 
     data: replicate rows with .n .mean .low .high .y .ylow .yhigh; lookup: bounds at round tens of the mean."""
     rows, d = replicates(df, tube, n, method, group, facet, **options)
-    sets = rows.groupBy(c(".cut"), c(".mean")).agg(F.count("*").alias("w"), F.sum(c(".tube")).alias("sy"), F.sum(c(".low")).alias("slow"), F.sum(c(".high")).alias("shigh"), F.count(c(".low")).alias("wlow"))
-    enough = rows.groupBy(c(".cut")).agg(F.count("*").alias("__n")).where(F.col("__n") >= n).select(c(".cut"))
-    curves = loess_curves(sets.join(enough, ".cut"), ".cut", ".mean", {".y": ("sy", "w"), ".ylow": ("slow", "wlow"), ".yhigh": ("shigh", "wlow")})
-    at_means = curves.where("not on_grid").select(c(".cut"), c("x").alias(".mean"), c(".y"), c(".ylow"), c(".yhigh"))
-    data = rows.join(at_means, [".cut", ".mean"]).orderBy(c(".cut"))
+    sets = replicate_stats(d, [".cut", ".sample_id"], method, [n]).where(c(".n") == n)
+    sets = sets.select(c(".cut"), c(".sample_id"), c(".n"), c(".mean"), c(".low"), c(".high"), (c(".n") * c(".mean")).alias("sy"), (c(".n") * c(".low")).alias("slow"), (c(".n") * c(".high")).alias("shigh"), F.when(c(".low").isNotNull(), c(".n")).alias("wlow"))
+    carried = (".n", ".mean", ".low", ".high")
+    curves = loess_curves(sets, ".cut", ".mean", {".y": ("sy", ".n"), ".ylow": ("slow", "wlow"), ".yhigh": ("shigh", "wlow")}, ident=".sample_id", carry=carried)
+    fitted = curves.where("not on_grid").select(c(".cut"), c(".sample_id"), c(".n").cast("bigint").alias(".n"), *map(c, carried[1:]), c(".y"), c(".ylow"), c(".yhigh"))
+    # A set's numbers and its place on the curves come from one task and meet the rows by the set's name.
+    data = null_safe_join(d, fitted, [".cut", ".sample_id"]).where(c(".tube").isNotNull()).orderBy(c(".cut"))
+    enough = sets.select(c(".cut")).distinct()
     grid = curves.where("on_grid").select(c(".cut"), c("x").alias("ans"), c(".ylow").alias("low"), c(".yhigh").alias("high"))
     lookup = grid.select("*", ((F.col("low") - F.col("ans")) / F.col("ans") * 100).alias("low.pc"), ((F.col("high") - F.col("ans")) / F.col("ans") * 100).alias("high.pc"))
     cuts = d.select(c(".cut")).distinct()
@@ -139,7 +130,8 @@ def test_tube_precision(df: DataFrame, tube: str = ".value", n: int = 3, method:
 
     from airloom.plans.figures import precision_plot
 
-    return TestResult(data, lookup, report, plot=precision_plot(data)).shown(show)
+    kept = {k: v for k, v in {"facet": facet, "group": group}.items() if v is not None}
+    return TestResult(data, lookup, report, plot=precision_plot(data, **options, **kept)).shown(show)
 
 
 test_tube_precision.__test__ = False

@@ -24,13 +24,13 @@ def _distinct_whole(*parts):
 
 
 def tube_summary(df: DataFrame, **options) -> DataFrame:
-    """One row: from, to, and numbers of rows, samples, intervals, locations and samples with missing tags."""
+    """One row: sampling.from, sampling.to, and numbers of rows, samples, intervals, locations and samples with missing tags."""
     d = tag_tube(df, **options)
     missing = F.lit(False)
     for _, name in _MISSING:
         missing = missing | c(name).isNull()
     return d.agg(
-        F.min(c(".start_date")).alias("from"), F.max(c(".end_date")).alias("to"), F.count("*").alias("n.total"), F.count_distinct(c(".sample_id")).alias("n.samples"),
+        F.min(c(".start_date")).alias("sampling.from"), F.max(c(".end_date")).alias("sampling.to"), F.count("*").alias("n.total"), F.count_distinct(c(".sample_id")).alias("n.samples"),
         _distinct_whole(c(".start_date"), c(".end_date")).alias("n.intervals"), _distinct_whole(c(".latitude"), c(".longitude")).alias("n.locations"),
         F.count_distinct(F.when(missing, c(".sample_id"))).alias("n.bad.tags"),
     )

@@ -60,7 +60,7 @@ def tag_tube_start_end(df: DataFrame, method=None, force: bool = False, **option
     reasons = []
     for m in _methods(method, 3, "tag_tube_start_end"):
         try:
-            return (_nominal, _calendar, _explicit)[m - 1](df.drop(".start_date", ".end_date"), options)
+            return (_nominal, _calendar, _explicit)[m - 1](df.drop(".start_date", ".end_date"), options | {"__chosen": method is not None})
         except TubeError as e:
             reasons.append(f"{m}: {e}")
     raise TubeError(f"[tag_tube_start_end]> no method fits ({'; '.join(reasons)})")
@@ -70,7 +70,8 @@ def _nominal(df: DataFrame, options: dict) -> DataFrame:
     year_name = options.get("year", "year_of_measurement" if "year_of_measurement" in df.columns else "year")
     names = _named(df, {**options, "year": year_name}, month="month", year="year")
     month = month_number(c(names["month"]), kind_of(field(df, names["month"])))
-    if "start_end_method" not in options and df.where(month.isNotNull()).limit(1).isEmpty() and not df.limit(1).isEmpty():
+    # Only where the method is open do the data decide; a month column of a type that can't hold one decides by itself.
+    if not options["__chosen"] and df.where(month.isNotNull()).limit(1).isEmpty() and not df.limit(1).isEmpty():
         raise TubeError("no month can be read")
     year = c(names["year"]).cast("string").try_cast("double").cast("int")
     first = F.when(month.isNotNull() & year.between(1, 9999), F.make_date(year, month, F.lit(1)))
@@ -117,35 +118,40 @@ def tag_tube_lat_lon(df: DataFrame, method=None, force: bool = False, **options)
     return df.withColumns({".latitude": c(names["lat"]).cast("double"), ".longitude": c(names["lon"]).cast("double")})
 
 
-def dense_key(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """Adds a 1-based dense rank of the keys as a double.
+def dense_key(df: DataFrame, keys: list[Column], name: str, coarse: Column) -> DataFrame:
+    """Adds a 1-based dense rank of the keys, missing ones last, as a double.
 
-    Only the distinct keys are ordered: they are sorted by range over the cluster, numbered within each part, and
-    the parts' sizes, one number each, give the offsets; then the number is joined back."""
+    ``coarse`` is a function of the first key that never falls as the key rises and has a bounded number of values.
+    Only distinct keys are ordered, within each of these; the values' counts, a row each, give the offsets. All of it
+    follows from the keys alone, so a part that is computed again gets the same numbers."""
     names = [f"__k{k}" for k in range(len(keys))]
     rows = df.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
     order = [F.col(n).asc_nulls_last() for n in names]
-    distinct = rows.select(*names).distinct().repartitionByRange(*order)
-    distinct = distinct.withColumn("__part", F.spark_partition_id())
-    parts = distinct.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__part").orderBy(*order)
-    ranked = distinct.withColumn("__at", F.row_number().over(inside)).join(F.broadcast(parts), "__part")
-    ranked = ranked.select(*names, (F.col("__at") + F.col("__base")).cast("double").alias(name))
-    return null_safe_join(rows, ranked, names).drop(*names)
+    distinct = df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], coarse.alias("__band")).distinct()
+    bands = distinct.groupBy("__band").agg(F.count("*").alias("__n"))
+    before = Window.orderBy(F.col("__band").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    ranked = distinct.withColumn("__at", F.row_number().over(Window.partitionBy("__band").orderBy(*order)))
+    ranked = null_safe_join(ranked, F.broadcast(bands), ["__band"]).select(*names, (F.col("__at") + F.col("__base")).cast("double").alias(name))
+    return null_safe_join(rows, ranked, names, "left").drop(*names)
+
+
+def _latitude_band(lat: Column) -> Column:
+    """Hundredths of a degree, 18,001 at most; what lies beyond the poles counts with them, NaN with the highest."""
+    return F.when(lat.isNotNull(), F.floor(F.least(F.greatest(lat, F.lit(-90.0)), F.lit(90.0)) * 100))
 
 
 def tag_tube_sample_id(df: DataFrame, method=None, force: bool = False, **options) -> DataFrame:
-    """``.sample_id``: a number for each place and period. 1 numbers them in order, 2 is a hash of them."""
+    """``.sample_id``: a number for each place and period. 1 numbers them in order, 2 is a 64-bit hash of them."""
     method, force = _settings("sample_id", method, force, options)
     if not force and ".sample_id" in df.columns:
         return df
     wanted = _methods(method, 2, "tag_tube_sample_id")
     df = tag_tube_lat_lon(tag_tube_start_end(df, **options), **options).drop(".sample_id")
     if wanted[0] == 2:
-        return df.withColumn(".sample_id", F.xxhash64(*map(c, _SAMPLE)).cast("double"))
-    return dense_key(df, [c(n) for n in _SAMPLE], ".sample_id")
+        parts = [F.coalesce(c(n).cast("string"), F.lit("NA")) for n in _SAMPLE]
+        return df.withColumn(".sample_id", F.xxhash64(F.array(*parts)))
+    return dense_key(df, [c(n) for n in _SAMPLE], ".sample_id", _latitude_band(c(".latitude")))
 
 
 def tag_tube_value(df: DataFrame, method=None, force: bool = False, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airloom.functions import geo, statistics as st
-from airloom.functions.colour import colour_ramp
+from airloom.functions.colour import MISSING, SPECTRAL, TO_RGB, WHITE, colour_ramp, lab_of
 from airloom.functions.expressions import attach, check_tube_data
 from airloom.operators import accuracy, aggregate, annual, cluster, deseason, merge, meta, polygon, precision, summaries, surface, tagging as tag
 from airloom.plans import figures, maps
@@ -128,13 +128,7 @@ def _(spark, d):
     return tag.tag_tube_year(order_tubes(spark, d)).groupBy(c(".year").alias("year")).agg(_n())
 
 
-@_query("tag_location_text", "select concat('{', coalesce(cast(lat as varchar), 'NA'), ',', coalesce(regexp_replace(cast(lon as varchar), '\\.0$', ''), 'NA'), '}') as location, count(*) as n from (select * from tubes) where lat is null or lat <> floor(lat) group by all", _TUBES)
-def _(spark, d):
-    rows = order_tubes(spark, d).where("latitude is null or latitude <> floor(latitude)")
-    return tag.tag_tube_location(rows).groupBy(c(".location").alias("location")).agg(_n())
-
-
-@_query("tag_location_text_all")
+@_query("tag_location_text", "select concat('{', coalesce(regexp_replace(cast(lat as varchar), '\\.0$', ''), 'NA'), ',', coalesce(regexp_replace(cast(lon as varchar), '\\.0$', ''), 'NA'), '}') as location, count(*) as n from tubes group by all", _TUBES)
 def _(spark, d):
     return tag.tag_tube_location(order_tubes(spark, d)).groupBy(c(".location").alias("location")).agg(_n())
 
@@ -268,8 +262,8 @@ _MISSING_TAG = "lat is null or lon is null or s is null or e is null"
 @_query("summary_dataset", f"select cast(min(s) as varchar) as \"from\", cast(max(e) as varchar) as \"to\", count(*) as n_total, count(distinct sid) as n_samples, count(distinct (s, e)) as n_intervals, count(distinct concat(lat, ' ', lon)) filter (lat is not null and lon is not null) + max(case when lat is null or lon is null then 1 else 0 end) as n_locations, count(distinct sid) filter ({_MISSING_TAG}) as n_bad_tags from samples", _SAMPLES)
 def _(spark, d):
     out = summaries.tube_summary(order_tubes(spark, d))
-    dates = {n: _day(c(n)) for n in ("from", "to")}
-    return out.select(*[dates.get(n, c(n)).alias(n.replace(".", "_")) for n in out.columns])
+    dates = {f"sampling.{n}": _day(c(f"sampling.{n}")).alias(n) for n in ("from", "to")}
+    return out.select(*[dates.get(n, c(n).alias(n.replace(".", "_"))) for n in out.columns])
 
 
 @_query("summary_sample", "select cast(sid as double) as sample_id, count(*) as n, sum(cast(lat is null as bigint))::bigint as missing_lat, sum(cast(lat is null as bigint) * 2)::bigint as checksum from samples group by all", _SAMPLES)
@@ -347,13 +341,13 @@ groups as (
 
 @_query("meta_status_levels", _LEVEL_GROUPS + ", statuses as (select ref, case when present = 0 then 'grey' when k = 1 and n = present then 'green' when k = 1 then 'amber' else 'red' end as status, n from groups) select 'p' as variable, ref, status, count(*) as groups, round(sum(n) * 100.0 / (select count(*) from tubes), 4) as value from statuses group by all", _TUBES)
 def _(spark, d):
-    out = meta.test_tube_meta(_patchy(spark, d), ["p"], plot_type=2)
+    out = meta.meta_levels(_patchy(spark, d), ["p"], plot_type=2)
     return out.groupBy("variable", "ref", "status").agg(_n("groups"), _r(F.sum("value")).alias("value"))
 
 
 @_query("meta_single_valued", _LEVEL_GROUPS + " select 'p' as variable, ref, round(sum(case when k = 1 and n = present then present else 0 end) * 100.0 / (select count(*) from tubes), 4) as value from groups group by all", _TUBES)
 def _(spark, d):
-    out = meta.test_tube_meta(_patchy(spark, d), ["p"])
+    out = meta.meta_levels(_patchy(spark, d), ["p"])
     return out.select("variable", "ref", _r(F.col("value")).alias("value"))
 
 
@@ -363,7 +357,7 @@ _COVER = """, days as (select distinct strftime(m, '%Y') as year, site, unnest(g
 
 @_query("annual_cover", _COVER + " select year, site, cast(n as double) as n, round(n / 365.0 * 100, 4) as pc from cover", _TUBES)
 def _(spark, d):
-    out = annual.tube_annual_cover(order_tubes(spark, d), by="site", output="report")
+    out = annual.tube_annual_cover(order_tubes(spark, d), by="site", meta=True)
     return out.select(c(".year").alias("year"), "site", c(".annual.n").alias("n"), _r(c(".annual.pc")).alias("pc"))
 
 
@@ -482,7 +476,8 @@ def _(spark, d):
 
 @_query("accuracy_ols", "select strftime(m, '%Y') as year, count(*) as n, round(regr_slope(v, ref), 4) as slope, round(regr_intercept(v, ref), 2) as intercept, round(1 - (1 - regr_r2(v, ref)) * (count(*) - 1) / (count(*) - 2), 4) as adj_r2 from pairs where d < 3000 group by all", _PAIRS)
 def _(spark, d):
-    near = attach(tag.tag_tube_year(_accuracy(spark, d)), [".year"]).where(c("distance.m") < 3000)
+    near = accuracy.accuracy_pairs(order_tubes(spark, d), order_monitors(spark, d), max_distance=3000.0)
+    near = attach(tag.tag_tube_year(near), [".year"])
     out = accuracy.lines_by(near, [".year"], ".ref", ".tube")
     return out.select(c(".year").alias("year"), "n", _r(c("slope")).alias("slope"), _r(c("intercept"), 2).alias("intercept"), _r(c("adj.r.squared")).alias("adj_r2"))
 
@@ -493,10 +488,17 @@ def _(spark, d):
     return out.data.groupBy("site").agg(_n())
 
 
-@_query("accuracy_lookup")
+@_query("accuracy_lookup", ", cuts as (select distinct '|' || strftime(m, '%Y') || '|' as cut from pairs), lines as (select '|' || strftime(m, '%Y') || '|' as cut, count(*) as n, regr_slope(v, ref) as slope, regr_intercept(v, ref) as intercept, regr_r2(v, ref) as r2 from pairs where d < 3000 group by all) select cut, cast(coalesce(n, 0) as integer) as n, 3000e0 as max_distance, round(case when n > 3 then 1 - (1 - r2) * (n - 1) / (n - 2) end, 4) as adj_r_squared, round(case when n > 3 then intercept end, 2) as intercept, round(case when n > 3 then slope end, 4) as slope from cuts left join lines using (cut)", _PAIRS)
 def _(spark, d):
     out = accuracy.test_tube_accuracy(order_tubes(spark, d), order_monitors(spark, d), max_distance=3000.0, facet=".year").lookup
-    return out.select(*[c(n).alias(n.strip(".").replace(".", "_")) for n in out.columns])
+    rounded = {"adj.r.squared": 4, "intercept": 2, "slope": 4}
+    return out.select(c(".cut").alias("cut"), "n", c("max.distance").alias("max_distance"), *[_r(c(n), k).alias(n.replace(".", "_")) for n, k in rounded.items()])
+
+
+@_query("accuracy_p_values")
+def _(spark, d):
+    out = accuracy.test_tube_accuracy(order_tubes(spark, d), order_monitors(spark, d), max_distance=3000.0, facet=".year").lookup
+    return out.select(c(".cut").alias("cut"), c("p.intercept").alias("p_intercept"), c("p.slope").alias("p_slope"))
 
 
 # Space ---------------------------------------------------------------------------------------
@@ -506,7 +508,7 @@ _EDGES = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(_
 
 @_query("polygon_flag", f", edges as (select * from (values {_EDGES}) t(x1, y1, x2, y2)), hits as (select lat, lon, sum(case when (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 then 1 else 0 end) as k from (select distinct lat, lon from tubes where lat is not null), edges group by all) select site, k % 2 = 1 as ans, count(*) as n from tubes join hits using (lat, lon) group by all", _TUBES)
 def _(spark, d):
-    return polygon.tube_in_xy_polygon(order_tubes(spark, d), _RING).groupBy("site", "ans").agg(_n())
+    return polygon.tube_in_xy_polygon(order_tubes(spark, d), _RING, rename="ans").groupBy("site", "ans").agg(_n())
 
 
 @_query("mercator", "select site, round(min(radians(lon) * 6378137), 3) as x, round(min(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137), 3) as y from tubes where lat is not null group by all", _TUBES)
@@ -551,21 +553,28 @@ def _(spark, d):
     return out.select("site", "other", _r(F.col("distance"), 2).alias("distance"))
 
 
-@_query("colour_ramp")
-def _(spark, d):
-    out = maps.marker_colours(order_tubes(spark, d).transform(tag.tag_tube), ".value")
-    return out.groupBy("color").agg(_n())
+def _ramp_sql(rows: str, x: str) -> str:
+    """Colours between the least and most of x, mixed in CIE Lab between the palette's anchors, as counts by colour."""
+    axes = [", ".join(f"{lab_of(anchor)[j]!r}e0" for anchor in SPECTRAL) for j in range(3)]
+    mix = lambda j: f"([{axes[j]}][k + 1] * (1 - t) + [{axes[j]}][k + 2] * t)"
+    back = lambda f, w: f"(case when {f} > 6e0 / 29 then pow({f}, 3) else 108e0 / 841 * ({f} - 4e0 / 29) end * {w}e0)"
+    light = lambda row: " + ".join(f"({m}e0) * {a}" for m, a in zip(row, "XYZ", strict=True))
+    part = lambda v: f"printf('%02X', cast(greatest(0, least(255, round_even((case when {v} <= 0.0031308 then {v} * 12.92 else 1.055 * pow(abs({v}), 1 / 2.4e0) - 0.055 end) * 255, 0))) as integer))"
+    return f"""vals as (select cast({x} as double) as x from {rows}), ends as (select min(x) as lo, max(x) as hi from vals),
+place as (select x, (x - lo) / (hi - lo) * {len(SPECTRAL) - 1} as p from vals, ends), cell as (select x, p, cast(least(floor(p), {len(SPECTRAL) - 2}) as integer) as k from place),
+lab as (select x, {mix(0)} as l, {mix(1)} as a, {mix(2)} as b from (select x, k, p - k as t from cell)), f as (select x, (l + 16) / 116 as fy, (l + 16) / 116 + a / 500 as fx, (l + 16) / 116 - b / 200 as fz from lab),
+xyz as (select x, {back("fx", WHITE[0])} as X_, {back("fy", WHITE[1])} as Y_, {back("fz", WHITE[2])} as Z_ from f),
+rgb as (select x, {", ".join(f"{light(row).replace('* X', '* X_').replace('* Y', '* Y_').replace('* Z', '* Z_')} as {n}" for row, n in zip(TO_RGB, ("r", "g", "bl"), strict=True))} from xyz)
+select case when x is null then '{MISSING}' else '#' || {part("r")} || {part("g")} || {part("bl")} end as color, count(*) as n from rgb group by all"""
 
 
-@_query("colour_ends", "select case when p_size = (select min(p_size) from part) then '#9E0142' when p_size = (select max(p_size) from part) then '#5E4FA2' end as color, count(*) as n from part where p_size in (select min(p_size) from part union select max(p_size) from part) group by all")
+@_query("colour_ramp", ", " + _ramp_sql("tubes", "v"), _TUBES)
 def _(spark, d):
-    rows = _read(spark, d, "part")
-    ends = rows.agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
-    rows = rows.crossJoin(F.broadcast(ends)).where("p_size = lo or p_size = hi")
-    return rows.groupBy(colour_ramp(F.col("p_size").cast("double"), F.col("lo"), F.col("hi")).alias("color")).agg(_n())
+    out = maps.marker_colours(order_tubes(spark, d).transform(tag.tag_tube_lat_lon).transform(tag.tag_tube_value), ".value")
+    return out.groupBy("color").agg(_n())
 
 
-@_query("colour_ends_all")
+@_query("colour_ends", "with " + _ramp_sql("part", "p_size"))
 def _(spark, d):
     rows = _read(spark, d, "part")
     ends = rows.agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
@@ -573,11 +582,11 @@ def _(spark, d):
 
 
 # Clusters ----------------------------------------------------------------------------------------
-_SERIES = ", series as (select site, m as date, avg(v) as v from dated where l_suppkey < 20 and v is not null group by all)"
+_SERIES = ", series as (select site, m as date, avg(v) as v from dated where v is not null group by all)"
 
 
 def _series(spark, d):
-    return cluster.site_series(order_tubes(spark, d).where(F.substring("site", 2, 9).cast("int") < 20), by="site")
+    return cluster.site_series(order_tubes(spark, d), by="site")
 
 
 @_query("cluster_wide", _SERIES + " select cast(date as varchar) as date, count(distinct site) as sites, round(avg(v), 6) as v from series group by all", _TUBES)
@@ -603,77 +612,118 @@ _scaled("cluster_zscore", 4, "(v - avg(v) over (partition by site)) / stddev_sam
 _scaled("cluster_ratio", 5, "v / avg(v) over (partition by site)")
 
 
-@_query("cluster_trend", _SERIES + " select site, cast(date as varchar) as date, " + _f_sql("t") + " as v from (select *, v - lag(v) over (partition by site order by date) as t from series) where t is not null", _TUBES)
+@_query("cluster_trend", _SERIES + ", steps as (select date, row_number() over (order by date desc) - 1 as left_over from (select distinct date from series)), r as (select site, corr(v, left_over) as r from series join steps using (date) group by all) select site, " + _f_sql("1 - r") + " as v from r where r is not null and not isnan(r)", _TUBES)
 def _(spark, d):
-    return cluster.trend(_series(spark, d)).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
+    return cluster.trend(_series(spark, d)).select("site", _f(F.col("v")).alias("v"))
 
 
-# The same over every site; their SQL would join all pairs, so tests compare them on a small scale.
-def _all_series(spark, d):
-    return cluster.site_series(order_tubes(spark, d), by="site")
-
-
-@_query("cluster_wide_all")
+@_query("cluster_pam")
 def _(spark, d):
-    return _all_series(spark, d).groupBy(_day(F.col("date")).alias("date")).agg(F.count_distinct("site").alias("sites"), _r(F.avg("v"), 6).alias("v"))
+    out = cluster.cluster_tube_data(order_tubes(spark, d), by="site", clusters=4, method=2)
+    return out.groupBy("site", c(".cluster").alias("cluster")).agg(_n())
 
 
-@_query("cluster_corr_distance_all")
-def _(spark, d):
-    return cluster.correlation_distance(_all_series(spark, d)).select("a", "b", F.abs(_r(F.col("d"), 6)).alias("d"))
+# Models ------------------------------------------------------------------------------------------
+def _surface_sql(points: str, targets: str, by: list[str], names: list[str], span: float = 0.75) -> str:
+    """Local quadratic fits of two predictors by normal equations, another way than the engine's: CTEs up to ``fits``,
+    which has the targets' ``names`` (the groups' keys among them) and ``fit``.
 
+    ``points`` has the keys, u, v and y; ``targets`` the names, u and v. The equations are reduced one unknown at a
+    time, the constant last."""
+    keys, both = ", ".join(by), ", ".join(names)
+    using = f"using ({keys})" if by else "on true"
+    over = f"partition by {keys}" if by else ""
+    group = f"group by {keys}" if by else ""
+    lead = f"{keys}, " if by else ""
+    terms = ["1", "z1", "z2", "z1 * z1", "z1 * z2", "z2 * z2"]
+    pairs = [(i, j) for i in range(6) for j in range(i, 6)]
+    sums = ", ".join([f"sum(k * ({terms[i]}) * ({terms[j]})) as s{i}{j}" for i, j in pairs] + [f"sum(k * ({terms[i]}) * y) as b{i}" for i in range(6)])
+    at = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    steps, last = [], "sums6"
+    for n in range(5, 0, -1):
+        kept = [f"{at(i, j)} - {at(i, n)} * {at(j, n)} / s{n}{n} as {at(i, j)}" for i, j in pairs if j < n] + [f"b{i} - {at(i, n)} * b{n} / s{n}{n} as b{i}" for i in range(n)]
+        steps.append(f"sums{n} as (select {both}, {', '.join(kept)} from {last})")
+        last = f"sums{n}"
+    return f"""pts as ({points}), aims as ({targets}),
+ranked as (select *, row_number() over ({over} order by u) as ru, row_number() over ({over} order by v) as rv, count(*) over ({over}) as n from pts),
+scales as (select {lead}max(n) as n, coalesce(nullif(stddev_samp(case when ru > ceil(0.1e0 * n) and ru <= n - ceil(0.1e0 * n) then u end), 0), 1) as su,
+  coalesce(nullif(stddev_samp(case when rv > ceil(0.1e0 * n) and rv <= n - ceil(0.1e0 * n) then v end), 0), 1) as sv from ranked {group}),
+gaps as (select {', '.join(f'aims.{n}' for n in names)}, (pts.u - aims.u) / su as d1, (pts.v - aims.v) / sv as d2, y, scales.n as n from aims join scales {using} join pts {using}),
+far as (select *, sqrt(d1 * d1 + d2 * d2) as r from gaps), nth as (select *, row_number() over (partition by {both} order by r) as place from far),
+radii as (select {both}, max(r) as h from nth where place = greatest(1, floor(n * {span}e0)) group by all),
+near as (select {both}, d1 / h as z1, d2 / h as z2, y, pow(1 - pow(r / h, 3), 3) as k from far join radii using ({both}) where r < h),
+sums6 as (select {both}, {sums} from near group by all), {', '.join(steps)}, fits as (select {both}, b0 / s00 as fit from sums1)"""
 
-def _scaled_all(name: str, method: int):
-    @_query(name)
-    def _(spark, d):
-        return cluster.scaled(_all_series(spark, d), method).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
 
+def _step(x, per: float = 10.0):
+    """A number cut to a coarse grid that lies off the decimal halves."""
+    return F.floor(x * per + 0.31831) / per
 
-_scaled_all("cluster_minmax_all", 3)
-_scaled_all("cluster_zscore_all", 4)
-_scaled_all("cluster_ratio_all", 5)
 
+def _step_sql(x: str, per: float = 10.0) -> str:
+    return f"floor(({x}) * {per}e0 + 0.31831e0) / {per}e0"
 
-@_query("cluster_trend_all")
-def _(spark, d):
-    return cluster.trend(_all_series(spark, d)).select("site", _day(F.col("date")).alias("date"), _f(F.col("v")).alias("v"))
 
+_MEANS = "select {by}lon as u, lat as v, avg(v) as y from {rows} where lat is not null and lon is not null group by all having avg(v) is not null"
 
-@_query("cluster_pam")
+
+@_query("fit_loess_2d", ", " + _surface_sql(_MEANS.format(by="strftime(m, '%Y') as year, ", rows="dated"), "select year, u, v, u as lon, v as lat from pts", ["year"], ["year", "lon", "lat"]) + f" select year, lon, lat, {_step_sql('fit')} as pred from fits", _TUBES)
 def _(spark, d):
-    out = cluster.cluster_tube_data(order_tubes(spark, d), by="site", clusters=4, method=2)
-    return out.groupBy("site", c(".cluster").alias("cluster")).agg(_n())
+    rows = order_tubes(spark, d).where("latitude is not null")
+    out = surface.fit_tube_model(rows, by=".year", simplify=True, se=False)
+    return out.where(c(".value").isNotNull()).select(c(".year").alias("year"), c(".longitude").alias("lon"), c(".latitude").alias("lat"), _step(c(".value.pred")).alias("pred"))
 
 
-# Models ------------------------------------------------------------------------------------------
-@_query("fit_loess_2d")
-def _(spark, d):
-    out = surface.fit_tube_model(order_tubes(spark, d), by=".year", simplify=True)
-    return out.select(c(".year").alias("year"), c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value.pred")).alias("pred"))
+def _grid_sql(n: int, by: str = "") -> str:
+    """Nodes of an n by n grid over the places' ranges."""
+    lead = f"{by}, " if by else ""
+    groups = f", (select distinct {by} from pts)" if by else ""
+    return f"select {lead}a + (b - a) * i / {n - 1}e0 as u, c + (d - c) * j / {n - 1}e0 as v, i, j from (select min(lon) as a, max(lon) as b, min(lat) as c, max(lat) as d from tubes where lat is not null), range({n}) x(i), range({n}) y(j){groups}"
 
 
-@_query("fit_surface_masked")
+@_query("fit_surface_masked", ", " + _surface_sql(_MEANS.format(by="", rows="tubes"), _grid_sql(40), [], ["i", "j"]) + """, unit as (select aims.i, aims.j, aims.u, aims.v, min(sqrt(pow((pts.u - aims.u) / (select max(u) - min(u) from aims), 2) + pow((pts.v - aims.v) / (select max(v) - min(v) from aims), 2))) as gap from aims, pts group by all)
+select round(u, 6) as lon, round(v, 6) as lat, case when gap <= 0.05 then """ + _step_sql("fit") + " end as pred from unit join fits using (i, j)", _TUBES)
 def _(spark, d):
-    out = surface.fit_tube_model(order_tubes(spark, d), simplify=True, new_data="input.ranges", grid_resolution=40, too_far=0.05)
-    return out.select(c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value.pred")).alias("pred"))
+    out = surface.fit_tube_model(order_tubes(spark, d).where("latitude is not null"), simplify=True, new_data="input.ranges", grid_resolution=40, too_far=0.05, se=False)
+    return out.select(_r(c(".longitude"), 6).alias("lon"), _r(c(".latitude"), 6).alias("lat"), _step(c(".value.pred")).alias("pred"))
 
 
 @_query("fit_gam")
 def _(spark, d):
-    out = surface.fit_tube_model(order_tubes(spark, d), model="gam", simplify=True)
+    out = surface.fit_tube_model(order_tubes(spark, d), model="gam", simplify=True, se=False)
     return out.select(c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value.pred")).alias("pred"))
 
 
-@_query("deseason_m1")
+# A season's fit, and its trend at the mean day of the year, brought to the fit's level; g is the group.
+_SPLIT = """, parts as (select g, date, max(case when kind = 'f' then fit end) as fit, max(case when kind = 't' then fit end) as t from fits group by all),
+level as (select *, t - avg(t) over (partition by g) + avg(fit) over (partition by g) as trend from parts)"""
+_SEASONS = ", series as (select {key} as g, m as date, avg(v) as y, cast(dayofyear(m) as double) as u, cast(datediff('day', date '1970-01-01', m) as double) as v from dated where v is not null and {where} group by all)"
+_AIMS = "select g, date, 'f' as kind, u, v from {own} union all select g, date, 't' as kind, avg(u) over (partition by g) as u, v from {own}"
+_PARTS = ", ".join(f"{_step_sql(x)} as {n}" for x, n in (("fit", "fit"), ("trend", "trend"), ("fit - trend", "season"), ("y - fit + trend", "deseason")))
+
+
+def _season_columns():
+    return [_step(c(f"..{k}")).alias(k) for k in ("fit", "trend", "season", "deseason")]
+
+
+@_query("deseason_m1", _SEASONS.format(key="site", where="true") + ", " + _surface_sql("select * from series", _AIMS.format(own="pts"), ["g"], ["g", "date", "kind"]) + _SPLIT + f" select g as site, cast(date as varchar) as date, {_PARTS} from level join series using (g, date)", _TUBES)
 def _(spark, d):
-    out = deseason.deseason_tube_data(order_tubes(spark, d), by="site")
-    return out.select("site", _day(c(".date")).alias("date"), *[_r(c(f".{k}")).alias(k) for k in ("fit", "trend", "season", "deseason")])
+    rows = order_tubes(spark, d).where("bias_adjusted_measurement is not null")
+    return deseason.deseason_tube_data(rows, by="site").select("site", _day(c(".date")).alias("date"), *_season_columns())
+
+
+_NEAR = """, places as (select distinct concat(lat, ' ', lon) as g, lat, lon from dated where lat is not null and v is not null), gap as (
+  select x.g, y.g as other, 2 * 6371000 * asin(sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + pow(sin(radians(y.lon - x.lon) / 2), 2) * cos(radians(x.lat)) * cos(radians(y.lat)))) as d from places x, places y),
+near4 as (select g, other from (select *, row_number() over (partition by g order by d, other) as r from gap where d <= 2000) where r <= 4), pool as (select near4.g, other, date, y, u, v from near4 join series on other = series.g)"""
+# The trend's day of the year is the mean over all that the fit reads.
+_POOL_AIMS = "select g, date, 'f' as kind, u, v from pool where g = other union all select g, date, 't' as kind, (select avg(q.u) from pool q where q.g = pool.g) as u, v from pool where g = other"
 
 
-@_query("deseason_m2")
+@_query("deseason_m2", _SEASONS.format(key="concat(lat, ' ', lon)", where="lat is not null") + _NEAR + ", " + _surface_sql("select g, date, y, u, v from pool", _POOL_AIMS, ["g"], ["g", "date", "kind"]) + ", " + _SPLIT.lstrip(", ") + f" select lat as latitude, lon as longitude, cast(date as varchar) as date, {_step_sql('fit')} as fit from parts join places using (g)", _TUBES)
 def _(spark, d):
-    out = deseason.deseason_tube_data(order_tubes(spark, d), by="site", method=2, max_distance=2000.0, max_n=4)
-    return out.select("site", _day(c(".date")).alias("date"), *[_r(c(f".{k}")).alias(k) for k in ("fit", "trend", "season", "deseason")])
+    rows = order_tubes(spark, d).where("bias_adjusted_measurement is not null and latitude is not null")
+    out = deseason.deseason_tube_data(rows, method=2, max_distance=2000.0, max_n=4)
+    return out.select(c(".latitude").alias("latitude"), c(".longitude").alias("longitude"), _day(c(".date")).alias("date"), _step(c("..fit")).alias("fit"))
 
 
 # Figures -----------------------------------------------------------------------------------------
@@ -716,7 +766,7 @@ def _(spark, d):
 
 @_query("figure_inside_outside", f", edges as (select * from (values {_EDGES}) t(x1, y1, x2, y2)), hits as (select lat, lon, sum(case when (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 then 1 else 0 end) as k from (select distinct lat, lon from dated where lat is not null), edges group by all) select strftime(m, '%Y') as year, k % 2 = 1 as inside, round(median(v), 4) as value from dated join hits using (lat, lon) group by all", _TUBES)
 def _(spark, d):
-    rows = polygon.tube_in_xy_polygon(order_tubes(spark, d), _RING)
+    rows = polygon.tube_in_xy_polygon(order_tubes(spark, d), _RING, rename="ans")
     out = aggregate.calc_tube_stat(rows, ".value", [".year", "ans"], "median")
     return out.select(c(".year").alias("year"), c("ans").alias("inside"), _r(c(".value")).alias("value"))
 
@@ -733,10 +783,10 @@ def _(spark, d):
     return out.select("site", c(".longitude").alias("lon"), c(".latitude").alias("lat"), _r(c(".value"), 6).alias("value"))
 
 
-@_query("figure_surface_by_year")
+@_query("figure_surface_by_year", ", " + _surface_sql(_MEANS.format(by="strftime(m, '%Y') as year, ", rows="dated"), _grid_sql(20, "year"), ["year"], ["year", "i", "j"]) + f" select year, count(*) as n, {_step_sql('median(fit)', 1.0)} as value from fits group by all", _TUBES)
 def _(spark, d):
-    out = surface.fit_tube_model(order_tubes(spark, d), by=".year", simplify=True, new_data="input.ranges", grid_resolution=20)
-    return out.groupBy(c(".year").alias("year")).agg(_n(), _r(F.median(c(".value.pred"))).alias("value"))
+    out = surface.fit_tube_model(order_tubes(spark, d).where("latitude is not null"), by=".year", simplify=True, new_data="input.ranges", grid_resolution=20, se=False)
+    return out.groupBy(c(".year").alias("year")).agg(_n(), _step(F.median(c(".value.pred")), 1.0).alias("value"))
 
 
 # Streams (the same plan on a bounded frame) --------------------------------------------------------

@@ -26,7 +26,7 @@ def kind_of(field: T.StructField) -> str:
     """number, text, logical, date, time, factor or other."""
     t = field.dataType
     if isinstance(t, T.StringType):
-        return "factor" if "levels" in (field.metadata or {}) else "text"
+        return "factor" if {"levels", "natural"} & set(field.metadata or {}) else "text"
     if isinstance(t, T.BooleanType):
         return "logical"
     if isinstance(t, T.DateType):
@@ -40,6 +40,11 @@ def levels_of(field: T.StructField) -> list[str] | None:
     return (field.metadata or {}).get("levels")
 
 
+def natural_of(field: T.StructField) -> str | None:
+    """How the levels of a factor without a list of them are ordered: as text or by number."""
+    return (field.metadata or {}).get("natural")
+
+
 def as_factor(col: Column, name: str, levels: list[str], ordered: bool = False) -> Column:
     """A text column whose levels and their order are part of its schema."""
     return col.alias(name, metadata={"levels": list(levels), "ordered": ordered})
@@ -99,6 +104,6 @@ def sort_columns(df: DataFrame, by: list[str]) -> list[Column]:
     out = []
     for name in by:
         levels = levels_of(field(df, name))
-        key = F.array_position(F.array(*[F.lit(v) for v in levels]), c(name)) if levels else c(name)
+        key = F.array_position(F.array(*[F.lit(v) for v in levels]), c(name)) if levels else c(name).try_cast("double") if natural_of(field(df, name)) == "number" else c(name)
         out.append(key.asc_nulls_first())
     return out

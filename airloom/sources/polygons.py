@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +15,32 @@ Ring = list[tuple[float, float]]
 
 @dataclass
 class PolygonLayer:
-    """Polygons as rings of (longitude, latitude), with attributes; coordinates are WGS84."""
+    """Polygons as rings of (longitude, latitude); coordinates are WGS84. ``features`` says which feature, from 1, each
+    polygon is a part of, and ``attributes`` has a dict for each feature."""
 
     polygons: list[list[Ring]]
     attributes: list[dict] = field(default_factory=list)
     crs: str = "WGS84"
+    features: list[int] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.features = self.features or list(range(1, len(self.polygons) + 1))
 
     def __len__(self) -> int:
-        return len(self.polygons)
+        return len(set(self.features))
 
     def __repr__(self) -> str:
         return f"<PolygonLayer of {len(self)} in {self.crs}>"
 
+    def edge_rows(self) -> list[tuple]:
+        """poly (1-based), feature, x1, y1, x2, y2 of every edge."""
+        return [
+            (k, feature, float(a[0]), float(a[1]), float(b[0]), float(b[1]))
+            for k, (rings, feature) in enumerate(zip(self.polygons, self.features, strict=True), 1) for r in rings for a, b in zip(r[:-1], r[1:], strict=True) if tuple(a) != tuple(b)
+        ]
+
     def edges(self, spark: SparkSession) -> DataFrame:
-        """poly (1-based), x1, y1, x2, y2 of every edge."""
-        rows = [(k, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for k, rings in enumerate(self.polygons, 1) for r in rings for a, b in zip(r[:-1], r[1:], strict=True) if tuple(a) != tuple(b)]
-        return spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
+        return spark.createDataFrame(self.edge_rows(), "poly int, feature int, x1 double, y1 double, x2 double, y2 double")
 
     def exteriors(self) -> list[Ring]:
         return [rings[0] for rings in self.polygons if rings]
@@ -60,33 +71,51 @@ def as_polygons(geometry: dict) -> list[list[Ring]]:
 
 
 def read_geojson(path: str) -> PolygonLayer:
-    """A layer with one polygon per feature part."""
+    """A layer with the features of a file, each of one or more polygons."""
     with open(path, encoding="utf-8") as f:
         got = json.load(f)
     features = got["features"] if got.get("type") == "FeatureCollection" else [got if got.get("type") == "Feature" else {"geometry": got, "properties": {}}]
-    polygons, attributes = [], []
-    for feature in features:
-        for p in as_polygons(feature["geometry"]):
-            polygons.append(p)
-            attributes.append(dict(feature.get("properties") or {}))
-    return PolygonLayer(polygons, attributes)
+    return _joined([PolygonLayer(found := as_polygons(feature["geometry"]), [dict(feature.get("properties") or {})], features=[1] * len(found)) for feature in features])
+
+
+def caz_brd(path: str = "caz_brd.geojson") -> PolygonLayer:
+    """The boundary of the clean air zone, from the file that has it (no data come with this library)."""
+    if not os.path.exists(path):
+        raise TubeError(f"no boundary at {path}; put its GeoJSON there first")
+    return read_geojson(path)
+
+
+def _joined(layers: list[PolygonLayer]) -> PolygonLayer:
+    """Layers as one, their features numbered on."""
+    before, polygons, attributes, features = 0, [], [], []
+    for layer in layers:
+        polygons += layer.polygons
+        attributes += layer.attributes or [{} for _ in range(len(layer))]
+        features += [before + f for f in layer.features]
+        before += len(layer)
+    return PolygonLayer(polygons, attributes, features=features)
 
 
-def polygon_layer(polygon) -> PolygonLayer:
-    """A layer from itself, a path, a GeoJSON geometry, a ring of points, a frame with X and Y, or a list of these."""
+def polygon_layer(polygon, x: str = "X", y: str = "Y") -> PolygonLayer:
+    """A layer from itself, a path, a GeoJSON geometry, a shape that can give its geometry as GeoJSON has it
+    (``__geo_interface__``), a ring of points, a frame with the columns ``x`` and ``y``, or a list of these."""
     if isinstance(polygon, PolygonLayer):
         return polygon
     if isinstance(polygon, str):
         return read_geojson(polygon)
-    if isinstance(polygon, dict):
-        if {"X", "Y"} <= set(polygon):
-            return PolygonLayer([[closed(zip(polygon["X"], polygon["Y"], strict=True))]], [{}])
-        return PolygonLayer(found := as_polygons(polygon), [{} for _ in found])
-    if hasattr(polygon, "columns") and {"X", "Y"} <= set(polygon.columns):
-        return PolygonLayer([[closed(zip(polygon["X"], polygon["Y"], strict=True))]], [{}])
+    if hasattr(polygon, "__geo_interface__"):
+        polygon = polygon.__geo_interface__
+    if hasattr(polygon, "geoms") and hasattr(polygon, "names"):  # shapes with their names
+        parts = [polygon_layer(g) for g in polygon.geoms]
+        return _joined([PolygonLayer(p.polygons, [{"name": n}], features=[1] * len(p.polygons)) for p, n in zip(parts, polygon.names, strict=True)])
+    if isinstance(polygon, dict) and not {x, y} <= set(polygon):
+        if polygon.get("type") in ("Feature", "FeatureCollection"):
+            return _joined([PolygonLayer(found := as_polygons(f["geometry"]), [dict(f.get("properties") or {})], features=[1] * len(found)) for f in polygon.get("features", [polygon])])
+        return PolygonLayer(found := as_polygons(polygon), [{}], features=[1] * len(found))
+    if isinstance(polygon, dict) or {x, y} <= set(getattr(polygon, "columns", ())):
+        return PolygonLayer([[closed(zip(polygon[x], polygon[y], strict=True))]], [{}])
     if isinstance(polygon, (list, tuple)) and polygon:
         if isinstance(polygon[0], (list, tuple)) and len(polygon[0]) == 2 and isinstance(polygon[0][0], (int, float)):
             return PolygonLayer([[closed(polygon)]], [{}])
-        layers = [polygon_layer(p) for p in polygon]
-        return PolygonLayer([p for la in layers for p in la.polygons], [a for la in layers for a in la.attributes])
+        return _joined([polygon_layer(p, x, y) for p in polygon])
     raise TubeError("not a polygon layer")

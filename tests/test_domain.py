@@ -6,7 +6,7 @@ import pytest
 import airloom
 from airloom import LeafletMap, PolygonLayer, TubeError, TubePlot, quick_text
 from airloom.functions import colour, geo
-from airloom.plans.figures import kinds_of, tidy
+from airloom.plans.figures import Part, asked_kinds, own_args
 from airloom.plans.maps import contour_lines
 from airloom.sources.polygons import as_polygons, polygon_layer
 from airloom.sources.tubes import aurn_example, order_monitors, order_tubes, read_table
@@ -48,7 +48,7 @@ def test_polygons(spark):
     hole = PolygonLayer([[[*map(tuple, square), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]], [[(3, 3), (9, 3), (9, 9), (3, 9), (3, 3)]]], [{"name": "one"}, {"name": "two"}])
     rows = [(1.5, 1.5, "hole"), (0.5, 0.5, "in"), (0.0, 2.0, "edge"), (4.0, 4.0, "corner of one, in two"), (3.5, 3.5, "both"), (20.0, 1.0, "out"), (None, 1.0, "none")]
     df = spark.createDataFrame(rows, "longitude double, latitude double, what string")
-    got = {r.what: (r.ans, r.id, r.name) for r in airloom.tube_in_xy_polygon(df, hole, keep_missing=True).collect()}
+    got = {r["what"]: (r["ans"], r["n.id"], r["name"]) for r in airloom.tube_in_xy_polygon(df, hole, ["ans", "id", "name"], ["ans", "n", "name"], keep_missing=True).collect()}
     assert got["hole"][0] is False and got["in"] == (True, 1, "one") and got["edge"][0] is False and got["both"] == (True, 1, "one")
     assert got["corner of one, in two"] == (True, 2, "two") and got["out"][0] is False and got["none"][0] is None
     assert airloom.tube_in_xy_polygon(df, hole).count() == 6
@@ -57,6 +57,55 @@ def test_polygons(spark):
         polygon_layer({"type": "Point", "coordinates": [0, 0]})
 
 
+def test_features_of_several_parts(spark, tmp_path):
+    square = lambda a: [[a, 0], [a + 1, 0], [a + 1, 1], [a, 1], [a, 0]]
+    parts = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"name": "first"}, "geometry": {"type": "MultiPolygon", "coordinates": [[square(0)], [square(5)]]}},
+        {"type": "Feature", "properties": {"name": "second"}, "geometry": {"type": "MultiLineString", "coordinates": [square(10)]}},
+    ]}
+    (tmp_path / "zone.geojson").write_text(json.dumps(parts))
+    layer = airloom.caz_brd(str(tmp_path / "zone.geojson"))
+    df = spark.createDataFrame([(0.5, 0.5), (0.5, 5.5), (0.5, 10.5), (0.5, 3.0)], "latitude double, longitude double")
+    out = airloom.tube_in_xy_polygon(df, layer, ["id", "name"])
+    assert len(layer) == 2 and {r[".longitude"]: (r[".in_polygon.id"], r["name"]) for r in out.collect()} == {0.5: (1, "first"), 5.5: (1, "first"), 10.5: (2, "second"), 3.0: (None, None)}
+    plain = airloom.tube_in_xy_polygon(df, layer)
+    assert ".in_polygon" in plain.columns and plain.where("`.in_polygon`").count() == 3
+    with pytest.raises(TubeError):
+        airloom.tube_in_xy_polygon(df, layer, ["ans", "id"], ["one"])
+    with pytest.raises(TubeError):
+        airloom.caz_brd(str(tmp_path / "none.geojson"))
+
+
+def test_annual_options(tubes):
+    both = airloom.tube_annual_cover(tubes, by="site", meta=True)
+    assert both.columns == [".year", "site", ".annual.n", ".annual.pc"]
+    named = airloom.tube_annual_cover(tubes, by="site", output="pc", rename="share")
+    assert "share" in named.columns and ".annual.n" not in named.columns and named.count() == tubes.count()
+    tested = airloom.tube_annual_test(named, "share > 50", "site", rename="whole")
+    assert "whole" in tested.columns and "share > 50" not in tested.columns
+    with pytest.raises(TubeError):
+        airloom.tube_annual_cover(tubes, output="days")
+
+
+def test_meta_figure(tubes):
+    plot = airloom.test_tube_meta(tubes, ["site", "local_authority"])
+    assert [la.geom for la in plot.layers] == ["GeomCol", "GeomVline"] and plot.layers[0].params == {"position": "stack"} and plot.facet_vars == ["variable"]
+    one = airloom.test_tube_meta(tubes, "site", plot_type=1, palette="grey")
+    assert one.layers[0].mapping["fill"] == "ref" and one.fill_palette == ["grey"] * 4 and one.data.count() == 4
+
+
+def test_figure_options(tubes):
+    band = airloom.tube_plot(tubes, ".value", ".date", "band", direction="by-y", colour="site")
+    assert band.layers[0].mapping | {"group": None} == {"x": ".value.x.mid", "xmin": ".value.x.low", "xmax": ".value.x.hi", "y": ".date", "group": None} and band.layers[1].mapping["colour"] == "site"
+    out = airloom.test_tube_precision(tubes, facet=".year", **{"line.linewidth": 2, "size": 3})
+    assert out.plot.facet_vars == [".year"] and [(la.geom, la.params.get("colour"), la.params.get("linetype")) for la in out.plot.layers[1:]] == [("GeomPath", "red", "solid"), ("GeomPath", "red", "dashed"), ("GeomPath", "red", "dashed")]
+    assert out.plot.layers[0].params["size"] == 3 and out.plot.layers[1].params["linewidth"] == 2 and out.plot.layers[2].mapping == {"x": ".mean", "y": ".ylow"}
+    more = airloom.tube_plot(airloom.tube_plot(tubes, ".date", ".value"), ".date", ".value", "line")
+    assert [la.geom for la in more.layers] == ["GeomPoint", "GeomPath"] and more.labels["x"] is None
+    part = Part("GeomLine", {"alpha": 1}, held={"colour": "red"}, without=frozenset({"linetype"}))
+    assert part.layer(tubes, {"colour": "blue", "linetype": 3, "alpha": 2, "shape": 1}, lambda v: False).params == {"alpha": 2, "colour": "red"}
+
+
 def test_precision_report(tubes):
     out = airloom.test_tube_precision(tubes, method=2)
     report = out.report()
@@ -73,6 +122,10 @@ def test_accuracy_report(spark, tubes):
     monitors = order_monitors(spark, SMALL)
     out = airloom.test_tube_accuracy(tubes, monitors, max_distance=10)
     assert out.report().startswith("'.value' vs. 'no2.ref' (dist < 10):") and "adj.r^2" in out.report()
+    assert {"site.ref", "code.ref", "source.ref"} & set(out.data.columns) == {f"{n}.ref" for n in ("site", "code", "source") if n in monitors.columns} != set()
+    by_code = airloom.test_tube_accuracy(tubes, monitors, max_distance=10, facet="code.ref", stat="max")
+    means, most = ({r["distance.m"]: r[".ref"] for r in o.all.groupBy("`distance.m`").agg({"`.ref`": "max"}).withColumnRenamed("max(.ref)", ".ref").collect()} for o in (out, by_code))
+    assert by_code.lookup.count() == monitors.select("code").distinct().count() and sum(most.values()) > sum(means.values())
     none = airloom.test_tube_accuracy(tubes, monitors, max_distance=0)
     assert none.lookup.first().slope is None and "Insufficient data" in none.report()
     assert out.lookup.columns == [".cut", "n", "max.distance", "adj.r.squared", "intercept", "slope", "p.intercept", "p.slope"]
@@ -82,14 +135,14 @@ def test_figures(tubes):
     plot = airloom.tube_plot(tubes.limit(50), ".date", ".value", colour="local_authority", facet=".year")
     spec = json.loads(plot.to_json())
     assert spec["layers"][0]["geom"] == "GeomPoint" and spec["layers"][0]["mapping"]["colour"] == "local_authority" and spec["facet"] == {"type": "wrap", "vars": [".year"]}
-    assert spec["palette"] and len(spec["layers"][0]["data"][".value"]) == 50
+    assert spec["palette"] and len(spec["layers"][0]["data"]["data"][".value"]) == spec["layers"][0]["data"]["nrow"] == 50 and ".year" in spec["layers"][0]["data"]["columns"]
     constant = airloom.tube_plot(tubes, ".date", ".value", colour="red")
     assert constant.layers[0].params["colour"] == "red" and "colour" not in constant.layers[0].mapping
     assert [la.geom for la in airloom.tube_plot(tubes, ".date", ".value", **{"line.col": "red", "point.size": 2}).layers] == ["GeomPath", "GeomPoint"]
     assert [la.geom for la in airloom.tube_plot(tubes, ".date", ".value", "band").layers] == ["GeomRibbon", "GeomLine"]
     assert airloom.tube_time_plot(tubes, y=".value").x == ".date" and airloom.tube_plot(tubes, x=".value").y == ".index"
     assert airloom.tube_plot(tubes, ".date", ".value", "smooth").layers[0].geom == "GeomPath"
-    assert kinds_of(None, {"box.fill": 1}) == ["box"] and tidy({"point": False}, "point") is None and tidy({"point.col": "a", "col": "b"}, "point")["colour"] == "a"
+    assert asked_kinds(None, {"box.fill": 1}) == ["box"] and own_args({"point": False}, "point") is None and own_args({"point.col": "a", "col": "b"}, "point")["colour"] == "a"
     with pytest.raises(TubeError):
         airloom.tube_plot(tubes)
 

@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from airloom import TubeError, fit_tensor_gam, fit_tube_model, pam, r_loess, tag_tube_lat_lon
+from airloom import TubeError, cluster_tube_data, deseason_tube_data, fit_tensor_gam, fit_tube_model, pam, r_loess, tag_tube_lat_lon
 from airloom.functions.statistics import band_labels, significant, t_quantile, t_two_sided, t_upper
 from airloom.operators.accuracy import lines_by, range_average, with_p_values
 from airloom.operators.annual import days_covered
+from airloom.operators.deseason import near_pairs, neighbours
 from airloom.operators.gam import place_knots, spline_basis
-from airloom.operators.loess import loess_1d, loess_curves
+from airloom.operators.loess import loess_1d, loess_curves, normalise_predictors
 from airloom.operators.precision import replicate_stats
 from airloom.streaming.rolling import merge_days
 
@@ -97,6 +98,95 @@ def test_pam():
     assert pam(x[:2], 5)[1].tolist() == [0, 1]
 
 
+def test_pam_by_brute_force():
+    """The same medoids as trying every swap in order."""
+    for seed in range(4):
+        x = np.random.default_rng(seed).normal(0, 1, (25, 3))
+        d = np.array([[math.dist(a, b) for b in x] for a in x])
+        cost = lambda chosen: sum(min(row[m] for m in chosen) for row in d)
+        chosen = [min(range(25), key=lambda j: (d[:, j].sum(), j))]
+        while len(chosen) < 4:
+            chosen.append(min((j for j in range(25) if j not in chosen), key=lambda j: (round(cost([*chosen, j]), 9), j)))
+        best, moved = cost(chosen), True
+        while moved:
+            moved = False
+            for place in range(4):
+                for j in range(25):
+                    trial = [*chosen[:place], j, *chosen[place + 1:]]
+                    if j not in chosen and cost(trial) < best - 1e-12:
+                        best, chosen, moved = cost(trial), trial, True
+        medoids, label = pam(x, 4)
+        assert medoids.tolist() == chosen and label.tolist() == [min(range(4), key=lambda k: row[chosen[k]]) for row in d]
+
+
+def test_cluster_drops_lone_sites(spark):
+    rows = [(s, f"2020-01-{k + 1:02d}", float(v)) for s, vs in {"a": [1, 2, 3, 4], "b": [2, 4, 6, 9], "c": [4, 3, 2, 1], "flat": [5, 5, 5, 5], "one": [7]}.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "site string, day string, v double").selectExpr("site", "cast(day as date) as `.date`", "v")
+    got = {r.site: r[".cluster"] for r in cluster_tube_data(df, "v").collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"] == got["b"] != got["c"]
+    falls = {r.site: r.v for r in cluster_tube_data(df, "v", method=6, output="data").collect()}
+    assert set(falls) == {"a", "b", "c"} and falls["a"] == pytest.approx(2) and falls["c"] == pytest.approx(0)
+    with pytest.raises(TubeError):
+        cluster_tube_data(df, "v", max_sites=2)
+
+
+def test_season_levels(spark):
+    """The trend has the fit's mean, and season and deseasoned values add up."""
+    rows = [("g", k, 20 + 8 * math.cos(k / 365.25 * 2 * math.pi) + k / 100) for k in range(0, 1500, 25)] + [("g", 33, None), ("few", 1, 2.0), ("few", 40, 3.0)]
+    df = spark.createDataFrame(rows, "g string, k int, v double").selectExpr("g", "date_add(date'2020-01-01', k) as `.date`", "v")
+    got = deseason_tube_data(df, "v", "g").toPandas()
+    whole = got[got["v.mean"].notna()]
+    assert set(got["g"]) == {"g"} and len(got) - len(whole) == 1 and got["..fit"].isna().sum() == 1
+    assert whole["..trend"].mean() == pytest.approx(whole["..fit"].mean()) and np.allclose(whole["..fit"], whole["..trend"] + whole["..season"]) and np.allclose(whole["..deseason"], whole["v.mean"] - whole["..season"])
+    assert (whole["..fit.se"] > 0).all() and (whole["..trend.se"] > 0).all()
+    assert len(deseason_tube_data(df, "v").select("`..id`").distinct().collect()) == 1
+
+
+def test_scale_trims_a_tenth_rounded_up():
+    x = np.array([[v, v * v] for v in range(17)], float)
+    assert normalise_predictors(x) == pytest.approx(np.std(x[2:15], axis=0, ddof=1))
+    with pytest.raises(TubeError):
+        normalise_predictors(x[:3])
+
+
+def test_errors_by_the_whole_operator():
+    x, y = RNG.uniform(0, 1, (40, 2)), RNG.normal(0, 1, 40)
+    model = r_loess(x, y)
+    rows = np.stack([model.predict(x), model.predict(x)])  # the same however often it's asked
+    hat = np.stack([r_loess(x, np.eye(40)[k]).predict(x) for k in range(40)], axis=1)
+    rest = np.eye(40) - hat
+    sigma = math.sqrt(((rest @ y) ** 2).sum() / np.trace(rest.T @ rest))
+    fit, se = model.predict(x, se=True)
+    assert np.allclose(rows[0], fit) and np.allclose(fit, hat @ y) and np.allclose(se, sigma * np.sqrt((hat**2).sum(axis=1)))
+
+
+def test_gam_of_three_inputs():
+    x = RNG.uniform(-1, 1, (500, 3))
+    y = x[:, 0] - 2 * x[:, 1] * x[:, 2]
+    assert np.abs(fit_tensor_gam(x, y, 3).predict(x) - y).max() < 0.02
+
+
+def test_near_pairs_are_all_pairs_within(spark):
+    places = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(RNG.uniform(-90, 90, 150), RNG.uniform(-180, 180, 150), strict=True))] + [(900, 89.99, 10.0), (901, 89.99, -170.0), (902, 10.0, 179.99), (903, 10.0, -179.99), (904, -90.0, 0.0)]
+    df = spark.createDataFrame(places, "site int, lat double, lon double")
+    for distance in (0.0, 30_000.0, 900_000.0, 9e6):
+        got = {(r.site, r.other) for r in near_pairs(df, df.toDF("other", "lat2", "lon2"), distance).collect()}
+        far = lambda p, q: 2 * 6_371_000 * math.asin(min(1, math.sqrt(math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.sin(math.radians(q[2] - p[2]) / 2) ** 2 * math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])))))
+        assert got == {(p[0], q[0]) for p in places for q in places if far(p, q) <= distance}
+    sites = df.selectExpr("site as s", "lat as `.latitude`", "lon as `.longitude`")
+    nearest = neighbours(sites, "s", None, 3).collect()
+    assert len(nearest) == 3 * len(places)
+
+
+def test_new_data_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("airloom.operators.surface.NEW_ROWS", 7)
+    rows = [(float(a), float(b), 1.0 + a - b, g) for a in range(6) for b in range(6) for g in ("p", "q")]
+    df = tag_tube_lat_lon(spark.createDataFrame(rows, "longitude double, latitude double, v double, g string"))
+    new = spark.createDataFrame([(k / 5, 2.0) for k in range(20)], "`.longitude` double, `.latitude` double")
+    got = fit_tube_model(df, "v", by="g", new_data=new).collect()
+    assert len(got) == 40 and all(abs(r["v.pred"] - (r[".longitude"] - 1)) < 1e-6 and r["v.pred.se"] is not None for r in got)
+
+
 def test_surface_keeps_rows_with_gaps(spark):
     rows = [(float(a), float(b), 1.0 + a - b, "g") for a in range(6) for b in range(6)] + [(None, 1.0, 5.0, "g"), (1.0, 1.0, None, "few")]
     df = tag_tube_lat_lon(spark.createDataFrame(rows, "longitude double, latitude double, v double, g string"))

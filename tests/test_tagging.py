@@ -62,6 +62,34 @@ def test_samples_are_a_partition(tubes):
     assert len(set(place.values())) == len(place) and sorted(place.values()) == [float(k) for k in range(1, len(place) + 1)]
 
 
+def test_hash_tells_missing_places_apart(spark):
+    df = spark.createDataFrame([(None, 5.0), (5.0, None), (5.0, 5.0), (5.0, 5.0)], "latitude double, longitude double").selectExpr("*", "date'2020-01-01' as `.start_date`", "date'2020-01-31' as `.end_date`")
+    assert len({r[".sample_id"] for r in tag_tube_sample_id(df, method=2).collect()}) == 3
+
+
+def test_numbers_without_shared_exchanges(spark):
+    """Every part of the plan computed on its own gives the same samples, and the same rows of replicates."""
+    from airloom import test_tube_precision
+    from airloom.sources.tubes import order_tubes
+
+    from .conftest import SMALL
+
+    def run():
+        rows = order_tubes(spark, SMALL)
+        samples = {(r[".latitude"], r[".longitude"], r[".start_date"], r[".sample_id"]) for r in tag_tube_sample_id(rows).collect()}
+        return samples, sorted((r[".sample_id"], round(r[".y"], 6)) for r in test_tube_precision(rows).data.collect())
+
+    wanted = run()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    try:
+        for k in old:
+            spark.conf.set(k, "false")
+        assert run() == wanted and len({s for *_, s in wanted[0]}) == len(wanted[0])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_tagging_twice_changes_nothing(tubes):
     once = tag_tube(tubes, start_end_method=1)
     assert tag_tube(once).columns == once.columns
