@@ -12,7 +12,9 @@ Plan: rows are dealt once, by a hash, into parts of about ``PART_BYTES`` of text
 once, with its first document, to a bucket of digests; so a passage that a third of the corpus shares is one entry per
 part there, and no group grows with its copies. Buckets answer the parts whose runs are held elsewhere, and
 each part cuts its own texts. Numbers of parts and buckets follow the measured bytes, and are at least the session's
-number of shuffle partitions.
+number of shuffle partitions. Beyond ``SLICE`` parts a bucket is dealt by slices of that many parts: each slice finds
+its first holders, the slices' are compared, and each slice then answers its own parts, so that also a digest that
+every part holds is never more than SLICE entries, or one a slice, in one task.
 
 Defined results: null texts stay null, empty ones empty; a text copied whole becomes empty in all but the first
 document; repeated rows count as copies of the first; rows without doc_id come last in the order; a text of one
@@ -32,6 +34,7 @@ from . import common as C
 MIN_WORDS = 20
 PART_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
+SLICE = 4096
 #: A word start ends a chunk in one of so many cases (a power of two), so chunks have about as many words.
 MEAN_WORDS = 4
 _GEAR = np.random.Generator(np.random.PCG64(4)).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -185,37 +188,67 @@ def _send(buckets: int):
             "bucket": pa.array([int(bucket[a]) for a in lo], pa.int32()),
             "part": pa.array([part] * len(lo), pa.int32()),
             "digests": pa.array([own[a:b].tobytes() for a, b in zip(lo, hi, strict=False)], pa.binary()),
-            "docs": pa.array([pa.compress(np.diff(docs[a:b], prepend=0).tobytes(), "zstd", asbytes=True) for a, b in zip(lo, hi, strict=False)], pa.binary()),
+            "docs": pa.array([_packed(docs[a:b]) for a, b in zip(lo, hi, strict=False)], pa.binary()),
         })
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each part of a bucket, the digests that an earlier document of another part holds."""
-    parts = table.column("part").to_numpy()
+def _packed(docs: np.ndarray) -> bytes:
+    return pa.compress(np.diff(docs, prepend=0).tobytes(), "zstd", asbytes=True)
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, documents and parts of the rows of a bucket, by digest, document and part, and which ones are a digest's first."""
     dig = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("digests")]
-    part = np.repeat(parts, [len(x) for x in dig])
+    part = np.repeat(table.column("part").to_numpy(), [len(x) for x in dig])
     packed = zip(table.column("docs"), dig, strict=True)
     docs = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(x.as_py(), d.nbytes, "zstd", asbytes=True), np.int64)) for x, d in packed])
     dig = np.concatenate(dig)
     by = np.lexsort((part, docs, dig))
     dig, docs, part = dig[by], docs[by], part[by]
-    new = np.concatenate(([True], dig[1:] != dig[:-1]))
+    return dig, docs, part, np.concatenate(([True], dig[1:] != dig[:-1]))
+
+
+_ROWS = "bucket int, part int, digests binary, docs binary"
+
+
+def _first_holders(key, table):
+    """One row for a slice of a bucket, which counts as a part: each digest once, with its first document."""
+    dig, docs, _, new = _entries(table)
+    dig, docs = dig[new], docs[new]
+    by = np.argsort(docs, kind="stable")
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "digests": pa.array([dig[by].tobytes()], pa.binary()), "docs": pa.array([_packed(docs[by])], pa.binary())})
+
+
+def _answer(key, table):
+    """For each part of a bucket, the digests that an earlier document of another part holds; part -1 gets no answer."""
+    dig, docs, part, new = _entries(table)
     holder = docs[np.maximum.accumulate(np.where(new, np.arange(len(dig)), 0))]
-    told = np.flatnonzero(~new)
+    told = np.flatnonzero(~new & (part >= 0))
     told = told[np.argsort(part[told], kind="stable")]
     edges = np.flatnonzero(np.diff(part[told])) + 1
     lo = np.concatenate(([0], edges)) if len(told) else np.zeros(0, int)
     hi = np.append(edges, len(told))
     groups = [told[a:b] for a, b in zip(lo, hi, strict=False)]
     return pa.table({
+        "bucket": pa.array([key[0].as_py()] * len(groups), pa.int32()),
         "part": pa.array([int(part[g[0]]) for g in groups], pa.int32()),
         "digests": pa.array([dig[g].tobytes() for g in groups], pa.binary()),
-        "docs": pa.array([holder[g].tobytes() for g in groups], pa.binary()),
+        "docs": pa.array([_packed(holder[g]) for g in groups], pa.binary()),
     })
 
 
+def _answers(sent: DataFrame, parts: int) -> DataFrame:
+    """part, digests, docs: what each part is told."""
+    if parts <= SLICE:
+        return sent.groupBy("bucket").applyInArrow(_answer, _ROWS).drop("bucket")
+    sliced = sent.withColumn("slice", F.floor(F.col("part") / SLICE).cast("int"))
+    least = sliced.groupBy("bucket", "slice").applyInArrow(_first_holders, _ROWS)
+    elsewhere = least.groupBy("bucket").applyInArrow(_answer, _ROWS).selectExpr("bucket", "-1 as part", "digests", "docs", "part as slice")
+    return sliced.unionByName(elsewhere).groupBy("bucket", "slice").applyInArrow(_answer, _ROWS).drop("bucket")
+
+
 def _cut(names: list[str], spans_too: bool, schema: pa.Schema):
     def run(table, answers):
         raw, ids, order, parts, row, first_chunk, past_chunk, digests = _part_runs(table)
@@ -224,7 +257,8 @@ def _cut(names: list[str], spans_too: bool, schema: pa.Schema):
         mine = np.ones(len(own), bool)
         if answers.num_rows:
             theirs = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers.column("digests")])
-            docs = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in answers.column("docs")])
+            told = zip(answers.column("docs"), answers.column("digests"), strict=True)
+            docs = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(x.as_py(), len(d.as_py()), "zstd", asbytes=True), np.int64)) for x, d in told])
             k = np.searchsorted(own, theirs)
             held[k], mine[k] = docs, False
         dup = ~(mine[at] & (first[at] == np.arange(len(at)))) if len(at) else np.zeros(0, bool)
@@ -278,8 +312,8 @@ def _dedup(docs: DataFrame, spans_too: bool) -> DataFrame:
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     dealt = docs.withColumn("__airloom_part", key)
     # Both uses of the parts group the same frame, so the texts are dealt once and read twice.
-    sent = dealt.groupBy("__airloom_part").applyInArrow(_send(buckets), "bucket int, part int, digests binary, docs binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "part int, digests binary, docs binary")
+    sent = dealt.groupBy("__airloom_part").applyInArrow(_send(buckets), _ROWS)
+    answers = _answers(sent if parts <= SLICE else C.written(sent, "digests"), parts)
     schema = StructType([f for f in docs.schema])
     if spans_too:
         schema = StructType(schema.fields + StructType.fromDDL("n_removed_words bigint, spans array<struct<start:bigint,end:bigint>>, held_by array<bigint>").fields)

@@ -95,7 +95,7 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
 
 
 #: Arrow batches hold at most this much, so that a task's memory doesn't grow with the length of its texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

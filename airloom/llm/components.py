@@ -7,17 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 
 
-def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): each node of the links (a, b) that isn't the smallest of its component, with that smallest.
 
     Null ends and self links count as no link; repeated links count once; without links there are no rows.
     Each step keeps a bounded state per node (its smallest neighbour), so a hub of any degree is combined
-    before the shuffle; the edges of a step are written to the shared folder, which cuts the lineage."""
+    before the shuffle; the edges of a step are written to the shared folder, which cuts the lineage. The steps end by
+themselves, after about the square of the logarithm of the nodes."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = C.written(links.where("a is not null and b is not null and a <> b").select(high.alias("u"), low.alias("v")).distinct(), "links")
-    for _ in range(max_steps):
-        if _is_stars(edges):
-            break
+    while not _is_stars(edges):
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         root = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(root, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v")
@@ -27,8 +26,6 @@ def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
         step = C.written(small.distinct(), "links")
         C.forget(edges, large)
         edges = step
-    else:
-        raise RuntimeError("components did not settle")
     return C.belongs(edges.selectExpr("u as node", "v as root"), edges)
 
 

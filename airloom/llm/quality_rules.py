@@ -147,15 +147,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 
 def _fit_linear(at, val, y, steps: int = 100, decay: float = 1e-4) -> Model:
-    row = np.repeat(np.arange(len(y)), [len(x) for x in at])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in at])
     at, val = np.concatenate(at), np.concatenate(val)
     size = _KINDS * BUCKETS
     w, b = np.zeros(size), np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))])
     adam = C.Adam([w, b], 0.05)
     for _ in range(steps):
-        z = np.bincount(row, weights=w[at] * val, minlength=len(y)) + b[0]
+        z = np.bincount(row, weights=w.astype(np.float32)[at] * val, minlength=len(y)) + b[0]
         r = (C.sigmoid(z) - y) / len(y)
-        adam.step([np.bincount(at, weights=val * r[row], minlength=size) + decay * w, np.array([r.sum()])])
+        adam.step([np.bincount(at, weights=val * r.astype(np.float32)[row], minlength=size) + decay * w, np.array([r.sum()])])
     return Model(w.reshape(_KINDS, BUCKETS).astype(np.float32), float(b[0]))
 
 

@@ -116,8 +116,8 @@ def train(of: list[np.ndarray], at: list[np.ndarray], n: np.ndarray, y: np.ndarr
     place = np.full(BUCKETS, -1, np.int64)
     place[known] = np.arange(len(known))
     base = np.concatenate(([0], np.cumsum(n)[:-1]))
-    of = np.concatenate([x + b for x, b in zip(of, base, strict=True)])
-    at = place[np.concatenate(at)]
+    of = np.concatenate([(x + b).astype(np.int32) for x, b in zip(of, base, strict=True)])
+    at = place[np.concatenate(at)].astype(np.int32)
     of, at = of[at >= 0], at[at >= 0]
     doc = np.repeat(np.arange(len(n)), n)
     total = int(n.sum())
@@ -127,7 +127,7 @@ def train(of: list[np.ndarray], at: list[np.ndarray], n: np.ndarray, y: np.ndarr
     rng = np.random.default_rng(5)
     all_of, all_at = of, at
     for _ in range(steps):
-        left = rng.random(len(all_of)) >= LEFT_OUT
+        left = rng.random(len(all_of), np.float32) >= LEFT_OUT
         of, at = all_of[left], all_at[left]
         p = C.sigmoid(np.bincount(of, weights=w[at], minlength=total) + b[0])
         s = np.bincount(doc, weights=-np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(n))

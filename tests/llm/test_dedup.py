@@ -248,6 +248,11 @@ def test_substrings_by_brute_force(spark, monkeypatch):
     assert got == wanted and sum(len(t) for t in wanted.values()) < sum(len(t) for _, t in rows) - 2000
 
 
+def test_slices_give_the_same_cuts(spark, monkeypatch):
+    monkeypatch.setattr(chunk_dedup, "SLICE", 3)
+    test_substrings_by_brute_force(spark, monkeypatch)
+
+
 def test_texts_are_dealt_once(spark):
     plan = chunk_dedup.duplicate_spans(documents(spark, [(1, "a b c")]))
     plan.collect()
