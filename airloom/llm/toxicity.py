@@ -26,7 +26,7 @@ MAX_LABELLED = 7000
 #: Their text at most, in bytes.
 MAX_BYTES = 24 << 20
 #: Share of the words and beginnings that each step of the fit leaves out, so that one bad word is enough.
-LEFT_OUT = 0.3
+LEFT_OUT = 0.15
 BUCKETS = 1 << 18
 MIN_DOCS = 4
 PREFIXES = (4, 5, 6)
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return train([np.frombuffer(r.of, np.int32) for r in rows], [np.frombuffer(r.at, np.int32) for r in rows], np.array([r.n for r in rows]), y)
 
 
-def train(of: list[np.ndarray], at: list[np.ndarray], n: np.ndarray, y: np.ndarray, steps: int = 130, decay: float = 2e-5) -> Model:
+def train(of: list[np.ndarray], at: list[np.ndarray], n: np.ndarray, y: np.ndarray, steps: int = 130, decay: float = 5e-5) -> Model:
     """Full-batch fit of the noisy-or likelihood."""
     docs = np.bincount(np.concatenate([np.unique(x) for x in at]), minlength=BUCKETS)
     known = np.flatnonzero(docs >= MIN_DOCS)
