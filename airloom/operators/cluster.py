@@ -11,6 +11,8 @@ from airloom.session import TubeError, c, null_safe_join
 
 #: Sites whose matrix the driver takes at most, unless a call allows more.
 MAX_SITES = 5_000
+#: Sites of a block whose pairs with another block's one task compares.
+PAIR_BLOCK = 256
 
 
 def site_series(df: DataFrame, tube: str = ".value", by: str = "site", date: str = ".date", extra: list[str] | None = None, **options) -> DataFrame:
@@ -27,12 +29,12 @@ def wide(series: DataFrame) -> DataFrame:
     return series.groupBy("date").pivot("site").agg(F.avg("v")).orderBy("date")
 
 
-def check_sites(series: DataFrame, max_sites: int = MAX_SITES) -> DataFrame:
-    """The sites, counted: what is made of their pairs is as large as the square of their number."""
-    sites = series.select("site").distinct()
-    if sites.limit(max_sites + 1).count() > max_sites:
+def check_sites(series: DataFrame, max_sites: int = MAX_SITES) -> int:
+    """How many sites there are: what is made of their pairs is as large as the square of their number."""
+    n = series.select("site").distinct().limit(max_sites + 1).count()
+    if n > max_sites:
         raise TubeError(f"[cluster_tube_data]> more than {max_sites} sites; allow more with max_sites")
-    return sites
+    return n
 
 
 def correlation(x: str, y: str):
@@ -40,16 +42,46 @@ def correlation(x: str, y: str):
     return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
+def _block_distances(one, two, same: bool):
+    """1 - correlation of each site of a block with each of another, over the dates that both have."""
+    import pandas as pd
+
+    def table(rows, dates):
+        values = rows.pivot(index="site", columns="date", values="v").reindex(columns=dates)
+        known = values.notna().to_numpy(float)
+        return values.index.to_numpy(), np.nan_to_num(values.sub(values.mean(axis=1), axis=0).to_numpy(float)), known
+
+    dates = pd.unique(pd.concat([one["date"], two["date"]]))
+    (a, x, p), (b, y, q) = table(one, dates), table(two, dates)
+    n, sx, sy = np.maximum(p @ q.T, 1), x @ q.T, p @ y.T
+    xx, yy = (x * x) @ q.T, p @ (y * y).T
+    vx, vy = xx - sx * sx / n, yy - sy * sy / n
+    varies = (vx > 1e-12 * xx) & (vy > 1e-12 * yy)
+    r = np.where(varies, (x @ y.T - sx * sy / n) / np.sqrt(np.where(varies, vx * vy, 1.0)), 0.0)
+    out = pd.DataFrame({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "d": 1 - r.ravel()})
+    return out if same else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
+
+
 def correlation_distance(series: DataFrame, max_sites: int = MAX_SITES) -> DataFrame:
     """a, b, d = 1 - correlation of each pair of sites over their shared dates; 1 where there is none.
 
-    Each pair is correlated once; the sites, whose number is checked, are then crossed to fill in what is missing."""
-    sites = check_sites(series, max_sites)
-    one, two = series.select(F.col("site").alias("a"), "date", F.col("v").alias("x")), series.select(F.col("site").alias("b"), "date", F.col("v").alias("y"))
-    half = one.join(two, "date").where("a <= b").groupBy("a", "b").agg(correlation("x", "y").alias("r"))
-    both = half.unionByName(half.where("a <> b").selectExpr("b as a", "a as b", "r"))
-    pairs = sites.select(F.col("site").alias("a")).crossJoin(F.broadcast(sites.select(F.col("site").alias("b"))))
-    return pairs.join(both, ["a", "b"], "left").select("a", "b", (1 - F.coalesce("r", F.lit(0.0))).alias("d"))
+    Sites are dealt into blocks of about ``PAIR_BLOCK``; each pair of blocks is one task, which makes its part of the
+    matrix by products of the blocks' tables. A block goes to as many tasks as there are blocks."""
+    blocks = -(-check_sites(series, max_sites) // PAIR_BLOCK) or 1
+    rows = series.select("site", F.col("date").cast("string").alias("date"), "v", F.pmod(F.xxhash64("site"), F.lit(blocks)).alias("own"))
+    last = F.lit(blocks - 1).cast("bigint")
+    one = rows.withColumn("other", F.explode(F.sequence(F.col("own"), last)))
+    two = rows.select(F.col("own").alias("theirs"), *[F.col(n).alias(f"its_{n}") for n in ("site", "date", "v")])
+    two = two.withColumn("mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("theirs"))))
+
+    def part(key, left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "d": []})
+        return _block_distances(left, right.rename(columns=lambda n: n.removeprefix("its_")), key[0] == key[1])
+
+    return one.groupBy("own", "other").cogroup(two.groupBy("mine", "theirs")).applyInPandas(part, "a string, b string, d double")
 
 
 def related(distances: DataFrame) -> DataFrame:

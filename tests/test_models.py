@@ -8,6 +8,7 @@ from airloom import TubeError, cluster_tube_data, deseason_tube_data, fit_tensor
 from airloom.functions.statistics import band_labels, significant, t_quantile, t_two_sided, t_upper
 from airloom.operators.accuracy import lines_by, range_average, with_p_values
 from airloom.operators.annual import days_covered
+from airloom.operators.cluster import correlation_distance
 from airloom.operators.deseason import near_pairs, neighbours
 from airloom.operators.gam import place_knots, spline_basis
 from airloom.operators.loess import loess_1d, loess_curves, normalise_predictors
@@ -130,6 +131,21 @@ def test_cluster_drops_lone_sites(spark):
         cluster_tube_data(df, "v", max_sites=2)
 
 
+def test_blocks_of_sites_give_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr("airloom.operators.cluster.PAIR_BLOCK", 4)
+    rng = np.random.default_rng(12)
+    rows = [(f"s{k}", f"2020-01-{d + 1:02d}", float(rng.normal(1000, 5))) for k in range(18) for d in range(20) if rng.random() < 0.7] + [("flat", f"2020-01-{d + 1:02d}", 3.1) for d in range(20)]
+    got = {(r.a, r.b): r.d for r in correlation_distance(spark.createDataFrame(rows, "site string, date string, v double")).collect()}
+    wide = {}
+    for site, day, v in rows:
+        wide.setdefault(site, {})[day] = v
+    assert len(got) == len(wide) ** 2
+    for (a, b), d in got.items():
+        days = sorted(set(wide[a]) & set(wide[b]))
+        x, y = (np.array([wide[s][day] for day in days]) for s in (a, b))
+        assert d == pytest.approx(1 - np.corrcoef(x, y)[0, 1] if len(days) > 1 and "flat" not in (a, b) else 1.0, abs=1e-9)
+
+
 def test_season_levels(spark):
     """The trend has the fit's mean, and season and deseasoned values add up."""
     rows = [("g", k, 20 + 8 * math.cos(k / 365.25 * 2 * math.pi) + k / 100) for k in range(0, 1500, 25)] + [("g", 33, None), ("few", 1, 2.0), ("few", 40, 3.0)]
