@@ -133,16 +133,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     y = np.array([r.y for r in rows], float)
     if C.class_weights_off(y):
         return None
-    at = [np.frombuffer(r.at, np.int32) for r in rows]
-    val = [np.frombuffer(r.val, np.float32) for r in rows]
-    held = np.arange(len(rows)) % 4 == 3
+    edges = np.cumsum([len(r.at) // 4 for r in rows])[:-1]
+    at = np.split(np.frombuffer(b"".join(r.at for r in rows), np.int32), edges)
+    val = np.split(np.frombuffer(b"".join(r.val for r in rows), np.float32), edges)
+    rows.clear()  # the collected copies are as large again
+    C.released()
+    held = np.arange(len(y)) % 4 == 3
     if C.class_weights_off(y[held]) or C.class_weights_off(y[~held]):
-        held = np.zeros(len(rows), bool)
+        held = np.zeros(len(y), bool)
     use = np.flatnonzero(~held)
     model = _fit_linear([at[i] for i in use], [val[i] for i in use], y[use])
     scored = np.flatnonzero(held) if held.any() else use
     margins = np.array([model.bias + float((model.weights.ravel()[at[i]] * val[i]).sum()) for i in scored])
     model.slope, model.shift = calibrate(margins, y[scored])
+    del at, val
+    C.released()
     return model
 
 
