@@ -18,9 +18,11 @@ MAX_EDGES = 1_000_000
 MAX_BANDS = 4096
 
 
-def containing(places: DataFrame, layer: PolygonLayer, x: str = ".longitude", y: str = ".latitude") -> DataFrame:
-    """x, y and ``id``, the first feature that the place lies in, of the distinct places that lie in one; on an edge is outside.
+def containing(places: DataFrame, layer: PolygonLayer, x: str = ".longitude", y: str = ".latitude", edge: str = "outside") -> DataFrame:
+    """x, y and ``id``, the first feature that the place lies in, of the distinct places that lie in one.
 
+    On an edge is outside, as within means; with edge="ray" such a place is judged by the crossings of its ray alone, so
+    that it lies in one of two polygons that share the edge.
     A place meets only the edges of its band of latitude, which hold all that a ray to the east can cross."""
     rows = layer.edge_rows()
     ys = [v for r in rows for v in (r[3], r[5])]
@@ -39,14 +41,19 @@ def containing(places: DataFrame, layer: PolygonLayer, x: str = ".longitude", y:
     touched = level | (ly.between(F.least("y1", "y2"), F.greatest("y1", "y2")) & (lx == at))
     spans = sum(math.floor((max(r[3], r[5]) - low) / step) - math.floor((min(r[3], r[5]) - low) / step) + 1 for r in rows)
     pairs = boxed.join(F.broadcast(edges) if spans <= MAX_EDGES else edges, "band")
+    if edge == "ray":
+        touched = F.lit(False)
     inside = pairs.groupBy(lx, ly, "poly", "feature").agg(F.sum(crossed.cast("int")).alias("k"), F.max(F.coalesce(touched, F.lit(False))).alias("t")).where("k % 2 = 1 and not t")
     return inside.groupBy(lx, ly).agg(F.min("feature").alias("id"))
 
 
-def tube_in_xy_polygon(df: DataFrame, polygon, output="ans", rename=".in_polygon", keep_missing: bool = False, lat: str = ".latitude", lon: str = ".longitude", **options) -> DataFrame:
+def tube_in_xy_polygon(df: DataFrame, polygon, output="ans", rename=".in_polygon", keep_missing: bool = False, lat: str = ".latitude", lon: str = ".longitude", edge: str = "outside", **options) -> DataFrame:
     """Adds what ``output`` names, under the names of ``rename``: "ans", whether the place lies in a polygon; "id" (as
     ``<name>.id``), the first feature it lies in; or an attribute of that feature, under its own name where ``rename``
-    has none for it. Rows without coordinates go, as the places are joined back, unless ``keep_missing``."""
+    has none for it. Rows without coordinates go, as the places are joined back, unless ``keep_missing``. ``edge`` says
+    what a place on an edge is: "outside", or as its "ray" has it."""
+    if edge not in ("outside", "ray"):
+        raise TubeError("[tube_in_xy_polygon]> edge must be outside or ray")
     wanted, names = ([v] if isinstance(v, str) else list(v) for v in (output, rename))
     layer = polygon_layer(polygon, options.pop("x", "X"), options.pop("y", "Y"))
     own = [o for o in wanted if o not in ("ans", "id")]
@@ -56,7 +63,7 @@ def tube_in_xy_polygon(df: DataFrame, polygon, output="ans", rename=".in_polygon
         raise TubeError("[tube_in_xy_polygon]> output and rename differ in length")
     d = attach(tag_tube_required(df, [lat, lon], **options), [lon, lat], on_error="stop<<tube_in_xy_polygon>>lat/lon")
     places = d.select(c(lon), c(lat)).distinct().where(c(lon).isNotNull() & c(lat).isNotNull())
-    found = null_safe_join(places, containing(places, layer, lon, lat), [lon, lat], "left")
+    found = null_safe_join(places, containing(places, layer, lon, lat, edge), [lon, lat], "left")
     columns = []
     for what, name in zip(wanted, names, strict=True):
         if what == "ans":

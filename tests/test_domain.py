@@ -6,6 +6,7 @@ import pytest
 import airloom
 from airloom import LeafletMap, PolygonLayer, TubeError, TubePlot, quick_text
 from airloom.functions import colour, geo
+from airloom.plans import catalogue
 from airloom.plans.figures import Part, asked_kinds, own_args
 from airloom.plans.maps import contour_lines
 from airloom.sources.polygons import as_polygons, polygon_layer
@@ -57,6 +58,23 @@ def test_polygons(spark):
         polygon_layer({"type": "Point", "coordinates": [0, 0]})
 
 
+def test_places_on_an_edge(spark):
+    """By the ray a place on a shared edge lies in one polygon; the queries judge places as their SQL does."""
+    square = lambda a: [(a, 0), (a + 4, 0), (a + 4, 4), (a, 4)]
+    df = spark.createDataFrame([(4.0, 2.0)], "longitude double, latitude double")
+    one, two = (airloom.tube_in_xy_polygon(df, square(a), edge="ray").first()[".in_polygon"] for a in (0, 4))
+    assert (one, two) == (False, True)
+    assert not airloom.tube_in_xy_polygon(df, square(4)).first()[".in_polygon"]
+    keys = (598, 1082, 2214, 4784, 5793, 7)  # on the ring's edges and corners, and one off them
+    df = spark.createDataFrame([(-2.0 + (k * 53 % 89) / 1000.0, 53.0 + (k * 37 % 97) / 1000.0, k) for k in keys], "longitude double, latitude double, k int")
+    got = {r.k: r.ans for r in airloom.tube_in_xy_polygon(df, catalogue._RING, rename="ans", edge="ray").collect()}
+    ends = list(zip(catalogue._RING, catalogue._RING[1:] + catalogue._RING[:1], strict=True))
+    for x, y, k in df.collect():
+        crossings = [(b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for (a, b), (c, d) in ends if b != d]
+        assert got[k] == (sum(crossings) % 2 == 1)
+    assert got[1082] and got[2214]
+
+
 def test_features_of_several_parts(spark, tmp_path):
     square = lambda a: [[a, 0], [a + 1, 0], [a + 1, 1], [a, 1], [a, 0]]
     parts = {"type": "FeatureCollection", "features": [
