@@ -6,9 +6,11 @@ a window within ``RADIUS`` = (OFF + 1) * BLOCKS - 1 bits of it meets it in some
 the distance would be more). Candidates within the radius are verified exactly: the windows' 5-word shingles, weighted
 by how often they occur, must have a weighted Jaccard similarity of ``PERCENT`` or more.
 
-Plan: a window that verifies shares a 5-word shingle with its item, so only windows that such a shingle anchors
-(its place in the text less its place in the item) are fingerprinted, and each meets in the index only the items that
-anchored it; all shingles of all texts are looked up. Windows of equal words are compared once with an item.
+Plan: a window that verifies shares 5-word shingles with its item, wherever they stand in either. Windows that such a
+shingle anchors (its place in the text less its place in the item) are fingerprinted, and so are those that begin with
+one (end, where the text's start cuts them) and hold enough of them: whichever window verifies, one of these does, also
+where an item's parts are in another order. Each meets in the index only the items that anchored it; all shingles of all
+texts are looked up. Windows of equal words are compared once with an item.
 Shingles are weighted by counting them, so the work on a window grows with its length. The item tables are sent to
 every task only up to ``MAX_SENT`` bytes, summed first; beyond that they are joined by a shuffle.
 
@@ -21,7 +23,7 @@ are judged too; empty tables match nothing. Columns other than those named are i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import common as C
 
@@ -95,22 +97,34 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """key, doc_id, start, n, item: each item-sized window that shares a shingle with the item at that place."""
+    """key, doc_id, start, n, item, extra: the item-sized windows of a text that can match an item.
+
+    Those that share a shingle with the item at that place, and (``extra``) those that start with a shared shingle or,
+    cut at the text's start, end with one: sliding any other window to the next of these loses no shared shingle. Of
+    the extra ones only those are kept that hold as many shared shingles as the similarity needs at least."""
     places = items.select("item", "n", F.posexplode("sh").alias("q", "h")).distinct()
     rows = _once(_word_hashes(docs.select("doc_id", "text").where("text is not null").withColumn("key", _key())).drop("text"), "sh", _shingles("wh"))
-    rows = rows.select("key", "doc_id", F.posexplode("sh").alias("p", "h"))
-    return rows.join(_small(places), "h").select("key", "doc_id", (F.col("p") - F.col("q")).alias("start"), "n", "item").distinct()
+    rows = rows.select("key", "doc_id", F.size("sh").alias("size"), F.posexplode("sh").alias("p", "h"))
+    met = rows.join(_small(places), "h")
+    met = met.groupBy("key", "doc_id", "item", "n", "size").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.collect_set(F.col("p") - F.col("q")).alias("same"))
+    need = lambda s: f"(({PERCENT} * ({s} + m) + {99 + PERCENT}) div {100 + PERCENT})"
+    right, left = "least(m, size - p)", "(p + 1)"
+    begin = f"filter(transform(ps, (p, i) -> if(get(ps, int(i + {need(right)} - 1)) <= p + {right} - 1, p, null)), x -> x is not null)"
+    end = f"filter(transform(ps, (p, i) -> if(p + 1 <= m and i + 1 >= {need(left)}, p + {WIDTH} - n, null)), x -> x is not null)"
+    met = met.withColumn("m", F.col("n") - (WIDTH - 1)).withColumn("more", F.array_except(F.expr(f"array_union({begin}, {end})"), F.col("same")))
+    both = F.concat(F.transform("same", lambda x: F.struct(x.alias("start"), F.lit(False).alias("extra"))), F.transform("more", lambda x: F.struct(x.alias("start"), F.lit(True).alias("extra"))))
+    return met.select("key", "doc_id", "n", "item", F.explode(both).alias("x")).select("key", "doc_id", "x.start", "n", "item", "x.extra")
 
 
 def windows_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """key, doc_id, start, n_words, words, content, item of the anchored windows; ``content`` tells their words."""
-    places = found.groupBy("key", "doc_id").agg(F.collect_list(F.struct("start", "n", "item")).alias("places"))
+    """key, doc_id, start, n_words, words, content, item, extra of the windows; ``content`` tells their words."""
+    places = found.groupBy("key", "doc_id").agg(F.collect_list(F.struct("start", "n", "item", "extra")).alias("places"))
     texts = docs.select("doc_id", "text").where("text is not null").withColumn("key", _key()).withColumnRenamed("doc_id", "own_id")
     places = _small(C.written(places, "places"))
     rows = texts.join(places, (texts["key"] == places["key"]) & texts["own_id"].eqNullSafe(places["doc_id"])).select(places["key"], "doc_id", "text", "places").dropDuplicates(["key", "doc_id"])
-    cut = "transform(places, x -> named_struct('start', greatest(x.start, 0), 'item', x.item, 'words', slice(wh, greatest(x.start, 0) + 1, least(x.start + x.n, size(wh)) - greatest(x.start, 0))))"
+    cut = "transform(places, x -> named_struct('start', greatest(x.start, 0), 'item', x.item, 'extra', x.extra, 'words', slice(wh, greatest(x.start, 0) + 1, least(x.start + x.n, size(wh)) - greatest(x.start, 0))))"
     windows = _word_hashes(rows).select("key", "doc_id", F.explode(F.expr(cut)).alias("x"))
-    return windows.select("key", "doc_id", "x.start", F.size("x.words").alias("n_words"), "x.words", F.xxhash64("x.words").alias("content"), "x.item")
+    return windows.select("key", "doc_id", "x.start", F.size("x.words").alias("n_words"), "x.words", F.xxhash64("x.words").alias("content"), "x.item", "x.extra")
 
 
 def candidates(marked: DataFrame, items: DataFrame) -> DataFrame:
@@ -134,7 +148,8 @@ def verified(pairs: DataFrame, marked: DataFrame, items: DataFrame) -> DataFrame
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """key, doc_id, item_id, start, n_words, similarity: each verified window."""
+    """key, doc_id, item_id, start, n_words, similarity: each verified window; of the extra ones the most alike, where
+    an item matches only by these."""
     items = items_of(benchmark)
     windows = C.written(windows_of(docs, C.written(anchors(docs, items), "anchors")), "windows")
     distinct = windows.groupBy("content", "item").agg(F.first("words").alias("wh"))
@@ -142,7 +157,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marked = C.written(marked.drop("distinct_wh"), "fingerprints")
     passed = C.written(verified(candidates(marked, items), marked, items), "passed")
     named = passed.join(_small(items.select("item", "item_id")), "item")
-    return windows.drop("words").join(_small(named), ["content", "item"]).select("key", "doc_id", "item_id", "start", "n_words", "similarity")
+    found = windows.drop("words").join(_small(named), ["content", "item"])
+    of = Window.partitionBy("key", "doc_id", "item")
+    found = found.withColumns({"only": F.min("extra").over(of), "at": F.row_number().over(of.orderBy("extra", F.desc("similarity"), "start"))})
+    return found.where("not extra or only and at = 1").select("key", "doc_id", "item_id", "start", "n_words", "similarity")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

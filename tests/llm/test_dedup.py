@@ -374,6 +374,23 @@ def test_all_windows_at_the_threshold_are_found(spark):
     assert sum(map(len, wanted.values())) > 100 and sum(got[k] != v for k, v in wanted.items()) <= 1
 
 
+def test_items_with_their_parts_in_another_order(spark):
+    """Windows count wherever the shared shingles stand in the item, also cut at the text's start or end."""
+    rng = np.random.default_rng(44)
+    items, rows = [], []
+    for k in range(12):
+        w = sentence(rng, int(rng.integers(50, 90)), 10**6).split()
+        items.append(" ".join(w))
+        a, b = len(w) // 3, 2 * len(w) // 3
+        swapped = [w[len(w) // 2:] + w[:len(w) // 2], w[b:] + w[a:b] + w[:a], w[a:b] + w[b:] + w[:a], w[b:] + w[:a]]
+        rows += [(10 * k + j, " ".join(f"{'x ' * before}".split() + part + ["y"] * after)) for j, (part, before, after) in enumerate(zip([*swapped, swapped[0]], (9, 0, 30, 4, 0), (5, 20, 0, 9, 0), strict=True))]
+        rows += [(10 * k + 7, " ".join(swapped[0][6:] + ["y"] * 9)), (10 * k + 8, " ".join(["x"] * 9 + swapped[0][:-6]))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.contamination(documents(spark, rows), bench).collect()}
+    wanted = {k: [k // 10] if brute_windows(t, items[k // 10]) >= 0.75 else [] for k, t in rows}
+    assert got == wanted and 40 < sum(map(len, wanted.values())) < len(rows)
+
+
 def test_items_of_one_id(spark):
     bench = spark.createDataFrame([(1, "a b c d e f"), (1, "p q r s t u"), (1, "p q r s t u"), (None, "g h i j k l")], "item_id bigint, text string")
     docs = documents(spark, [(1, "a b c d e f"), (2, "x p q r s t u"), (3, "g h i j k l"), (4, "a b c s t u")])
