@@ -118,6 +118,21 @@ def released() -> None:
         trim(0)
 
 
+def driver_released(spark) -> None:
+    """The same on the driver, its JVM included, before a fit takes memory there."""
+    spark.sparkContext._jvm.System.gc()
+    released()
+
+
+#: Entries that a step of a fit works on at once, so that its temporary arrays stay small.
+FIT_BLOCK = 1 << 18
+
+
+def slices(n: int) -> list[slice]:
+    """Places 0 to ``n`` in blocks of FIT_BLOCK."""
+    return [slice(k, min(k + FIT_BLOCK, n)) for k in range(0, n, FIT_BLOCK)]
+
+
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` over bounded batches, with the memory given back at each task's end."""
 

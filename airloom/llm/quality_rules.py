@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     at = np.split(np.frombuffer(b"".join(r.at for r in rows), np.int32), edges)
     val = np.split(np.frombuffer(b"".join(r.val for r in rows), np.float32), edges)
     rows.clear()  # the collected copies are as large again
-    C.released()
+    C.driver_released(docs.sparkSession)
     held = np.arange(len(y)) % 4 == 3
     if C.class_weights_off(y[held]) or C.class_weights_off(y[~held]):
         held = np.zeros(len(y), bool)
@@ -157,10 +157,16 @@ def _fit_linear(at, val, y, steps: int = 100, decay: float = 1e-4) -> Model:
     size = _KINDS * BUCKETS
     w, b = np.zeros(size), np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))])
     adam = C.Adam([w, b], 0.05)
+    blocks = C.slices(len(at))
     for _ in range(steps):
-        z = np.bincount(row, weights=w.astype(np.float32)[at] * val, minlength=len(y)) + b[0]
+        z, short = np.full(len(y), b[0]), w.astype(np.float32)
+        for s in blocks:
+            z += np.bincount(row[s], weights=short[at[s]] * val[s], minlength=len(y))
         r = (C.sigmoid(z) - y) / len(y)
-        adam.step([np.bincount(at, weights=val * r.astype(np.float32)[row], minlength=size) + decay * w, np.array([r.sum()])])
+        pull, short = decay * w, r.astype(np.float32)
+        for s in blocks:
+            pull += np.bincount(at[s], weights=val[s] * short[row[s]], minlength=size)
+        adam.step([pull, np.array([r.sum()])])
     return Model(w.reshape(_KINDS, BUCKETS).astype(np.float32), float(b[0]))
 
 

@@ -177,3 +177,20 @@ def test_odd_texts_have_features(text):
     assert len(quality_gam.text_features(raw)) == len(quality_gam.FEATURES) and np.isfinite(quality_gam.text_features(raw)).all()
     assert len(quality_rules.ngram_buckets(raw, C.word_hashes(raw))) == 4
     assert toxicity.features(raw)[2] >= 1 and language_id.windows(raw).shape[1] == language_id.WINDOW
+
+
+def test_fits_take_little_memory():
+    """Temporary arrays of a step are of a block, not of all entries."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    y = np.arange(400) % 2.0
+    of, at = [np.sort(rng.integers(0, 20, 5000)).astype(np.int32) for _ in y], [rng.integers(0, 50_000, 5000).astype(np.int32) for _ in y]
+    val = [np.ones(5000, np.float32) for _ in y]
+    size, peaks = 400 * 5000 * 8, []
+    for run in (lambda: quality_rules._fit_linear([x % 8192 for x in at], val, y, steps=2), lambda: toxicity.train(of, at, np.full(400, 20), y, steps=2)):
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1] / size)
+        tracemalloc.stop()
+    assert max(peaks) < 3.0, peaks
