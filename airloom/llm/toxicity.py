@@ -106,34 +106,49 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     y = np.array([r.y for r in rows], float)
     if C.class_weights_off(y):
         return None
-    return train([np.frombuffer(r.of, np.int32) for r in rows], [np.frombuffer(r.at, np.int32) for r in rows], np.array([r.n for r in rows]), y)
+    of, at, n = [np.frombuffer(r.of, np.int32) for r in rows], [np.frombuffer(r.at, np.int32) for r in rows], np.array([r.n for r in rows])
+    rows.clear()
+    C.driver_released(docs.sparkSession)
+    return train(of, at, n, y)
 
 
 def train(of: list[np.ndarray], at: list[np.ndarray], n: np.ndarray, y: np.ndarray, steps: int = 130, decay: float = 5e-5) -> Model:
-    """Full-batch fit of the noisy-or likelihood."""
-    docs = np.bincount(np.concatenate([np.unique(x) for x in at]), minlength=BUCKETS)
+    """Full-batch fit of the noisy-or likelihood; empties the lists ``of`` and ``at``, whose rows it joins."""
+    docs = np.zeros(BUCKETS, np.int64)
+    for x in at:
+        docs[np.unique(x)] += 1
     known = np.flatnonzero(docs >= MIN_DOCS)
     place = np.full(BUCKETS, -1, np.int64)
     place[known] = np.arange(len(known))
     base = np.concatenate(([0], np.cumsum(n)[:-1]))
-    of = np.concatenate([(x + b).astype(np.int32) for x, b in zip(of, base, strict=True)])
-    at = place[np.concatenate(at)].astype(np.int32)
-    of, at = of[at >= 0], at[at >= 0]
+    place = place.astype(np.int32)
+    for k, b in enumerate(base):
+        there = place[at[k]]
+        of[k], at[k] = (of[k] + np.int32(b))[there >= 0], there[there >= 0]
+    all_of, all_at = np.concatenate(of), np.concatenate(at)
+    of.clear()
+    at.clear()
+    C.released()
     doc = np.repeat(np.arange(len(n)), n)
     total = int(n.sum())
     w = np.zeros(len(known))
     b = np.array([np.log(max(y.mean(), 1e-3) / max(n.mean(), 1)) - 3])
     adam = C.Adam([w, b], 0.12)
     rng = np.random.default_rng(5)
-    all_of, all_at = of, at
+    blocks = C.slices(len(all_of))
     for _ in range(steps):
-        left = rng.random(len(all_of), np.float32) >= LEFT_OUT
-        of, at = all_of[left], all_at[left]
-        p = C.sigmoid(np.bincount(of, weights=w[at], minlength=total) + b[0])
+        margin, lefts = np.full(total, b[0]), []
+        for k in blocks:
+            lefts.append(rng.random(k.stop - k.start, np.float32) >= LEFT_OUT)
+            margin += np.bincount(all_of[k][lefts[-1]], weights=w[all_at[k][lefts[-1]]], minlength=total)
+        p = C.sigmoid(margin)
         s = np.bincount(doc, weights=-np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(n))
         pull = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-6, 50)), 1.0)  # derivative of the loss by the bag's sum
         g = np.clip(pull[doc], -1e4, 1) * p / len(n)
-        adam.step([np.bincount(at, weights=g[of], minlength=len(w)) + decay * np.sign(w), np.array([g.sum()])])
+        slope = decay * np.sign(w)
+        for k, left in zip(blocks, lefts, strict=True):
+            slope += np.bincount(all_at[k][left], weights=g[all_of[k][left]], minlength=len(w))
+        adam.step([slope, np.array([g.sum()])])
     weights = np.zeros(BUCKETS, np.float32)
     weights[known] = w
     return Model(weights, float(b[0]))
